@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id
+from . import exact_dedup, language_id, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op7_language_id": language_id.op7_language_id,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
