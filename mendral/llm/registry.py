@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, quality
+from . import exact_dedup, language_id, quality, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": syncmers.op1_document_fingerprints,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
