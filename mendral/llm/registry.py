@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, quality, syncmers
+from . import exact_dedup, jaccard_join, language_id, quality, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
