@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix64, small_batches
+from .common import documents, mix64, small_batches
 
 S = 5
 WINDOW = 8
@@ -129,7 +129,6 @@ def edited(own: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-SCHEMA = f"{FIELDS}, part int, place int, text string"
 
 
 def _rows(own: list[tuple[int | None, np.ndarray]], following: list[np.ndarray]) -> pa.RecordBatch:
@@ -154,64 +153,84 @@ def _rows(own: list[tuple[int | None, np.ndarray]], following: list[np.ndarray])
     )
 
 
-def _with_edges(b: pa.RecordBatch, part: int, place: int | None, text: str | None) -> pa.RecordBatch:
-    n = b.num_rows
-    return pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array([place] * n, pa.int32()), pa.array([text] * n, pa.string())], [*b.schema.names, "part", "place", "text"])
-
-
 #: Code points that are fingerprinted together.
 RUN = 1 << 20
+#: Sampled ids for each range of ids.
+DRAWS = 40
 
 
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprint sorted rows; the first and last text of the partition are handed on (place 0 and 1)."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
+    """Fingerprint sorted rows; the row after the last one comes flagged as ``beyond``."""
     held: list[tuple[int | None, np.ndarray]] = []
-    size, begun, edge = 0, False, None
+    size, after = 0, None
     for b in batches:
-        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for doc_id, text, beyond in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("beyond").to_pylist(), strict=True):
             row = (doc_id, codes(text))
-            if not begun:
-                begun = True
-                edge = pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "n_chars": pa.array([0], pa.int64()), **{k: pa.array([None], pa.string()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")}, **{k: pa.array([None], pa.float64()) for k in ("near_edited", "near_next")}})
-                yield _with_edges(edge, part, 0, text)
+            if beyond:
+                after = row[1] if after is None else after
+                continue
             held.append(row)
             size += len(row[1])
             if size > RUN and len(held) > 1:
-                yield _with_edges(_rows(held[:-1], [t for _, t in held[1:]]), part, None, None)
+                yield _rows(held[:-1], [t for _, t in held[1:]])
                 held, size = held[-1:], len(held[-1][1])
     if held:
-        if len(held) > 1:
-            yield _with_edges(_rows(held[:-1], [t for _, t in held[1:]]), part, None, None)
-        yield _with_edges(edge.set_column(0, "doc_id", pa.array([held[-1][0]], pa.int64())), part, 1, held[-1][1].tobytes().decode("utf-32-le", "surrogatepass"))
+        yield _rows(held, [*(t for _, t in held[1:]), after])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for doc_id, own, after in zip(b.column("doc_id").to_pylist(), b.column("own").to_pylist(), b.column("after").to_pylist(), strict=True):
-            yield _rows([(doc_id, codes(own))], [codes(after)])
+def bounds(docs: DataFrame, parts: int) -> list[int]:
+    """First ids of ``parts`` ranges or fewer: the least id and ids that occur, drawn by their hash."""
+    ids = docs.select(order_key().alias("o"))
+    total = ids.agg(F.count("*").alias("n"), F.min("o").alias("least")).first()
+    if not total["n"]:
+        return []
+    share = min(1.0, parts * DRAWS / total["n"])
+    drawn = sorted(r["o"] for r in ids.where(F.pmod(F.xxhash64("o"), F.lit(1_000_003)) <= int(share * 1_000_003)).distinct().collect())
+    step = max(1, -(-len(drawn) // parts))
+    return sorted({total["least"], *drawn[step // 2 :: step]})
+
+
+def order_key():
+    """Ids in order as longs; nulls first."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def range_of(first: list[int]):
+    """Number of the range an id falls into, looked up in two short arrays."""
+    width = max(1, int(len(first) ** 0.5))
+    coarse = F.array(*[F.lit(x) for x in first[::width]])
+    fine = F.array(*[F.array(*[F.lit(x) for x in first[i : i + width]]) for i in range(0, len(first), width)])
+    o = order_key()
+    c = F.size(F.filter(coarse, lambda x: x <= o)) - 1
+    return c * width + F.size(F.filter(F.get(fine, c), lambda x: x <= o)) - 1
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Fingerprints of each text, of its edited text, and their likeness to each other and the next."""
+    """Fingerprints of each text, of its edited text, and their likeness to each other and the next.
+
+    Rows are dealt into ranges of ids, each sorted in a task of its own. The first
+    ids of the ranges are known beforehand, so those rows are also sent, flagged,
+    to the range before, and every task has the text that follows its last.
+    """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    # sorted runs of ids: neighbours meet in one task, and only the texts at the seams travel again
-    ordered = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    done = materialize(ordered.select("doc_id", "text").mapInArrow(_along, SCHEMA), "syncmer-runs")
-    inner = done.where("place IS NULL").select(*[c.split()[0] for c in FIELDS.split(", ")])
-    seams = done.where("place IS NOT NULL")
-    used = sorted(r["part"] for r in seams.where("place = 0").select("part").collect())  # one number for each task
-    if not used:
-        return inner
-    after = spark.createDataFrame(list(zip(used, [*used[1:], used[0]], strict=True)), "part int, following int")
-    tails = seams.where("place = 1").select("doc_id", "part", F.col("text").alias("own")).join(after, "part")
-    heads = seams.where("place = 0").select(F.col("part").alias("following"), F.col("text").alias("after"))
-    return inner.unionByName(tails.join(heads, "following").select("doc_id", "own", "after").mapInArrow(_across, FIELDS))
+    rows = docs.select("doc_id", "text")
+    first = bounds(rows, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not first:
+        return rows.mapInArrow(_along, FIELDS)
+    n = len(first)
+    heads = F.array(*[F.lit(x) for x in first])
+    part = F.col("part")
+    targets = F.when(F.get(heads, part) == order_key(), F.array(F.struct(part.alias("to"), F.lit(False).alias("beyond")), F.struct(F.pmod(part - 1, F.lit(n)).alias("to"), F.lit(True).alias("beyond")))).otherwise(
+        F.array(F.struct(part.alias("to"), F.lit(False).alias("beyond")))
+    )
+    dealt = (
+        rows.withColumn("part", range_of(first))
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.explode(targets).alias("t"))
+        .select("doc_id", "text", "t.to", "t.beyond")
+        .repartitionById(n, F.col("to").cast("int"))
+    )
+    return dealt.sortWithinPartitions("beyond", "doc_id", F.xxhash64("text")).select("doc_id", "text", "beyond").mapInArrow(_along, FIELDS)
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
