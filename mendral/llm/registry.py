@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, pii, quality, syncmers
+from . import exact_dedup, jaccard_join, language_id, mixing, pii, quality, sharding, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op5_source_mixing": mixing.op5_source_mixing,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pii": pii.op9_pii,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_source_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_pii": pii.ORACLE,
 }
