@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, mixing, pii, quality, sharding, syncmers
+from . import exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, sharding, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_language_id": language_id.op7_language_id,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_scan": licenses.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_pii": pii.ORACLE,
