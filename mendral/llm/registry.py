@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, sharding, syncmers
+from . import exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, sentencepiece_lattice, sharding, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
+    "op2_sentencepiece": sentencepiece_lattice.op2_sentencepiece,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_source_mixing": mixing.op5_source_mixing,
