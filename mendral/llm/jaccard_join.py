@@ -12,7 +12,8 @@ Documents link when ``100 * |A & B| >= 90 * |A | B|``, that is when
 3. Pivots and Voronoi cells. The member of a region that meets most others is its
    pivot. A document's home cell is that of the pivot it shares most regions with.
    It is replicated to the home cells of all members of its regions, so each
-   linked pair meets in the home cell of either.
+   linked pair meets in the home cell of either; replicas whose distance to the
+   pivot is outside the window of the triangle inequality are left out again.
 4. Cells join recursively and exactly. In a cell with pivot P, ``D(X) = X ^ P``.
    Members with a small D link to the pivot (and so, by the triangle inequality,
    any two with small enough D are connected already). For the others
@@ -118,11 +119,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d0.view(np.int64)), pa.array(d1.view(np.int64)), lists], ["doc_id", "n_shingles", "d0", "d1", "sigs"])
 
 
-RESIDUALS = "p long, y long, ny long, np long, d array<long>"
+RESIDUALS = "p long, y long, home boolean, ny long, np long, added int, d array<long>"
 
 
 def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """D(y) = y ^ p for rows (p, y, text, pivot_text)."""
+    """D(y) = y ^ p for rows (p, y, text, pivot_text): first the ``added`` elements, then those y lacks."""
     last: tuple[int | None, np.ndarray | None] = (None, None)
     for b in batches:
         ps, ys = b.column("p").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False)
@@ -131,17 +132,19 @@ def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in spans(off):
             h, own = shingle_sets(data, off[i : j + 1])
             edge = np.searchsorted(own, np.arange(j - i + 1))
-            diff, sizes, pivots = [], [], []
+            diff, sizes, pivots, new = [], [], [], []
             for k in range(i, j):
                 if last[0] != ps[k] or last[1] is None:
                     last = (ps[k], shingle_sets(pdata, poff[k : k + 2])[0])
                 own_set = h[edge[k - i] : edge[k - i + 1]]
-                diff.append(np.setxor1d(own_set, last[1], assume_unique=True).view(np.int64))
+                added, gone = np.setdiff1d(own_set, last[1], assume_unique=True), np.setdiff1d(last[1], own_set, assume_unique=True)
+                diff.append(np.concatenate([added, gone]).view(np.int64))
+                new.append(len(added))
                 sizes.append(len(own_set))
                 pivots.append(len(last[1]))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in diff])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(diff)))
-            yield pa.RecordBatch.from_arrays([pa.array(ps[i:j], pa.int64()), pa.array(ys[i:j], pa.int64()), pa.array(sizes, pa.int64()), pa.array(pivots, pa.int64()), lists], ["p", "y", "ny", "np", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(ps[i:j], pa.int64()), pa.array(ys[i:j], pa.int64()), b.column("home").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(pivots, pa.int64()), pa.array(new, pa.int32()), lists], ["p", "y", "home", "ny", "np", "added", "d"])
 
 
 def near(df: DataFrame) -> DataFrame:
@@ -162,51 +165,62 @@ def regions(nodes: DataFrame) -> DataFrame:
 
 
 def cells(members: DataFrame) -> DataFrame:
-    """(p, y): the documents of each Voronoi cell, homes and replicas alike."""
-    sizes = members.groupBy("sig").agg(F.count("*").alias("n"))
-    size_of = materialize(sizes, "region-sizes")
+    """(p, y, home): the documents of each Voronoi cell; ``home`` marks those whose own cell it is.
+
+    A home is the heaviest of the pivots that a document shares at least half as
+    many regions with as with its best one, so that a dense group has few cells.
+    """
+    size_of = materialize(members.groupBy("sig").agg(F.count("*").alias("n")), "region-sizes")
     weight = materialize(members.join(size_of, "sig").groupBy("y").agg(F.sum("n").alias("w")), "weights")
-    pivot = materialize(members.join(weight, "y").groupBy("sig").agg(F.max(F.struct("w", (-F.col("y")).alias("m"))).alias("best")).select("sig", (-F.col("best.m")).alias("p")), "pivots")
-    shared = members.join(pivot, "sig").groupBy("y", "p").agg(F.count("*").alias("k"))
-    home = materialize(shared.groupBy("y").agg(F.max(F.struct("k", (-F.col("p")).alias("m"))).alias("best")).select("y", (-F.col("best.m")).alias("home")), "homes")
+    pivot = materialize(members.join(weight, "y").groupBy("sig").agg(F.max(F.struct("w", (-F.col("y")).alias("m"))).alias("best")).select("sig", (-F.col("best.m")).alias("p"), F.col("best.w").alias("w")), "pivots")
+    shared = materialize(members.join(pivot, "sig").groupBy("y", "p").agg(F.count("*").alias("k"), F.max("w").alias("w")), "shared")
+    most = materialize(shared.groupBy("y").agg(F.max("k").alias("most")), "most-shared")
+    home = materialize(shared.join(most, "y").where("2 * k >= most").groupBy("y").agg(F.max(F.struct("w", (-F.col("p")).alias("m"))).alias("best")).select("y", (-F.col("best.m")).alias("home")), "homes")
     homes = materialize(members.join(home, "y").select("sig", F.col("home").alias("p")).distinct(), "region-homes")
-    found = materialize(members.join(homes, "sig").select("p", "y").distinct(), "cells")
-    discard(size_of, weight, pivot, home, homes)
+    met = members.join(homes, "sig").select("p", "y").distinct()
+    found = materialize(met.join(home, "y").select("p", "y", (F.col("home") == F.col("p")).alias("home")), "cells")
+    discard(size_of, weight, pivot, shared, most, home, homes)
     return found
 
 
 def residuals(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(p, y, ny, np, d) of each cell member except the pivot itself."""
+    """(p, y, home, ny, np, added, d) of each cell member except the pivot itself."""
     texts = docs.select(F.col("doc_id").alias("y"), "text")
     of_members = texts.join(near(found.where("p <> y")), "y")
     of_pivots = texts.join(near(found.select(F.col("p").alias("y")).distinct()), "y", "left_semi").select(F.col("y").alias("p"), F.col("text").alias("pivot_text"))
-    return of_members.hint("merge").join(of_pivots, "p").select("p", "y", "text", "pivot_text").mapInArrow(_residuals, RESIDUALS)
+    return of_members.hint("merge").join(of_pivots, "p").select("p", "y", "home", "text", "pivot_text").mapInArrow(_residuals, RESIDUALS)
 
 
 def links(residual: DataFrame) -> DataFrame:
     """(a, b) that connect exactly the documents which links connect."""
     r = residual.withColumn("s", F.size("d")).withColumn("ball", F.expr(f"ny + np >= {RATIO} * s"))
     to_pivot = r.where("ball").select(F.col("p").alias("a"), F.col("y").alias("b"))
-    # cells where someone is outside the ball and meets others than the pivot
-    open_cells = r.groupBy("p").agg(F.count("*").alias("n"), F.count_if(~F.col("ball")).alias("out")).where("n > 1 AND out > 0").select("p")
-    inner = materialize(r.join(near(materialize(open_cells, "open-cells")), "p", "left_semi"), "open-residuals")
-    elements = inner.select("p", "y", F.explode("d").alias("e"))
+    # Every pair meets in the cell that is home to one of its two. By the triangle
+    # inequality a replica can only link to a home member whose D is about as large;
+    # and a cell needs someone outside the ball and two members besides the pivot.
+    k_most = f"int((ny + ny * 10 / 9) / {RATIO})"
+    cell = r.groupBy("p").agg(F.count("*").alias("n"), F.count_if(~F.col("ball")).alias("out"), F.max(F.when(F.col("home"), F.col("s"))).alias("reach")).where("n > 1 AND out > 0 AND reach IS NOT NULL").select("p", "reach")
+    inner = materialize(r.join(near(materialize(cell, "open-cells")), "p").where(f"home OR s <= reach + {k_most}").drop("reach"), "open-residuals")
+    # One order of elements for a whole cell, rare ones first: what members add, by
+    # how many add it, then what they lack. The largest linked difference bounds the
+    # prefix of this order in which two linked members meet.
+    inner = inner.withColumn("most", F.expr(f"s - greatest(1, s - {k_most}) + 1"))
+    member = ["p", "y", "home", "ny", "s", "ball"]
+    elements = inner.select("p", "y", F.explode(F.slice("d", F.lit(1), F.col("added"))).alias("e"))
     common = materialize(elements.groupBy("p", "e").agg(F.count("*").alias("f")).where("f > 1"), "residual-counts")
-    ranked = elements.join(common, ["p", "e"]).groupBy("p", "y").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("o"))
-    # elements that nobody shares come first in the order; the largest linked difference bounds the prefix
-    rows = (
-        inner.select("p", "y", "ny", "s", "ball")
-        .join(materialize(ranked, "residual-order"), ["p", "y"])
-        .select("p", "y", "ny", "s", "ball", (F.col("s") - F.size("o")).alias("alone"), F.expr(f"s - greatest(1, s - int((ny + ny * 10 / 9) / {RATIO})) + 1").alias("most"), F.posexplode("o").alias("k", "fe"))
-        .select("p", "y", "ny", "s", "ball", F.col("fe.e").alias("e"), (F.col("alone") + F.col("k") + 1).alias("pos"), "most")
-        .where("pos <= most")
+    ranked = materialize(elements.join(common, ["p", "e"]).groupBy("p", "y").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("o")), "residual-order")
+    added = (
+        inner.join(ranked, ["p", "y"])
+        .select(*member, "most", (F.col("added") - F.size("o")).alias("alone"), F.posexplode("o").alias("k", "fe"))
+        .select(*member, "most", F.col("fe.e").alias("e"), (F.col("alone") + F.col("k") + 1).alias("pos"))
     )
-    index = materialize(rows, "residual-index")
+    lacking = inner.where("added < most").select(*member, "most", "added", F.posexplode(F.expr("slice(d, added + 1, greatest(0, most - added))")).alias("k", "e")).select(*member, "most", "e", (F.col("added") + F.col("k") + 1).alias("pos"))
+    index = materialize(added.unionByName(lacking).where("pos <= most").drop("most"), "residual-index")
     x, y = index.where("NOT ball").alias("x"), index.alias("y")
     k = f"int((x.ny + y.ny) / {RATIO})"
     t = f"greatest(1, int(ceil((x.s + y.s - {k}) / 2.0)))"
     meet = F.expr(
-        f"x.p = y.p AND x.e = y.e AND x.y <> y.y AND (y.ball OR x.y < y.y) AND abs(x.s - y.s) <= {k} "
+        f"x.p = y.p AND x.e = y.e AND x.y <> y.y AND (y.ball OR x.y < y.y) AND (x.home OR y.home) AND abs(x.s - y.s) <= {k} "
         f"AND 10 * least(x.ny, y.ny) >= 9 * greatest(x.ny, y.ny) AND x.pos <= x.s - {t} + 1 AND y.pos <= y.s - {t} + 1"
     )
     pairs = materialize(x.join(y, meet).select("x.p", F.col("x.y").alias("a"), F.col("y.y").alias("b")).distinct(), "residual-pairs")
