@@ -34,8 +34,8 @@ def running_total(df: DataFrame, by: list[str], block: str, order: list[str | Co
     """
     sums = materialize(df.groupBy(*by, block).agg(F.sum(weight).alias("__sum")), "block-sums")
     along = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    before = materialize(sums.select(*by, block, F.coalesce(F.sum("__sum").over(along), F.lit(0)).alias("__before")), "block-offsets")
+    before = sums.select(*by, block, F.coalesce(F.sum("__sum").over(along), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*by, block).orderBy(*order)
     inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow) if ties else inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(near(before), [*by, block])
+    joined = df.join(F.broadcast(before) if sums.count() <= BROADCAST_ROWS else before, [*by, block])
     return joined.withColumn(name, F.col("__before") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop("__before")

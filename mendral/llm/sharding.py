@@ -42,19 +42,18 @@ def _round(tally: DataFrame, load: dict[int, int], quota: list[int]) -> tuple[Da
     """One round over (k0, k1, shard, n): the new counts, and how many documents moved."""
     free = F.array(*[F.lit(max(0, q - load.get(j, 0))).cast("long") for j, q in enumerate(quota)])
     best = tally.where(F.get(free, F.col("shard")) > 0).groupBy("k0", "k1").agg(F.max(F.struct("n", F.xxhash64("k0", "shard").alias("tie"), "shard")).alias("b")).select("k0", "k1", F.col("b.shard").alias("to"), F.col("b.n").alias("there"), F.col("b.tie").alias("tie"))
-    movers = materialize(
+    movers = (
         tally.join(best, ["k0", "k1"])
         .where((F.col("shard") != F.col("to")) & ((F.col("n") < F.col("there")) | ((F.col("n") == F.col("there")) & (F.xxhash64("k0", "shard") < F.col("tie")))))
-        .withColumn("block", F.pmod(F.xxhash64("k0", "k1"), F.lit(1 << 10)).cast("int")),
-        "movers",
+        .withColumn("block", F.pmod(F.xxhash64("k0", "k1"), F.lit(1 << 10)).cast("int"))
     )
     asked = running_total(movers, ["to"], "block", ["k0", "k1", "shard"], F.col("n"), "before")
-    granted = materialize(asked.withColumn("moved", F.least("n", F.greatest(F.lit(0).cast("long"), F.get(free, F.col("to")) - F.col("before")))).where("moved > 0").select("k0", "k1", "shard", "to", "moved"), "granted")
-    moved = granted.agg(F.coalesce(F.sum("moved"), F.lit(0)).alias("m")).first()["m"]
-    change = granted.select("k0", "k1", "shard", (-F.col("moved")).alias("n")).unionByName(granted.select("k0", "k1", F.col("to").alias("shard"), F.col("moved").alias("n")))
-    after = materialize(tally.unionByName(change).groupBy("k0", "k1", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "tally")
-    discard(movers, granted)
-    return after, moved
+    granted = asked.withColumn("moved", F.least("n", F.greatest(F.lit(0).cast("long"), F.get(free, F.col("to")) - F.col("before")))).where("moved > 0")
+    # what leaves one shard arrives in another
+    change = granted.select("k0", "k1", F.explode(F.array(F.struct("shard", (-F.col("moved")).alias("n"), F.lit(0).cast("long").alias("came")), F.struct(F.col("to").alias("shard"), F.col("moved").alias("n"), F.col("moved").alias("came")))).alias("c")).select("k0", "k1", "c.shard", "c.n", "c.came")
+    both = tally.select("k0", "k1", "shard", "n", F.lit(0).cast("long").alias("came")).unionByName(change)
+    after = materialize(both.groupBy("k0", "k1", "shard").agg(F.sum("n").alias("n"), F.sum("came").alias("came")).where("n > 0"), "tally")
+    return after, after.agg(F.coalesce(F.sum("came"), F.lit(0)).alias("m")).first()["m"]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -80,7 +79,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         ordered = materialize(tally.where(F.col("shard").isin(list(over))).withColumn("block", F.pmod(F.xxhash64("k0", "k1"), F.lit(1 << 10)).cast("int")), "over")
         allowed = F.array(*[F.lit(q).cast("long") for q in quota])
         cut = running_total(ordered, ["shard"], "block", ["k0", "k1"], F.col("n"), "before").withColumn("n", F.greatest(F.lit(0).cast("long"), F.least("n", F.get(allowed, F.col("shard")) - F.col("before"))))
-        tally = materialize(tally.where(~F.col("shard").isin(list(over))).unionByName(cut.select("k0", "k1", "shard", "n")).where("n > 0"), "tally")
+        tally = materialize(tally.where(~F.col("shard").isin(list(over))).select("k0", "k1", "shard", "n").unionByName(cut.select("k0", "k1", "shard", "n")).where("n > 0"), "tally")
     # a group's documents in order of their hash fill its shards one after the other
     plan = materialize(
         groups.join(tally.groupBy("k0", "k1").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("f")), ["k0", "k1"], "left").select(
