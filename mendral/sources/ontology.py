@@ -77,13 +77,13 @@ def read_owl(spark: SparkSession, path: str) -> DataFrame:
 def read_definitions(spark: SparkSession, path: str) -> DataFrame:
     """(term, parts) of ``term: A and B`` rows."""
     v = F.replace(F.trim("value"), F.lit("_"), F.lit(":"))
-    return spark.read.text(path).where(F.col("value").contains(": ")).select(F.split(v, ": ")[0].alias("term"), F.array_distinct(F.split(F.split(v, ": ")[1], " and ")).alias("parts"))
+    return spark.read.text(path).where(F.col("value").contains(": ")).select(F.get(F.split(v, ": "), F.lit(0)).alias("term"), F.array_distinct(F.split(F.get(F.split(v, ": "), F.lit(1)), " and ")).alias("parts"))
 
 
 def read_axioms(spark: SparkSession, path: str) -> DataFrame:
     """(kind, a, b, c) of normalised axioms: nf1 A<B, nf2 A and B<C, nf3 r some A<B, nf4 A<r some B."""
     v = F.replace(F.trim("value"), F.lit("_"), F.lit(":"))
-    rows = spark.read.text(path).where(F.col("value").contains(" SubClassOf ")).select(F.split(v, " SubClassOf ")[0].alias("l"), F.split(v, " SubClassOf ")[1].alias("r"))
+    rows = spark.read.text(path).where(F.col("value").contains(" SubClassOf ")).select(F.get(F.split(v, " SubClassOf "), F.lit(0)).alias("l"), F.get(F.split(v, " SubClassOf "), F.lit(1)).alias("r"))
     a, s, t = F.split("l", " and "), F.split("l", " some "), F.split("r", " some ")
     kind = F.when((F.length("l") == 10) & (F.length("r") == 10), "nf1").when(F.col("l").contains(" and "), "nf2").when(F.col("l").contains(" some "), "nf3").when(F.col("r").contains(" some "), "nf4")
     pick = lambda one, two, three, four: F.when(F.col("kind") == "nf1", one).when(F.col("kind") == "nf2", two).when(F.col("kind") == "nf3", three).otherwise(four)

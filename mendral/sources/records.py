@@ -26,7 +26,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
         got = F.regexp_extract("r", p, 1)
         return F.when(got != "", got)
 
-    go = F.transform(F.regexp_extract_all("r", F.lit(r"(?m)^DR   GO; (GO:\d+; [^;]*; [A-Z]+)"), F.lit(1)), lambda x: F.struct(F.split(x, "; ")[0].alias("term"), F.element_at(F.split(x, "; "), -1).alias("code")))
+    go = F.transform(F.regexp_extract_all("r", F.lit(r"(?m)^DR   GO; (GO:\d+; [^;]*; [A-Z]+)"), F.lit(1)), lambda x: F.struct(F.get(F.split(x, "; "), F.lit(0)).alias("term"), F.element_at(F.split(x, "; "), -1).alias("code")))
     embl = F.filter(F.regexp_extract_all("r", F.lit(r"(?m)^DR   EMBL; [^;]+; ([^;]+); [^;]+; Genomic_DNA\."), F.lit(1)), lambda x: x != "-")
     name = F.coalesce(one(r"(?m)^DE   RecName: Full=([^;{]+?)\s*[;{]"), one(r"(?m)^DE   SubName: Full=([^;{]+?)\s*[;{]"), one(r"(?m)^DE   AltName: Full=([^;{]+?)\s*[;{]"))
     return raw.select("row", one(r"(?m)^ID   (\S+)").alias("entry"), F.col("r").rlike(r"(?m)^ID   .*\bReviewed;").alias("reviewed"), one(r"(?m)^OX   NCBI_TaxID=(\d+)").alias("taxon"), one(r"(?m)^OS   (.+?)\.?\s*$").alias("organism"), name.alias("name"), dated(one(r"(?m)^DT   (\d{2}-[A-Z]{3}-\d{4}), integrated")).alias("integrated"), go.alias("go"), embl.alias("embl"))
@@ -73,7 +73,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 def read_gff(spark: SparkSession, path: str, kind: str = "CDS") -> DataFrame:
     """(seq, kind, start, end, strand, attributes) of GFF3 rows."""
     p = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#")).where(F.size(p) >= 9).select(p[0].alias("seq"), p[2].alias("kind"), p[3].cast("long").alias("start"), p[4].cast("long").alias("end"), p[6].alias("strand"), attributes(p[8]).alias("attributes"))
+    rows = spark.read.text(path).where(~F.col("value").startswith("#")).where(F.size(p) >= 9).select(F.get(p, F.lit(0)).alias("seq"), F.get(p, F.lit(2)).alias("kind"), F.get(p, F.lit(3)).cast("long").alias("start"), F.get(p, F.lit(4)).cast("long").alias("end"), F.get(p, F.lit(6)).alias("strand"), attributes(F.get(p, F.lit(8))).alias("attributes"))
     return rows.where(F.col("kind") == kind)
 
 

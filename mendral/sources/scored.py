@@ -23,7 +23,7 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def _tokens(rows: DataFrame, comments: bool) -> DataFrame:
     kept = rows.where(~F.col("value").startswith("#") & (F.trim("value") != "")) if comments else rows
     parts = F.split("value", "\t")
-    named = kept.select("file", "row", parts[0].alias("protein"), F.slice(parts, 2, F.size(parts)).alias("tokens"))
+    named = kept.select("file", "row", F.get(parts, F.lit(0)).alias("protein"), F.slice(parts, 2, F.size(parts)).alias("tokens"))
     last = Window.partitionBy("file", "protein").orderBy(F.desc("row"))
     return named.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "row")
 
@@ -40,13 +40,13 @@ def read_scored(spark: SparkSession, path: str | list[str], malformed: str = "ra
     rows = _tokens(lines(spark, path), comments)
     rows = rows.select("file", "protein", F.posexplode_outer("tokens").alias("i", "token")) if keep_empty else rows.select("file", "protein", F.posexplode("tokens").alias("i", "token"))
     pair = F.split("token", r"\|")
-    number = F.expr("try_cast(split(token, '[|]')[1] AS DOUBLE)")
+    number = F.expr("try_cast(get(split(token, '[|]'), 1) AS DOUBLE)")
     good = (F.size(pair) == 2) & number.isNotNull()
     if malformed == "raise":
-        checked = F.when(F.col("token").isNull() | good, pair[0]).otherwise(F.raise_error(F.concat(F.lit("malformed token: "), "token")).cast("string"))
+        checked = F.when(F.col("token").isNull() | good, F.get(pair, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("malformed token: "), "token")).cast("string"))
     else:
-        rows, checked = rows.where(F.col("token").isNull() | good), pair[0]
-    value = pair[1] if as_text else number
+        rows, checked = rows.where(F.col("token").isNull() | good), F.get(pair, F.lit(0))
+    value = F.get(pair, F.lit(1)) if as_text else number
     out = rows.select("file", "protein", "i", checked.alias("term"), value.alias("score"))
     out = out.groupBy("file", "protein", "term").agg(F.max_by("score", "i").alias("score"))
     return out.select("file", file_field(F.col("file"), "taxon").alias("genome"), file_field(F.col("file"), "fold").alias("fold"), "protein", "term", "score")
@@ -76,7 +76,7 @@ def repaired(scored: DataFrame) -> DataFrame:
 def read_gaf(spark: SparkSession, path: str) -> DataFrame:
     """(protein, term, aspect) of GAF rows: columns 2, 5 and 9; ``!`` lines are comments."""
     p = F.split("value", "\t")
-    return spark.read.text(path).where(~F.col("value").startswith("!")).where(F.size(p) >= 9).select(p[1].alias("protein"), p[4].alias("term"), p[8].alias("aspect")).distinct()
+    return spark.read.text(path).where(~F.col("value").startswith("!")).where(F.size(p) >= 9).select(F.get(p, F.lit(1)).alias("protein"), F.get(p, F.lit(4)).alias("term"), F.get(p, F.lit(8)).alias("aspect")).distinct()
 
 
 def valid_files(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ def _parts(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 def read_constraints(spark: SparkSession, path: str) -> DataFrame:
     """(term, kind, taxon): header skipped, short rows and other kinds dropped."""
     p = F.col("p")
-    return _parts(spark, path).where((F.size("p") >= 3) & p[1].isin("only_in_taxon", "never_in_taxon")).select(p[0].alias("term"), p[1].alias("kind"), p[2].alias("taxon"))
+    return _parts(spark, path).where((F.size("p") >= 3) & F.get(p, F.lit(1)).isin("only_in_taxon", "never_in_taxon")).select(F.get(p, F.lit(0)).alias("term"), F.get(p, F.lit(1)).alias("kind"), F.get(p, F.lit(2)).alias("taxon"))
 
 
 def constraint_kinds(constraints: DataFrame) -> DataFrame:
@@ -29,14 +29,14 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """(child, parent): no header; a row with one field fails."""
     p = F.col("p")
     rows = _parts(spark, path).where(F.col("value") != "")
-    parent = F.when(F.size("p") >= 2, p[1]).otherwise(F.raise_error(F.concat(F.lit("edge without parent: "), "value")).cast("string"))
-    return rows.select(p[0].alias("child"), parent.alias("parent")).distinct()
+    parent = F.when(F.size("p") >= 2, F.get(p, F.lit(1))).otherwise(F.raise_error(F.concat(F.lit("edge without parent: "), "value")).cast("string"))
+    return rows.select(F.get(p, F.lit(0)).alias("child"), parent.alias("parent")).distinct()
 
 
 def read_taxon_edges(spark: SparkSession, path: str, more: str | None = None) -> DataFrame:
     """(term, rel, target) of is_a, disjoint_from and union_of rows, with is_a edges of a second file."""
     p = F.col("p")
-    rows = _parts(spark, path).where(F.size("p") >= 3).select(p[0].alias("term"), p[1].alias("rel"), p[2].alias("target")).where(F.col("rel").isin("is_a", "disjoint_from", "union_of"))
+    rows = _parts(spark, path).where(F.size("p") >= 3).select(F.get(p, F.lit(0)).alias("term"), F.get(p, F.lit(1)).alias("rel"), F.get(p, F.lit(2)).alias("target")).where(F.col("rel").isin("is_a", "disjoint_from", "union_of"))
     if more is not None:
         rows = rows.unionByName(read_edges(spark, more).select(F.col("child").alias("term"), F.lit("is_a").alias("rel"), F.col("parent").alias("target")))
     return rows.distinct()
@@ -45,7 +45,7 @@ def read_taxon_edges(spark: SparkSession, path: str, more: str | None = None) ->
 def read_homodimers(spark: SparkSession, path: str) -> DataFrame:
     """(term): rows classified ``h`` or ``a``, tabs or blanks between fields."""
     p = F.split(F.trim("value"), r"\s+")
-    return lines(spark, path).where(F.size(p) >= 2).where(p[1].isin("h", "a")).select(p[0].alias("term")).distinct()
+    return lines(spark, path).where(F.size(p) >= 2).where(F.get(p, F.lit(1)).isin("h", "a")).select(F.get(p, F.lit(0)).alias("term")).distinct()
 
 
 def read_list(spark: SparkSession, path: str, numbers: bool = False) -> DataFrame:
@@ -57,7 +57,7 @@ def read_list(spark: SparkSession, path: str, numbers: bool = False) -> DataFram
 def read_has_part(spark: SparkSession, path: str) -> DataFrame:
     """(whole, part) of two-field rows: the second field has the first as part."""
     p = F.split(F.trim("value"), " ")
-    return lines(spark, path).where(F.size(p) == 2).select(p[1].alias("whole"), p[0].alias("part")).distinct()
+    return lines(spark, path).where(F.size(p) == 2).select(F.get(p, F.lit(1)).alias("whole"), F.get(p, F.lit(0)).alias("part")).distinct()
 
 
 def read_ec_map(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +74,7 @@ def read_pathways(spark: SparkSession, path: str, ec: DataFrame) -> DataFrame:
     """
     p = F.col("p")
     n = F.row_number().over(Window.partitionBy("file").orderBy("row"))
-    rows = _parts(spark, path).withColumn("n", n).where((F.col("n") > 1) & (F.size("p") >= 2)).select(p[1].alias("pathway"), p[0].alias("term"), F.from_json(F.replace(F.coalesce(F.get("p", F.lit(2)), F.lit("")), F.lit("'"), F.lit('"')), "array<array<string>>").alias("c"))
+    rows = _parts(spark, path).withColumn("n", n).where((F.col("n") > 1) & (F.size("p") >= 2)).select(F.get(p, F.lit(1)).alias("pathway"), F.get(p, F.lit(0)).alias("term"), F.from_json(F.replace(F.coalesce(F.get("p", F.lit(2)), F.lit("")), F.lit("'"), F.lit('"')), "array<array<string>>").alias("c"))
     each = rows.select("pathway", "term", F.posexplode("c").alias("combo", "ecs")).select("pathway", "term", "combo", F.explode("ecs").alias("ec"))
     mapped = each.join(ec.withColumnRenamed("term", "need"), "ec").select("pathway", "term", "combo", "need").distinct()
     bare = rows.join(mapped.select("pathway").distinct(), "pathway", "left_anti").select("pathway", "term", F.lit(None).cast("int").alias("combo"), F.lit(None).cast("string").alias("need"))
@@ -107,17 +107,17 @@ def read_test_proteins(spark: SparkSession, path: str) -> DataFrame:
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """(query, subject, bitscore, evalue): malformed rows dropped."""
     p = F.col("p")
-    rows = _parts(spark, path).where(F.size("p") >= 4).select(p[0].alias("query"), p[1].alias("subject"), F.expr("try_cast(p[2] AS DOUBLE)").alias("bitscore"), F.expr("try_cast(p[3] AS DOUBLE)").alias("evalue"))
+    rows = _parts(spark, path).where(F.size("p") >= 4).select(F.get(p, F.lit(0)).alias("query"), F.get(p, F.lit(1)).alias("subject"), F.expr("try_cast(get(p, 2) AS DOUBLE)").alias("bitscore"), F.expr("try_cast(get(p, 3) AS DOUBLE)").alias("evalue"))
     return rows.where("bitscore IS NOT NULL AND evalue IS NOT NULL")
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     p = F.col("p")
-    return _parts(spark, path).where(F.size("p") >= 2).select(p[0].alias("rep"), p[1].alias("member"))
+    return _parts(spark, path).where(F.size("p") >= 2).select(F.get(p, F.lit(0)).alias("rep"), F.get(p, F.lit(1)).alias("member"))
 
 
 def read_ic(spark: SparkSession, path: str) -> DataFrame:
-    return _parts(spark, path).where(F.size("p") >= 2).select(F.col("p")[0].alias("term"), F.expr("try_cast(p[1] AS DOUBLE)").alias("ic")).where("ic IS NOT NULL")
+    return _parts(spark, path).where(F.size("p") >= 2).select(F.get("p", F.lit(0)).alias("term"), F.expr("try_cast(get(p, 1) AS DOUBLE)").alias("ic")).where("ic IS NOT NULL")
 
 
 def read_reference_proteomes(spark: SparkSession, path: str, header: str = "Proteome_ID\tTax_ID\t") -> DataFrame:
@@ -126,7 +126,7 @@ def read_reference_proteomes(spark: SparkSession, path: str, header: str = "Prot
     rows = _parts(spark, path).withColumn("on", F.max(F.col("value").startswith(header).cast("int")).over(w)).where("on = 1").where(~F.col("value").startswith(header))
     rows = rows.withColumn("short", F.max((F.size("p") < 5).cast("int")).over(w)).where("short = 0")
     p = F.col("p")
-    return rows.select(F.trim(p[0]).alias("proteome"), F.trim(p[1]).alias("taxon"), F.trim(p[3]).alias("domain"), F.trim(p[4]).cast("int").alias("entries"))
+    return rows.select(F.trim(F.get(p, F.lit(0))).alias("proteome"), F.trim(F.get(p, F.lit(1))).alias("taxon"), F.trim(F.get(p, F.lit(3))).alias("domain"), F.trim(F.get(p, F.lit(4))).cast("int").alias("entries"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

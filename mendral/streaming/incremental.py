@@ -25,4 +25,4 @@ def running_best_hits(hits: DataFrame) -> DataFrame:
 
 def windowed_events(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Counts and sums of events per type and tumbling window; what comes later than ``late`` is dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
