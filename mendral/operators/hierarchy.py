@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendral.plans.storage import materialize
+from mendral.plans.storage import materialize, materialize_counted
 
 #: Dimension tables up to this many rows are sent to every executor.
 BROADCAST_ROWS = 1_000_000
@@ -24,15 +24,12 @@ def closure(edges: DataFrame, reflexive: bool = True, most: int = 64) -> DataFra
     ``reflexive`` adds every node that an edge touches to its own ancestors.
     """
     e = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL").distinct()
-    reach = materialize(e, "closure")
-    n = reach.count()
+    reach, n = materialize_counted(e, "closure")
     for _ in range(most):
         if not n:
             break
         onward = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
-        grown = materialize(reach.unionByName(reach.join(onward, "ancestor").select("node", F.col("further").alias("ancestor"))).distinct(), "closure")
-        now = grown.count()
-        reach = grown
+        reach, now = materialize_counted(reach.unionByName(reach.join(onward, "ancestor").select("node", F.col("further").alias("ancestor"))).distinct(), "closure")
         if now == n:
             break
         n = now
@@ -89,8 +86,8 @@ def depth(edges: DataFrame, roots: list, most: int = 64) -> DataFrame:
     front = seen
     for level in range(1, most):
         up = front.select(F.col("node").alias("parent"))
-        front = materialize(edges.join(up, "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "depth-front")
-        if not front.limit(1).count():
+        front, n = materialize_counted(edges.join(up, "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "depth-front")
+        if not n:
             break
         seen = materialize(seen.unionByName(front), "depth")
     return seen

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_SCRATCH = "/tmp/checkpoints/mendral"
 
@@ -26,6 +27,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
+    """The stored table and its number of rows, counted while it is written."""
+    path, seen = scratch_path(df.sparkSession, label), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
