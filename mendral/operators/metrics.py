@@ -194,3 +194,18 @@ def spread(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFr
     """Mean, population deviation, least, greatest and number of a measure."""
     v = F.col(value)
     return rows.groupBy(*(keys or [])).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+
+
+def evaluate(predictions: DataFrame, labels: DataFrame, ic: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group of labels: curve summary, mean AUC, mean sensitivity and specificity at tmax.
+
+    A group without any prediction above 0 has all measures 0 and an infinite smin.
+    """
+    curve = threshold_curve(predictions, labels, ic, keys)
+    best = summary(curve, keys)
+    auc = term_auc(predictions, labels, keys).groupBy(*keys).agg(F.coalesce(F.avg("auc"), F.lit(0.0)).alias("avg_auc"))
+    rates = term_rates(predictions, labels, best, keys).groupBy(*keys).agg(F.coalesce(F.avg("sensitivity"), F.lit(0.0)).alias("sensitivity"), F.coalesce(F.avg("specificity"), F.lit(0.0)).alias("specificity"))
+    some = predictions.where("score > 0").join(labels.select(*keys, "protein").distinct(), [*keys, "protein"], "left_semi").select(*keys).distinct().withColumn("__some", F.lit(1))
+    out = best.join(auc, keys).join(rates, keys).join(some, keys, "left")
+    zero = {c: F.when(F.col("__some").isNull(), 0.0).otherwise(F.col(c)) for c in ("fmax", "tmax", "wfmax", "wtmax", "aupr", "precision", "recall", "avg_auc", "sensitivity", "specificity")}
+    return out.withColumns({**zero, "smin": F.when(F.col("__some").isNull(), float("inf")).otherwise(F.col("smin"))}).drop("__some")

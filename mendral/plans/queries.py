@@ -595,18 +595,37 @@ def comparison(v):
 
 
 # ---- solvers -----------------------------------------------------------------------------------
-@query("z1_taxon_repair")
+UNIVERSE = f"SELECT genome, term, greatest(1, floor(round(sum(score - {TAU}), 9) * 1000000)::BIGINT) AS c FROM predictions WHERE score > {TAU} GROUP BY 1, 2"
+
+
+# with the taxon given, sibling taxa exclude each other and the true taxa are its lineage
+@query(
+    "z1_taxon_repair",
+    f"""WITH u AS ({UNIVERSE}), line AS (SELECT g.genome, l.ancestor AS taxon FROM genomes g JOIN taxon_closed l ON l.node = g.taxon),
+    bad AS (SELECT u.genome, u.term FROM u JOIN constraints k USING (term) WHERE (k.kind = 'only_in_taxon') = NOT EXISTS (SELECT 1 FROM line WHERE line.genome = u.genome AND line.taxon = k.taxon)
+      UNION SELECT b.genome, e.child FROM bad b JOIN edges e ON e.parent = b.term JOIN u ON u.genome = b.genome AND u.term = e.child)
+    SELECT u.genome, 'OPTIMAL' AS status, count(b.term) AS demoted, coalesce(sum(u.c) FILTER (b.term IS NOT NULL), 0)::BIGINT AS cost FROM u LEFT JOIN bad b ON b.genome = u.genome AND b.term = u.term GROUP BY u.genome""",
+    "predictions", "edges", *DIMS,
+)
 def taxon_repair(v):
     costs = annotate.flip_costs(v.predictions, TAU)
     s = repair_taxon.solve_taxa(costs, v.edges, v.constraints, v.taxon_edges, v.disjoint, genomes=v.genomes)
     return s.groupBy("genome", "status").agg(F.count_if(F.col("demoted")).alias("demoted"), F.max("cost").alias("cost"))
 
 
-@query("z2_taxon_inference")
+# without one, the cheapest of all lineages and of no taxon at all
+@query(
+    "z2_taxon_inference",
+    f"""WITH u AS ({UNIVERSE}), cand AS (SELECT node AS s, ancestor AS taxon FROM taxon_closed UNION ALL SELECT 'none', NULL), each_ AS (SELECT DISTINCT s FROM cand),
+    bad AS (SELECT each_.s, u.genome, u.term FROM u JOIN constraints k USING (term) CROSS JOIN each_ WHERE (k.kind = 'only_in_taxon') = NOT EXISTS (SELECT 1 FROM cand WHERE cand.s = each_.s AND cand.taxon = k.taxon)
+      UNION SELECT b.s, b.genome, e.child FROM bad b JOIN edges e ON e.parent = b.term JOIN u ON u.genome = b.genome AND u.term = e.child),
+    cost AS (SELECT each_.s, u.genome, coalesce(sum(u.c) FILTER (b.term IS NOT NULL), 0)::BIGINT AS cost FROM u CROSS JOIN each_ LEFT JOIN bad b ON b.s = each_.s AND b.genome = u.genome AND b.term = u.term GROUP BY 1, 2)
+    SELECT genome, min(cost) AS cost FROM cost GROUP BY genome""",
+    "predictions", "edges", *DIMS,
+)
 def taxon_inference(v):
-    costs = annotate.flip_costs(v.predictions, TAU)
-    s = repair_taxon.solve_taxa(costs, v.edges, v.constraints, v.taxon_edges, v.disjoint)
-    return s.groupBy("genome", "status").agg(F.count_if(F.col("demoted")).alias("demoted"), F.max("cost").alias("cost"), F.first("taxa").alias("taxa"))
+    s = repair_taxon.solve_taxa(annotate.flip_costs(v.predictions, TAU), v.edges, v.constraints, v.taxon_edges, v.disjoint)
+    return s.groupBy("genome").agg(F.max("cost").alias("cost"))
 
 
 @query("z3_complex_repair")
