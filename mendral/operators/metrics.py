@@ -97,7 +97,7 @@ def harmonic(a: str, b: str) -> Column:
 def summary(curve: DataFrame, keys: list[str]) -> DataFrame:
     """fmax, tmax (the first threshold that reaches it), smin, wfmax, aupr and what holds at tmax."""
     r9 = lambda c: F.round(F.col(c), 9)
-    order = Window.partitionBy(*keys).orderBy("recall", "t") if keys else Window.orderBy("recall", "t")
+    order = Window.partitionBy(*keys).orderBy(r9("recall"), "t") if keys else Window.orderBy(r9("recall"), "t")
     area = curve.withColumn("a", (F.col("recall") - F.lag("recall").over(order)) * (F.col("precision") + F.lag("precision").over(order)) / 2)
     best = F.max(F.struct(r9("f").alias("f"), (-F.col("t")).alias("m"), "precision", "recall", "avg_ic", "tp", "fp"))
     out = area.groupBy(*keys).agg(best.alias("b"), F.min("s").alias("smin"), F.max(F.struct(r9("wf").alias("f"), (-F.col("t")).alias("m"))).alias("w"), F.sum("a").alias("aupr"))

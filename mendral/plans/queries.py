@@ -348,7 +348,7 @@ f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f, CA
 
 SUMMARY = """
 , b AS (SELECT g, first(round(f, 9) ORDER BY round(f, 9) DESC, t) AS fmax, first(t ORDER BY round(f, 9) DESC, t) / 100.0 AS tmax, min(s) AS smin, max(round(wf, 9)) AS wfmax FROM f GROUP BY g),
-a AS (SELECT g, sum((r - pr_) * (p + pp) / 2) AS aupr FROM (SELECT g, r, p, lag(r) OVER w AS pr_, lag(p) OVER w AS pp FROM f WINDOW w AS (PARTITION BY g ORDER BY r, t)) GROUP BY g)"""
+a AS (SELECT g, sum((r - pr_) * (p + pp) / 2) AS aupr FROM (SELECT g, r, p, lag(r) OVER w AS pr_, lag(p) OVER w AS pp FROM f WINDOW w AS (PARTITION BY g ORDER BY round(r, 9), t)) GROUP BY g)"""
 
 
 @query("a13_threshold_curve", _sweep("genome") + " SELECT g AS genome, t, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f, round(wf, 6) AS wf, abs(round(ru, 5)) AS ru, round(mi, 5) AS mi, tp, fp FROM f", "predictions", "annotations")
