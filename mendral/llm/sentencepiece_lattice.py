@@ -31,7 +31,9 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,6 +52,7 @@ SPACE = "\u2581"
 DICTIONARY_WORDS = 400_000
 DICTIONARY_CHARS = 32
 CACHE_WORDS = 200_000
+NEVER = float("inf")
 
 
 @dataclass
@@ -63,10 +66,12 @@ class Pieces:
     unknown: int
     special: set[int]
     ids: dict[str, int] = field(default_factory=dict)
+    costs: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special}
         self.longest = max((len(p) for p in self.ids), default=1)
+        self.costs = {p: -self.scores[i] for p, i in self.ids.items()}
 
     @property
     def alone(self) -> str:
@@ -120,28 +125,44 @@ def spell(p: Pieces, part: str) -> list[int]:
 
 def merge(p: Pieces, word: str) -> list[int]:
     """BPE in place: merge the neighbours whose union has the highest score, leftmost first."""
+    return merge_long(p, word) if len(word) > 64 else merge_short(p, word)
+
+
+def merge_short(p: Pieces, word: str) -> list[int]:
+    parts, cost = list(word), p.costs.get
+    costs = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+    while costs and (least := min(costs)) < NEVER:
+        i = costs.index(least)
+        parts[i] += parts.pop(i + 1)
+        costs.pop(i)
+        if i:
+            costs[i - 1] = cost(parts[i - 1] + parts[i], NEVER)
+        if i < len(costs):
+            costs[i] = cost(parts[i] + parts[i + 1], NEVER)
+    return [i for part in parts for i in spell(p, part)]
+
+
+def merge_long(p: Pieces, word: str) -> list[int]:
+    """The same with a heap, for words of any length."""
     n = len(word)
     end = list(range(1, n + 1))  # of the symbol that begins here
     before = list(range(-1, n - 1))
     alive = [True] * n
-    ids, scores = p.ids, p.scores
     heap: list[tuple[float, int, int]] = []
 
     def offer(a: int) -> None:
         b = end[a]
         if b < n and end[b] - a <= p.longest:
-            got = ids.get(word[a : end[b]])
+            got = p.costs.get(word[a : end[b]])
             if got is not None:
-                heapq.heappush(heap, (-scores[got], a, end[b]))
+                heapq.heappush(heap, (got, a, end[b]))
 
     for a in range(n - 1):
         offer(a)
     while heap:
         _, a, z = heapq.heappop(heap)
-        if not alive[a]:
-            continue
         b = end[a]
-        if b >= n or not alive[b] or end[b] != z:
+        if not alive[a] or b >= n or not alive[b] or end[b] != z:
             continue
         end[a], alive[b] = z, False
         if z < n:
@@ -185,7 +206,11 @@ def words_of(docs: DataFrame, p: Pieces) -> DataFrame:
 
 
 def lattice(words: DataFrame, p: Pieces) -> DataFrame:
-    """(word, edges): all pieces inside each distinct word, as (score, start, end), best first."""
+    """(word, edges): all pieces inside each distinct word, best first.
+
+    An edge has its cost, start and end, and as bits of a number its two borders
+    and the borders between them (words of up to 62 characters).
+    """
     spark = words.sparkSession
     table = spark.createDataFrame([(k, float(p.scores[i])) for k, i in p.ids.items() if len(k) > 1 or p.kind != "bpe"], "piece string, score double")
     least = 2 if p.kind == "bpe" else 1
@@ -194,20 +219,30 @@ def lattice(words: DataFrame, p: Pieces) -> DataFrame:
     ends = starts.select("word", "s", F.explode(F.sequence(F.col("s") + least, F.least(F.length("word"), F.col("s") + p.longest))).alias("e"))
     parts = ends.select("word", "s", "e", F.expr("substring(word, s + 1, e - s)").alias("piece"))
     edges = parts.join(F.broadcast(table), "piece")  # as many rows as the model has pieces
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("c"), "s", "e"))).alias("edges"))
+    one = F.lit(1).cast("long")
+    left, right = F.call_function("shiftleft", one, F.col("s")), F.call_function("shiftleft", one, F.col("e"))
+    edge = F.struct((-F.col("score")).alias("c"), "s", "e", (left + right).alias("ends"), (right - left * 2).alias("inside"))
+    return edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
 def fold_merges(word: Column, edges: Column) -> Column:
-    """Borders of the symbols of a word after all merges."""
-    start = F.sequence(F.lit(0), F.length(word))
+    """Borders of the symbols of a word (62 characters at most) after all merges.
+
+    The state is a number with a bit for each border. An edge can be merged if both
+    its ends are borders and exactly one border lies between them.
+    """
+    one = F.lit(1).cast("long")
 
     def step(b: Column, _: Column) -> Column:
-        # the first edge (best score, then leftmost) that spans exactly two symbols
-        ready = F.filter(edges, lambda e: (F.array_position(b, e["s"]) > 0) & (F.array_position(b, e["e"]) == F.array_position(b, e["s"]) + 2))
-        return F.when(F.size(ready) > 0, F.filter(b, lambda x: (x <= F.get(ready, F.lit(0))["s"]) | (x >= F.get(ready, F.lit(0))["e"]))).otherwise(b)
+        # edges are in order: the first has the best score and is leftmost among equals
+        ready = F.get(F.filter(edges, lambda m: (b.bitwiseAND(m["ends"]) == m["ends"]) & (F.bit_count(b.bitwiseAND(m["inside"])) == 1)), F.lit(0))
+        return F.coalesce(b - b.bitwiseAND(ready["inside"]), b)
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 1))
-    return F.aggregate(steps, start, step)
+    full = F.call_function("shiftleft", one, F.length(word) + 1) - 1
+    bits = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(word) - 1, F.size(edges)))), full, step)
+    # the number stands outside the lambda, so that it is worked out once
+    marks = F.transform(F.split(F.reverse(F.bin(bits)), ""), lambda c, i: F.when(c == "1", i).otherwise(-1))
+    return F.filter(marks, lambda i: i >= 0)
 
 
 def fold_viterbi(word: Column, edges: Column, miss: float = -1e6) -> Column:
@@ -232,12 +267,12 @@ def fold_viterbi(word: Column, edges: Column, miss: float = -1e6) -> Column:
 def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
     """(word, borders) of each distinct word, by the lattice and its fold."""
     fold = fold_merges if p.kind == "bpe" else fold_viterbi
-    none = F.array().cast("array<struct<c:double,s:int,e:int>>")
+    none = F.array().cast("array<struct<c:double,s:int,e:int,ends:bigint,inside:bigint>>")
     full = words.select("word").join(lattice(words, p), "word", "left").select("word", F.coalesce("edges", none).alias("edges"))
     return full.select("word", fold(F.col("word"), F.col("edges")).alias("borders"))
 
 
-def dictionary(docs: DataFrame, p: Pieces, most: int = DICTIONARY_WORDS) -> dict[str, tuple[int, ...]]:
+def dictionary(docs: DataFrame, p: Pieces, most: int = DICTIONARY_WORDS) -> Dictionary:
     """The ids of the most frequent words, ``most`` at most."""
     counted = materialize(words_of(docs, p), "words")
     short = counted.where(F.length("word") <= DICTIONARY_CHARS)
@@ -251,45 +286,79 @@ def dictionary(docs: DataFrame, p: Pieces, most: int = DICTIONARY_WORDS) -> dict
         least = r["n"]
     chosen = materialize(short.where(F.col("n") >= least).select("word"), "dictionary-words")
     encoded = encode_words(chosen, p)
-    out = {}
-    for batch in encoded.toArrow().to_batches():
+    kind, words, ids, ends = code_of(p), [], array(code_of(p)), array("I")
+    for batch in encoded.toArrow().to_batches(max_chunksize=20_000):
         for w, b in zip(batch.column("word").to_pylist(), batch.column("borders").to_pylist(), strict=True):
-            out[w] = tuple(i for a, z in zip(b, b[1:], strict=False) for i in spell(p, w[a:z]))
+            for a, z in zip(b, b[1:], strict=False):
+                ids.extend(spell(p, w[a:z]))
+            words.append(w)
+            ends.append(len(ids))
     discard(counted, chosen)
-    return out
+    # no word holds a line break unless it is one, which is encoded in place
+    keep = [i for i, w in enumerate(words) if "\n" not in w]
+    if len(keep) < len(words):
+        parts = [ids[ends[i - 1] if i else 0 : ends[i]] for i in keep]
+        words, ids, ends = [words[i] for i in keep], array(kind, [x for part in parts for x in part]), array("I", np.cumsum([len(x) for x in parts]).tolist())
+    return Dictionary("\n".join(words).encode("utf-8", "surrogatepass"), ids.tobytes(), ends.tobytes())
+
+
+@dataclass
+class Dictionary:
+    """Encoded words as three byte strings: small to send, and read once by a worker."""
+
+    words: bytes = b""
+    ids: bytes = b""
+    ends: bytes = b""
 
+    def entries(self, size: int) -> dict[str, bytes]:
+        ends = np.frombuffer(self.ends, np.uint32).astype(np.int64) * size
+        names = self.words.decode("utf-8", "surrogatepass").split("\n") if len(ends) else []
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        return {w: self.ids[a:z] for w, a, z in zip(names, starts.tolist(), ends.tolist(), strict=True)}
 
-def encoder(spark: SparkSession, p: Pieces, known: dict[str, tuple[int, ...]]):
+
+class Table(dict):
+    """Words to the bytes of their ids; what is missing is encoded in place and remembered within a bound."""
+
+    def __init__(self, known: dict[str, bytes], p: Pieces):
+        super().__init__(known)
+        self.p, self.kind, self.cache = p, code_of(p), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.cache.get(word)
+        if ids is None:
+            ids = array(self.kind, encode_word(self.p, word)).tobytes()
+            if len(word) <= 64:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[word] = ids
+        return ids
+
+
+def code_of(p: Pieces) -> str:
+    return "H" if len(p.pieces) <= 1 << 16 else "I"
+
+
+_tables: dict[str, Table] = {}
+
+
+def encoder(spark: SparkSession, p: Pieces, known: Dictionary):
     """Function of batches of texts: for each text the list of its ids."""
-    shared = spark.sparkContext.broadcast((p, {w: np.array(ids, np.uint16 if len(p.pieces) <= 1 << 16 else np.uint32).tobytes() for w, ids in known.items()}))
+    name = uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((p, known))
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
-        model, table = shared.value
-        kind = np.uint16 if len(model.pieces) <= 1 << 16 else np.uint32
-        find = re.compile(word_pattern(model)).findall
-        out = []
-        for text in texts:
-            got = []
-            for w in find(prepare(text)):
-                ids = table.get(w)
-                if ids is None:
-                    ids = _cache.get(w)
-                    if ids is None:
-                        ids = np.array(encode_word(model, w), kind).tobytes()
-                        if len(w) <= 64:
-                            if len(_cache) >= CACHE_WORDS:
-                                _cache.clear()
-                            _cache[w] = ids
-                got.append(ids)
-            out.append(np.frombuffer(b"".join(got), kind))
-        return out
+        if name not in _tables:  # one table for a worker, whatever number of tasks it runs
+            _tables.clear()
+            model, words = shared.value
+            _tables[name] = Table(words.entries(array(code_of(model)).itemsize), model)
+        table = _tables[name]
+        find, look = re.compile(word_pattern(table.p)).findall, table.__getitem__
+        return [np.frombuffer(b"".join(map(look, find(prepare(t)))), table.kind) for t in texts]
 
     return encode
 
 
-_cache: dict[str, bytes] = {}
-
-
 def decode(p: Pieces, ids: list[int]) -> str:
     """The text of ids."""
     byte_of = {i: b for b, i in enumerate(p.byte_ids)}
