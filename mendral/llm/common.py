@@ -97,7 +97,7 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
-def spans(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def spans(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents whose bytes add up to ``most`` at most (or a single longer one)."""
     n, i = len(offsets) - 1, 0
     while i < n:

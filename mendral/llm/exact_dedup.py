@@ -144,7 +144,7 @@ def _deduplicate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = materialize(hashed.groupBy(*KEYED).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "dedup-groups")
     differ = materialize(unequal(docs, hashed, groups), "dedup-unequal")
     # a group that differs is taken apart by the whole text; the others stand as they are
-    rows = hashed.join(groups, KEYED).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *KEY)
+    rows = hashed.hint("merge").join(groups, KEYED).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *KEY)
     if differ.limit(1).count():
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("x")).withColumn("text_sha256", F.sha2("x", 256)).join(differ.select("text_sha256").distinct(), "text_sha256", "left_semi")
         exact = texts.groupBy("x").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
