@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .annotate import above, demote
-from .hierarchy import descendants, disjoint_pairs, small
+from .hierarchy import closure, disjoint_pairs, small
 
 
 def lineages(genomes: DataFrame, reach: DataFrame) -> DataFrame:
@@ -15,30 +15,27 @@ def lineages(genomes: DataFrame, reach: DataFrame) -> DataFrame:
     return up.select("genome", F.coalesce("ancestor", "taxon").alias("taxon")).unionByName(genomes.select("genome", "taxon")).distinct()
 
 
-def violating_terms(constraints: DataFrame, genomes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(genome, term, kind) that a genome's lineage rules out.
+def violating_terms(universe: DataFrame, constraints: DataFrame, genomes: DataFrame, reach: DataFrame) -> DataFrame:
+    """(genome, term, kind) of a universe (genome, term) that a genome's lineage rules out.
 
     A term is ruled out by a ``never_in_taxon`` in the lineage, or when none of its
-    ``only_in_taxon`` is: one suffices here, unlike in the solver. Both sides are
-    dimensions; facts are not touched.
+    ``only_in_taxon`` is: one suffices here, unlike in the solver.
     """
     line = lineages(genomes, reach).withColumn("__in", F.lit(True))
-    pairs = constraints.select("term", "kind", "taxon").distinct().join(line, "taxon", "inner").select("genome", "term", "kind").distinct()
-    never = pairs.where("kind = 'never_in_taxon'")
-    only_terms = constraints.where("kind = 'only_in_taxon'").select("term").distinct().withColumn("kind", F.lit("only_in_taxon"))
-    held = pairs.where("kind = 'only_in_taxon'")
-    every = only_terms.join(F.broadcast(genomes.select("genome").distinct()) if genomes.limit(100_001).count() <= 100_000 else genomes.select("genome").distinct(), F.lit(True))
-    missing = every.join(held, ["genome", "term", "kind"], "left_anti").select("genome", "term", "kind")
-    return never.unionByName(missing)
+    rows = universe.select("genome", "term").distinct().join(small(constraints.select("term", "kind", "taxon").distinct()), "term").join(line, ["genome", "taxon"], "left")
+    met = rows.groupBy("genome", "term", "kind").agg(F.bool_or(F.coalesce("__in", F.lit(False))).alias("met"))
+    return met.where("kind = 'never_in_taxon' AND met OR kind = 'only_in_taxon' AND NOT met").select("genome", "term", "kind")
 
 
 def naive_flips(predictions: DataFrame, tau: float, constraints: DataFrame, genomes: DataFrame, reach: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(genome, term) to demote; with ``edges`` the terms below a violating one go too."""
-    bad = violating_terms(constraints, genomes, reach).select("genome", "term").distinct()
-    if edges is not None:
-        down = descendants(edges)
-        bad = bad.join(small(down), F.col("term") == F.col("node"), "left").select("genome", F.coalesce("descendant", "term").alias("term")).distinct()
-    return above(predictions, tau).select("genome", "term").distinct().join(bad, ["genome", "term"], "left_semi")
+    present = above(predictions, tau).select("genome", "term").distinct()
+    if edges is None:
+        return violating_terms(present, constraints, genomes, reach).select("genome", "term").distinct()
+    # a term goes if any term above it, present or not, is ruled out
+    up = present.join(small(closure(edges)), F.col("term") == F.col("node"), "left").select("genome", F.col("term").alias("below"), F.coalesce("ancestor", "term").alias("term"))
+    bad = violating_terms(up, constraints, genomes, reach).select("genome", "term").distinct()
+    return up.join(bad, ["genome", "term"], "left_semi").select("genome", F.col("below").alias("term")).distinct()
 
 
 def naive_filter(predictions: DataFrame, tau: float, constraints: DataFrame, genomes: DataFrame, reach: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -47,12 +44,11 @@ def naive_filter(predictions: DataFrame, tau: float, constraints: DataFrame, gen
 
 def violation_listing(annotations: DataFrame, constraints: DataFrame, genomes: DataFrame, reach: DataFrame) -> DataFrame:
     """(genome, protein, term, kind, taxon): one row per kind; of several taxa the least is named."""
-    bad = violating_terms(constraints, genomes, reach)
-    line = lineages(genomes, reach)
-    never = constraints.where("kind = 'never_in_taxon'").join(line, "taxon").groupBy("genome", "term", "kind").agg(F.min("taxon").alias("taxon"))
-    only = constraints.where("kind = 'only_in_taxon'").groupBy("term", "kind").agg(F.min("taxon").alias("taxon"))
-    named = bad.where("kind = 'never_in_taxon'").join(never, ["genome", "term", "kind"]).unionByName(bad.where("kind = 'only_in_taxon'").join(only, ["term", "kind"]).select("genome", "term", "kind", "taxon"))
-    return annotations.select("genome", "protein", "term").distinct().join(named, ["genome", "term"]).select("genome", "protein", "term", "kind", "taxon")
+    bad = violating_terms(annotations, constraints, genomes, reach)
+    named = bad.join(small(constraints.select("term", "kind", "taxon").distinct()), ["term", "kind"]).join(lineages(genomes, reach).withColumn("__in", F.lit(True)), ["genome", "taxon"], "left")
+    # an only-in violation names any of its taxa, a never-in violation one of the lineage
+    least = named.where("kind = 'only_in_taxon' OR __in").groupBy("genome", "term", "kind").agg(F.min("taxon").alias("taxon"))
+    return annotations.select("genome", "protein", "term").distinct().join(least, ["genome", "term"]).select("genome", "protein", "term", "kind", "taxon")
 
 
 def satisfiability(annotations: DataFrame, constraints: DataFrame, disjoint: DataFrame, reach: DataFrame) -> DataFrame:

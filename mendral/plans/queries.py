@@ -521,7 +521,7 @@ def jaccard(v):
 
 @query("a28_soft_penalty_sweep", f"WITH bad AS (SELECT DISTINCT genome, term FROM ({VIOLATING})), m AS (SELECT round(p.score - 0.3, 9) AS m FROM predictions p JOIN bad USING (genome, term) WHERE score > 0.3) SELECT l AS penalty, count(*) FILTER (m < l) AS removed, count(*) - count(*) FILTER (m < l) AS residual, round(coalesce(sum(m) FILTER (m < l), 0), 4) AS cost, count(*) AS total, round(100.0 * count(*) FILTER (m < l) / count(*), 6) AS pct FROM m, (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.4), (0.6)) v(l) GROUP BY l", "predictions", *DIMS)
 def soft(v):
-    bad = consistency.violating_terms(v.constraints, v.genomes, taxon_closed(v)).select("genome", "term").distinct()
+    bad = consistency.violating_terms(annotate.above(v.predictions, 0.3), v.constraints, v.genomes, taxon_closed(v)).select("genome", "term").distinct()
     rows = annotate.above(v.predictions, 0.3).join(hierarchy.small(bad), ["genome", "term"], "left_semi")
     return flips.soft_sweep(rows, [0.05, 0.1, 0.2, 0.4, 0.6], 0.3).withColumns({"cost": F.round("cost", 4), "pct": r6("pct")})
 

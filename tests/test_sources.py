@@ -58,8 +58,8 @@ def test_dimension_files(spark, tmp_path):
     assert rows(t) == [("1", "UP1", 0, 5, "bacteria")]
     r = write(tmp_path, "README", "x\nProteome_ID\tTax_ID\tOSCODE\tSUPERREGNUM\t#(1)\nUP1\t9\tA\teukaryota\t12\nend\nUP2\t8\tA\tb\t3\n")
     assert rows(tables.read_reference_proteomes(spark, r)) == [("UP1", "9", "eukaryota", 12)]
-    log = write(tmp_path, "log", "=== sprof_cc_after ===\nF-max threshold (tmax): 0.31\nTerms changed by solver: 5  (FPs removed: 3, TPs lost: 2)  Flip precision: 0.6\n")
-    assert rows(tables.read_log(spark, log)) == [("sprof", "cc", "after", 5, 3, 2, "0.6", "0.31")]
+    log = write(tmp_path, "log", "=== first_cc_after ===\nF-max threshold (tmax): 0.31\nTerms changed by solver: 5  (FPs removed: 3, TPs lost: 2)  Flip precision: 0.6\n")
+    assert rows(tables.read_log(spark, log)) == [("first", "cc", "after", 5, 3, 2, "0.6", "0.31")]
     kv = write(tmp_path, "ani", "Status: ok: yes\nother: 1\n")
     assert rows(tables.read_key_values(spark, kv, {"Status": "status"})) == [("status", "ok: yes")]
 
