@@ -110,3 +110,16 @@ def coverage(changed: DataFrame, index: DataFrame, examples: int = 25) -> DataFr
     out = c.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("covered")).alias("covered"), F.count_if(F.col("covered") & good).alias("good"))
     pct = lambda a, b: F.round(F.try_divide(100.0 * F.col(a), F.col(b)), 2)
     return out.select("kind", "n", "covered", "good", pct("covered", "n").alias("covered_pct"), pct("good", "covered").alias("good_pct"))
+
+
+def ranking_tables(changed_terms: DataFrame, k: int) -> dict[str, DataFrame]:
+    """The four tables of a flip ranking: most flips, highest cost, all, and one row of totals."""
+    flips = F.col("demotions") + F.col("promotions")
+    cost = F.col("demotion_cost") + F.col("promotion_cost")
+    rows = changed_terms.withColumns({"flips": flips, "cost": cost})
+    return {
+        "by_count": rows.orderBy(F.desc("flips"), "term").limit(k),
+        "by_cost": rows.orderBy(F.desc("cost"), "term").limit(k),
+        "all": rows.orderBy("term"),
+        "summary": rows.agg(F.count("*").alias("terms"), F.sum("flips").alias("flips"), F.sum("cost").alias("cost")),
+    }

@@ -491,12 +491,30 @@ def specific(v):
     return hierarchy.specific_terms(v.annotations, closed(v))
 
 
-@query("e1_genome_report")
+@query(
+    "e1_genome_report",
+    f"""WITH t AS (SELECT DISTINCT genome, term FROM annotations),
+    w AS (SELECT t.genome, x.term IS NULL AS missing FROM t JOIN has_part h ON h.whole = t.term LEFT JOIN t x ON x.genome = t.genome AND x.term = h.part),
+    process AS (SELECT g.genome, CASE WHEN count(w.missing) > 0 THEN 100 - 100.0 * count(*) FILTER (w.missing) / count(w.missing) ELSE 0 END AS process_pct FROM (SELECT DISTINCT genome FROM t) g LEFT JOIN w USING (genome) GROUP BY 1),
+    pc AS (SELECT t.genome, c.pathway, c.combo, bool_and(x.term IS NOT NULL) AS whole FROM t JOIN pathway_combos c ON c.term = t.term LEFT JOIN t x ON x.genome = t.genome AND x.term = c.need GROUP BY 1, 2, 3),
+    path AS (SELECT genome, 100.0 * count(*) FILTER (done) / count(*) AS pathway_pct FROM (SELECT genome, pathway, bool_or(whole) AS done FROM pc GROUP BY 1, 2) GROUP BY 1),
+    comp AS (SELECT genome, 100.0 * count(*) FILTER (n > 1) / count(*) AS complex_pct FROM (SELECT genome, term, count(DISTINCT protein) AS n FROM annotations WHERE term IN (SELECT term FROM complexes) GROUP BY 1, 2) GROUP BY 1),
+    i AS ({RESNIK}), s AS (SELECT a.* FROM annotations a WHERE NOT EXISTS (SELECT 1 FROM annotations b JOIN reach r ON r.node = b.term WHERE b.genome = a.genome AND b.protein = a.protein AND r.ancestor = a.term)),
+    info AS (SELECT genome, avg(coalesce(w, 0)) AS depth, sum(coalesce(w, 0)) AS breadth FROM s LEFT JOIN (SELECT term, ic / max(ic) OVER () AS w FROM i) USING (term) GROUP BY 1),
+    r AS (SELECT DISTINCT a.genome, c.kind, c.taxon FROM t a JOIN constraints c USING (term)), o AS (SELECT genome, taxon FROM r WHERE kind = 'only_in_taxon'), n AS (SELECT genome, taxon FROM r WHERE kind = 'never_in_taxon'),
+    dj AS (SELECT DISTINCT x.node AS a, y.node AS b FROM (SELECT a, b FROM disjoint UNION SELECT b, a FROM disjoint) d JOIN taxon_closed x ON x.ancestor = d.a JOIN taxon_closed y ON y.ancestor = d.b WHERE x.node < y.node),
+    bad AS (SELECT o.genome FROM o JOIN n ON o.genome = n.genome AND o.taxon = n.taxon UNION SELECT x.genome FROM o x JOIN dj ON dj.a = x.taxon JOIN o y ON y.genome = x.genome AND y.taxon = dj.b UNION SELECT o.genome FROM o JOIN taxon_reach l ON l.node = o.taxon JOIN n ON n.genome = o.genome AND n.taxon = l.ancestor)
+    SELECT p.genome, round(process_pct, 6) AS process_pct, round(pathway_pct, 6) AS pathway_pct, round(complex_pct, 6) AS complex_pct, round(depth, 6) AS depth, round(breadth, 4) AS breadth, p.genome NOT IN (SELECT genome FROM bad) AS satisfiable
+    FROM process p LEFT JOIN path USING (genome) LEFT JOIN comp USING (genome) LEFT JOIN info USING (genome)""",
+    "annotations", "has_part", "pathway_combos", "complexes", "terms", "reach", "constraints", "disjoint", "taxon_closed",
+)
 def report(v):
     a = v.annotations
     norm = coherence.normalised(coherence.resnik_ic(a, v.terms))
+    reach = closed(v)
     sat = consistency.satisfiable(a, v.constraints, v.disjoint, taxon_closed(v))
-    return coherence.genome_report(a, v.has_part, v.pathway_combos, complexes(v), v.homodimers, hierarchy.specific_terms(a, closed(v)), norm, sat)
+    full = coherence.genome_report(a, v.has_part, v.pathway_combos, complexes(v), v.homodimers, hierarchy.specific_terms(a, reach), norm, sat)
+    return full.select("genome", *[r6(f"coherence.{c}", c) for c in ("process_pct", "pathway_pct", "complex_pct")], r6("information.depth", "depth"), F.round("information.breadth", 4).alias("breadth"), "satisfiable")
 
 
 # ---- what a repair changes -------------------------------------------------------------------

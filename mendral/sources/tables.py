@@ -188,3 +188,9 @@ def read_corum(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
 def subunit_index(entries: DataFrame) -> DataFrame:
     """(taxon, term, subunits): all members of the complexes of a term in a taxon, sorted."""
     return entries.select("taxon", "term", F.explode("subunits").alias("s")).groupBy("taxon", "term").agg(F.array_sort(F.collect_set("s")).alias("subunits"))
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A report as tab-separated text with a header; nested columns as JSON."""
+    flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in df.dtypes]
+    df.select(*flat).write.mode("overwrite").csv(path, sep="\t", header=True)

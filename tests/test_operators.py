@@ -101,3 +101,15 @@ def test_arrivals_are_repaired(spark, tmp_path):
     q = incremental.repair_arrivals(spark, source, "genome string, protein string, term string, score double", lambda d: d.where("score > 0.5"), out, str(tmp_path / "c"))
     q.awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_ranking_tables_are_written(spark, tmp_path):
+    from mendral.sources.tables import write_table
+
+    before = spark.createDataFrame([("g", "p", "X", 0.9), ("g", "q", "X", 0.8), ("g", "p", "Y", 0.95)], "genome string, protein string, term string, score double")
+    after = before.where("term <> 'X'").unionByName(spark.createDataFrame([("g", "q", "Y", 0.7)], before.schema))
+    made = flips.ranking_tables(flips.term_changes(before, after, 0.5), 1)
+    assert made["by_count"].first()["term"] == "X" and made["summary"].first()["flips"] == 3
+    for name, t in made.items():
+        write_table(t, str(tmp_path / name))
+    assert spark.read.csv(str(tmp_path / "all"), sep="\t", header=True).count() == 2
