@@ -120,3 +120,28 @@ def test_scalars(spark):
     assert r[0] == "NCBITaxon_9606" and r[1] == "2024-05-23" and tuple(r[2]) == (1, 7, True) and r[3] == [1, 5, 0, 0] and r[4] == 12.5 and r[5] == "9606::GO:1"
     bad = spark.createDataFrame([("31-FEB-2024",)], "d string").select(fn.dated(F.col("d"))).first()[0]
     assert bad is None
+
+
+def test_gaf_catalogues_and_reports(spark, tmp_path):
+    gaf = "!gaf\nDB\tP1\tS\tx\tGO:0000001\tr\tIDA\ty\tC\tz\nshort\trow\n"
+    assert rows(scored.read_gaf(spark, write(tmp_path, "a.gaf", gaf))) == [("P1", "GO:0000001", "C")]
+    portal = "Taxonomy identifier\tIdentifiers (and stoichiometry) of molecules in complex\tGo Annotations\n9606(Homo)\tP12345(2)|CHEBI:1(1)|Q9H9K5-1(0)\tGO:0000001(a)|GO:0000002(b)\n\tP12345(1)\tGO:0000001(a)\n"
+    got = tables.read_complex_portal(spark, write(tmp_path, "cp.tsv", portal))
+    assert rows(got) == [("9606", "GO:0000001", ["P12345", "Q9H9K5"]), ("9606", "GO:0000002", ["P12345", "Q9H9K5"])]
+    corum = "Organism\tsubunits(UniProt IDs)\tGO ID\nHuman\tP12345;bad,Q9H9K5\tGO:0000001;GO:0000003\nYeti\tP12345\tGO:0000001\n"
+    more = tables.read_corum(spark, write(tmp_path, "corum.tsv", corum))
+    assert rows(more) == [("9606", "GO:0000001", ["P12345", "Q9H9K5"]), ("9606", "GO:0000003", ["P12345", "Q9H9K5"])]
+    assert tables.subunit_index(got.unionByName(more)).count() == 3
+    with pytest.raises(ValueError, match="unknown layout"):
+        tables.read_corum(spark, write(tmp_path, "x.tsv", "A\tB\n1\t2\n"))
+    report = write(tmp_path, "r.json", '{"metrics": {"fmax": 0.5}, "n": "x"}')
+    r = scored.read_reports(spark, report, {"fmax": "metrics.fmax", "n": "n", "none": "a.b"}).first()
+    assert (r["fmax"], r["n"], r["none"]) == (0.5, None, None)
+    assert rows(tables.read_consistent(spark, write(tmp_path, "c1", "Genome\tIsSatisfiable\tE\n9606\tTrue\t\n7\tFalse\tx\n"))) == [("9606",)]
+    assert rows(tables.read_consistent(spark, write(tmp_path, "c2", "9606: consistent\n7: inconsistent\n"))) == [("9606",)]
+    details = tables.read_details(spark, write(tmp_path, "d.tsv", "a\tok\n1\tTrue\n2\tNone\n3\tFalse\n"), ["ok"])
+    assert rows(details) == [("1", True), ("2", None), ("3", False)]
+    assert rows(tables.read_ic(spark, write(tmp_path, "ic", "GO:1\t2.5\nGO:2\tx\n"))) == [("GO:1", 2.5)]
+    assert rows(ontology.read_definitions(spark, write(tmp_path, "defs", "GO_1: GO_2 and GO_3\n"))) == [("GO:1", ["GO:2", "GO:3"])]
+    t = tables.read_test_proteins(spark, write(tmp_path, "t.tsv", "protein_id\ttaxon_id\nP1\t9\nP2\tNA\n"))
+    assert rows(t) == [("P1", "9")]
