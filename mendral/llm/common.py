@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,25 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "/tmp/checkpoints/mendral"
 
 _scratch: list[str] = []
+_held: dict[str, dict] = {}
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the machine, where the allocator can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back this way
+
+
+def take_over(owner: str) -> dict:
+    """What a worker keeps between the tasks of one operator; what other operators kept goes."""
+    if set(_held) != {owner}:
+        for other in [k for k in _held if k != owner]:
+            del _held[other]
+        trim()
+    return _held.setdefault(owner, {})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

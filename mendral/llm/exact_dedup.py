@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, small_batches, utf8
+from .common import documents, materialize, small_batches, take_over, utf8
 
 #: Two primes just above 10**18: 120 bits of fingerprint together.
 PRIMES = (10**18 + 3, 10**18 + 9)
@@ -65,6 +65,7 @@ PRINTS = "doc_id long, f0 long, f1 long, n_bytes long, text_sha256 string"
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_over("exact_dedup")
     for b in batches:
         data, off = utf8(b.column("text"))
         f0, f1, size, sha = [], [], [], []

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, materialize, mix64, small_batches, spans, utf8
+from .common import discard, documents, materialize, mix64, small_batches, spans, take_over, utf8
 from .components import components
 from .shingles import shingle_sets
 
@@ -102,6 +102,7 @@ SETS = "doc_id long, n_shingles long, d0 long, d1 long, sigs array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_over("jaccard_join")
     for b in batches:
         data, off = utf8(b.column("text"))
         ids = b.column("doc_id")
@@ -124,6 +125,7 @@ RESIDUALS = "p long, y long, home boolean, ny long, np long, added int, d array<
 
 def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """D(y) = y ^ p for rows (p, y, text, pivot_text): first the ``added`` elements, then those y lacks."""
+    take_over("jaccard_join")
     last: tuple[int | None, np.ndarray | None] = (None, None)
     for b in batches:
         ps, ys = b.column("p").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False)

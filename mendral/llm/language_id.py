@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of, small_batches, spans, utf8
+from .common import documents, fold_of, small_batches, spans, take_over, utf8
 
 WINDOW = 256
 WIDTHS = (4, 3, 2)
@@ -151,6 +151,7 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows:
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
     def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over("language_id")
         for b in batches:
             out = []
             for doc_id, text, lang in zip(b["doc_id"], b["text"], b["lang"], strict=True):
@@ -179,6 +180,7 @@ def predict(net: ByteConvNet | None):
 
     @F.arrow_udf("lang_pred string, score double")
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        take_over("language_id")
         for arr in batches:
             lang, score = ["und"] * len(arr), np.zeros(len(arr))
             if net is not None:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, materialize, small_batches
+from .common import discard, documents, materialize, small_batches, take_over
 
 #: Where the tokenizer files are; a parameter of the environment, never copied.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -339,20 +339,18 @@ def code_of(p: Pieces) -> str:
     return "H" if len(p.pieces) <= 1 << 16 else "I"
 
 
-_tables: dict[str, Table] = {}
-
-
 def encoder(spark: SparkSession, p: Pieces, known: Dictionary):
     """Function of batches of texts: for each text the list of its ids."""
     name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((p, known))
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
-        if name not in _tables:  # one table for a worker, whatever number of tasks it runs
-            _tables.clear()
+        tables = take_over("sentencepiece")
+        if name not in tables:  # one table for a worker, whatever number of tasks it runs
+            tables.clear()
             model, words = shared.value
-            _tables[name] = Table(words.entries(array(code_of(model)).itemsize), model)
-        table = _tables[name]
+            tables[name] = Table(words.entries(array(code_of(model)).itemsize), model)
+        table = tables[name]
         find, look = re.compile(word_pattern(table.p)).findall, table.__getitem__
         return [np.frombuffer(b"".join(map(look, find(prepare(t)))), table.kind) for t in texts]
 
