@@ -126,7 +126,7 @@ KEYED = [*KEY, "text_sha256"]
 def unequal(docs: DataFrame, hashed: DataFrame, groups: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Groups whose texts differ somewhere, found by comparing chunk after chunk."""
     many = groups.where("group_size > 1").select(*KEYED)
-    ids = hashed.where("doc_id IS NOT NULL").join(many, KEYED, "left_semi").select(F.col("doc_id").alias("i"), *KEYED).distinct()
+    ids = hashed.where("doc_id IS NOT NULL").hint("merge").join(many, KEYED, "left_semi").select(F.col("doc_id").alias("i"), *KEYED).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(ids, "i").select(*KEYED, F.encode(normalised(), "UTF-8").alias("raw"))
     last = F.greatest(F.lit(0), F.floor((F.octet_length("raw") - 1) / chunk).cast("int"))
     parts = texts.select(*KEYED, "raw", F.explode(F.sequence(F.lit(0), last)).alias("k")).select(*KEYED, "k", F.substring("raw", F.col("k") * chunk + 1, F.lit(chunk)).alias("part"))
