@@ -6,7 +6,8 @@ calls one operator of ``mendral.llm``:
 
 1. language_id: texts of no known language go (``und`` or a score under 0.3).
 2. exact_dedup: of texts equal up to white space the one of least id stays.
-3. jaccard_join: of each component of near copies the one of least id stays.
+3. jaccard_join: of each component of near copies (Jaccard similarity 0.8 of
+   shingles of 5 words) the one of least id stays.
 4. source_mixing: sources are read as often as the mixture wants, each document
    once at least and at most twice; a document read twice is two rows.
 5. sentencepiece: the ids of every row's text.
@@ -30,7 +31,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, jaccard_join.NEAR_COPIES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Exact Jaccard join of word shingle sets in the metric space of symmetric differences.
 
-Documents link when ``100 * |A & B| >= 90 * |A | B|``, that is when
-``|A| + |B| >= 19 * |A ^ B|``; the result names each document's component.
+Documents link when ``den * |A & B| >= num * |A | B|``, that is when
+``(den - num) * (|A| + |B|) >= (den + num) * |A ^ B|``; the result names each
+document's component. ``Likeness`` holds the words of a shingle and the bound:
+3 words and 9/10 in op6, other values for stages of pipelines.
 
 1. Equal sets collapse to one node each (the least id).
 2. Regions. Random pivots are at distance 1 from almost every text, so pivots are
    chosen where texts are dense: a set is cut into one part more than the largest
    difference of linked sets has elements (and a few spare ones), so linked sets
    agree in a whole part that is not empty. Sets that share a part form a region;
-   regions of the same members count once.
+   regions of the same members count once. How many parts linked sets share at least
+   is known for each set, and sets and replicas that share fewer are left out.
 3. Pivots and Voronoi cells. The member of a region that meets most others is its
    pivot. A document's home cell is that of the pivot it shares most regions with.
    It is replicated to the home cells of all members of its regions, so each
@@ -33,6 +36,8 @@ hashes. An empty table gives an empty result. Other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +48,6 @@ from .common import discard, documents, materialize, mix64, small_batches, spans
 from .components import components
 from .shingles import shingle_sets
 
-#: 100 * |A & B| >= 90 * |A | B|  <=>  |A| + |B| >= RATIO * |A ^ B|
-RATIO = 19
-#: Below this size only equal sets link.
-LEAST = 9
 #: Rows up to which a list of ids is sent to every executor (16 bytes each); beyond, it is shuffled.
 BROADCAST_ROWS = 400_000
 SEED = np.uint64(0xA0761D6478BD642F)
@@ -61,22 +62,74 @@ def size_classes(most: int) -> list[int]:
 
 
 CLASSES = np.array(size_classes(1 << 40), dtype=np.int64)
-DIFFERENCE = 2 * CLASSES // RATIO
-SPARE = 1 + (DIFFERENCE * 0.004).astype(np.int64)
-PARTS = DIFFERENCE + 1 + SPARE
 
 
-def signatures(h: np.ndarray, size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of the parts of each set; ``h`` holds sets one after the other."""
+@dataclass(frozen=True)
+class Likeness:
+    """Sets of shingles of ``words`` words link from a Jaccard similarity of ``num / den`` up.
+
+    ``spare`` is the share of parts that may be empty before empty parts count as
+    shared ones: it decides costs, never results.
+    """
+
+    words: int = 3
+    num: int = 9
+    den: int = 10
+    spare: float = 0.004
+
+    def __post_init__(self) -> None:
+        # a linked set is at most one size class larger
+        if not 0 < self.num < self.den or 100 * self.den > 135 * self.num:
+            raise ValueError(f"no bound of the join: {self.num}/{self.den}")
+
+    @property
+    def gap(self) -> int:
+        return self.den - self.num
+
+    @property
+    def sum(self) -> int:
+        return self.den + self.num
+
+    @property
+    def least(self) -> int:
+        """Below this size only equal sets link."""
+        return -(-self.num // self.gap)
+
+    @cached_property
+    def difference(self) -> np.ndarray:
+        """The largest difference of linked sets of each size class."""
+        return 2 * CLASSES * self.gap // self.sum
+
+    @cached_property
+    def spares(self) -> np.ndarray:
+        return 1 + (self.difference * self.spare).astype(np.int64)
+
+    @cached_property
+    def parts(self) -> np.ndarray:
+        return self.difference + 1 + self.spares
+
+
+OP6 = Likeness()
+#: The bound of near copies in a corpus. Many spare parts make linked sets share many of them.
+NEAR_COPIES = Likeness(words=5, num=4, den=5, spare=0.5)
+
+
+def signatures(h: np.ndarray, size: np.ndarray, start: np.ndarray, like: Likeness = OP6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number) of the parts of each set; ``h`` holds sets one after the other.
+
+    Third, for each set the least number of parts that it shares with any linked set:
+    all parts less those that differences can touch and its empty ones.
+    """
     sigs, owners = [], []
+    need = np.full(len(size), np.iinfo(np.int64).max)
     low = np.searchsorted(CLASSES, size)
-    high = np.searchsorted(CLASSES, size * 10 // 9)
+    high = np.searchsorted(CLASSES, size * like.den // like.num)
     for extra in (False, True):
-        sets = np.flatnonzero((size >= LEAST) & ((high > low) if extra else True))
+        sets = np.flatnonzero((size >= like.least) & ((high > low) if extra else True))
         if not len(sets):
             continue
         cls = (high if extra else low)[sets]
-        parts, counts = PARTS[cls], size[sets]
+        parts, counts = like.parts[cls], size[sets]
         first = np.concatenate([[0], np.cumsum(parts)])
         own = np.repeat(np.arange(len(sets)), counts)
         at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(start[sets], counts)
@@ -88,42 +141,44 @@ def signatures(h: np.ndarray, size: np.ndarray, start: np.ndarray) -> tuple[np.n
         of = np.repeat(np.arange(len(sets)), parts)
         # sets with more empty parts than spare ones must show these too
         empty = np.bincount(of, weights=~filled, minlength=len(sets))
-        keep = filled | (empty > SPARE[cls])[of]
+        keep = filled | (empty > like.spares[cls])[of]
+        touched = np.minimum(like.difference[cls], counts * like.gap // like.num)
+        need[sets] = np.minimum(need[sets], np.maximum(1, parts - touched - empty.astype(np.int64)))
         number = np.arange(first[-1]) - first[of]
         sig = mix64(total + mix64((cls[of].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + np.uint64(1)))
         sigs.append(sig[keep])
         owners.append(sets[of[keep]])
     if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), need
+    return np.concatenate(sigs), np.concatenate(owners), need
 
 
-SETS = "doc_id long, n_shingles long, d0 long, d1 long, sigs array<long>"
+SETS = "doc_id long, n_shingles long, d0 long, d1 long, need long, sigs array<long>"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     take_over("jaccard_join")
     for b in batches:
         data, off = utf8(b.column("text"))
         ids = b.column("doc_id")
         for i, j in spans(off):
-            h, own = shingle_sets(data, off[i : j + 1])
+            h, own = shingle_sets(data, off[i : j + 1], like.words)
             size = np.bincount(own, minlength=j - i)
             start = np.cumsum(size) - size
             d0, d1 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
             np.add.at(d0, own, mix64(h))
             np.add.at(d1, own, mix64(h + SEED))
-            sig, of = signatures(h, size, start)
+            sig, of, need = signatures(h, size, start, like)
             order = np.argsort(of, kind="stable")
             edge = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(sig[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d0.view(np.int64)), pa.array(d1.view(np.int64)), lists], ["doc_id", "n_shingles", "d0", "d1", "sigs"])
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d0.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(need), lists], ["doc_id", "n_shingles", "d0", "d1", "need", "sigs"])
 
 
 RESIDUALS = "p long, y long, home boolean, ny long, np long, added int, d array<long>"
 
 
-def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _residuals(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """D(y) = y ^ p for rows (p, y, text, pivot_text): first the ``added`` elements, then those y lacks."""
     take_over("jaccard_join")
     last: tuple[int | None, np.ndarray | None] = (None, None)
@@ -132,12 +187,12 @@ def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = utf8(b.column("text"))
         pdata, poff = utf8(b.column("pivot_text"))
         for i, j in spans(off):
-            h, own = shingle_sets(data, off[i : j + 1])
+            h, own = shingle_sets(data, off[i : j + 1], like.words)
             edge = np.searchsorted(own, np.arange(j - i + 1))
             diff, sizes, pivots, new = [], [], [], []
             for k in range(i, j):
                 if last[0] != ps[k] or last[1] is None:
-                    last = (ps[k], shingle_sets(pdata, poff[k : k + 2])[0])
+                    last = (ps[k], shingle_sets(pdata, poff[k : k + 2], like.words)[0])
                 own_set = h[edge[k - i] : edge[k - i + 1]]
                 added, gone = np.setdiff1d(own_set, last[1], assume_unique=True), np.setdiff1d(last[1], own_set, assume_unique=True)
                 diff.append(np.concatenate([added, gone]).view(np.int64))
@@ -155,14 +210,18 @@ def near(df: DataFrame) -> DataFrame:
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """(sig, y): the members of each region of at least two, regions of equal members once."""
-    rows = nodes.select(F.col("rep").alias("y"), F.explode("sigs").alias("sig"))
+    """(sig, y, times, need): the members of each region of at least two; regions of equal members once, with their number.
+
+    A linked document meets others in ``need`` parts at least; those that do not are in no region.
+    """
+    every = nodes.select(F.col("rep").alias("y"), "need", F.explode("sigs").alias("sig"))
+    shared = every.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    enough = materialize(every.join(shared, "sig").groupBy("y", "need").agg(F.count("*").alias("k")).where("k >= need").select("y"), "meeting")
+    rows = materialize(every.join(near(enough), "y", "left_semi"), "meeting-parts")
     met = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.bit_xor(F.xxhash64("y")).alias("x"), F.bit_xor(F.xxhash64("y", F.lit(1))).alias("z")).where("n > 1")
-    distinct = materialize(met.groupBy("n", "lo", "hi", "x", "z").agg(F.min("sig").alias("sig")), "regions")
-    pairs = distinct.where("n = 2").select("sig", F.explode(F.array("lo", "hi")).alias("y"))
-    many = rows.join(near(distinct.where("n > 2").select("sig")), "sig", "left_semi").select("sig", "y")
-    members = materialize(pairs.unionByName(many), "members")
-    discard(distinct)
+    distinct = materialize(met.groupBy("n", "lo", "hi", "x", "z").agg(F.min("sig").alias("sig"), F.count("*").alias("times")), "regions")
+    members = materialize(rows.join(near(distinct.select("sig", "times")), "sig").select("sig", "y", "times", "need"), "members")
+    discard(enough, rows, distinct)
     return members
 
 
@@ -179,28 +238,28 @@ def cells(members: DataFrame) -> DataFrame:
     most = materialize(shared.groupBy("y").agg(F.max("k").alias("most")), "most-shared")
     home = materialize(shared.join(most, "y").where("2 * k >= most").groupBy("y").agg(F.max(F.struct("w", (-F.col("p")).alias("m"))).alias("best")).select("y", (-F.col("best.m")).alias("home")), "homes")
     homes = materialize(members.join(home, "y").select("sig", F.col("home").alias("p")).distinct(), "region-homes")
-    met = members.join(homes, "sig").select("p", "y").distinct()
+    met = members.join(homes, "sig").groupBy("p", "y", "need").agg(F.sum("times").alias("k")).where("k >= need").select("p", "y")
     found = materialize(met.join(home, "y").select("p", "y", (F.col("home") == F.col("p")).alias("home")), "cells")
     discard(size_of, weight, pivot, shared, most, home, homes)
     return found
 
 
-def residuals(docs: DataFrame, found: DataFrame) -> DataFrame:
+def residuals(docs: DataFrame, found: DataFrame, like: Likeness = OP6) -> DataFrame:
     """(p, y, home, ny, np, added, d) of each cell member except the pivot itself."""
     texts = docs.select(F.col("doc_id").alias("y"), "text")
     of_members = texts.join(near(found.where("p <> y")), "y")
     of_pivots = texts.join(near(found.select(F.col("p").alias("y")).distinct()), "y", "left_semi").select(F.col("y").alias("p"), F.col("text").alias("pivot_text"))
-    return of_members.hint("merge").join(of_pivots, "p").select("p", "y", "home", "text", "pivot_text").mapInArrow(_residuals, RESIDUALS)
+    return of_members.hint("merge").join(of_pivots, "p").select("p", "y", "home", "text", "pivot_text").mapInArrow(lambda batches: _residuals(batches, like), RESIDUALS)
 
 
-def links(residual: DataFrame) -> DataFrame:
+def links(residual: DataFrame, like: Likeness = OP6) -> DataFrame:
     """(a, b) that connect exactly the documents which links connect."""
-    r = residual.withColumn("s", F.size("d")).withColumn("ball", F.expr(f"ny + np >= {RATIO} * s"))
+    r = residual.withColumn("s", F.size("d")).withColumn("ball", F.expr(f"(ny + np) * {like.gap} >= {like.sum} * s"))
     to_pivot = r.where("ball").select(F.col("p").alias("a"), F.col("y").alias("b"))
     # Every pair meets in the cell that is home to one of its two. By the triangle
     # inequality a replica can only link to a home member whose D is about as large;
     # and a cell needs someone outside the ball and two members besides the pivot.
-    k_most = f"int((ny + ny * 10 / 9) / {RATIO})"
+    k_most = f"int(ny * {like.gap} div {like.num})"
     cell = r.groupBy("p").agg(F.count("*").alias("n"), F.count_if(~F.col("ball")).alias("out"), F.max(F.when(F.col("home"), F.col("s"))).alias("reach")).where("n > 1 AND out > 0 AND reach IS NOT NULL").select("p", "reach")
     inner = materialize(r.join(near(materialize(cell, "open-cells")), "p").where(f"home OR s <= reach + {k_most}").drop("reach"), "open-residuals")
     # One order of elements for a whole cell, rare ones first: what members add, by
@@ -219,37 +278,37 @@ def links(residual: DataFrame) -> DataFrame:
     lacking = inner.where("added < most").select(*member, "most", "added", F.posexplode(F.expr("slice(d, added + 1, greatest(0, most - added))")).alias("k", "e")).select(*member, "most", "e", (F.col("added") + F.col("k") + 1).alias("pos"))
     index = materialize(added.unionByName(lacking).where("pos <= most").drop("most"), "residual-index")
     x, y = index.where("NOT ball").alias("x"), index.alias("y")
-    k = f"int((x.ny + y.ny) / {RATIO})"
+    k = f"int((x.ny + y.ny) * {like.gap} div {like.sum})"
     t = f"greatest(1, int(ceil((x.s + y.s - {k}) / 2.0)))"
     meet = F.expr(
         f"x.p = y.p AND x.e = y.e AND x.y <> y.y AND (y.ball OR x.y < y.y) AND (x.home OR y.home) AND abs(x.s - y.s) <= {k} "
-        f"AND 10 * least(x.ny, y.ny) >= 9 * greatest(x.ny, y.ny) AND x.pos <= x.s - {t} + 1 AND y.pos <= y.s - {t} + 1"
+        f"AND {like.den} * least(x.ny, y.ny) >= {like.num} * greatest(x.ny, y.ny) AND x.pos <= x.s - {t} + 1 AND y.pos <= y.s - {t} + 1"
     )
     pairs = materialize(x.join(y, meet).select("x.p", F.col("x.y").alias("a"), F.col("y.y").alias("b")).distinct(), "residual-pairs")
     d = inner.select("p", "y", "ny", "d")
     both = pairs.join(d.select("p", F.col("y").alias("a"), F.col("ny").alias("na"), F.col("d").alias("da")), ["p", "a"]).join(d.select("p", F.col("y").alias("b"), F.col("ny").alias("nb"), F.col("d").alias("db")), ["p", "b"])
-    inside = both.where(f"na + nb >= {RATIO} * (size(da) + size(db) - 2 * size(array_intersect(da, db)))").select("a", "b")
+    inside = both.where(f"(na + nb) * {like.gap} >= {like.sum} * (size(da) + size(db) - 2 * size(array_intersect(da, db)))").select("a", "b")
     return to_pivot.unionByName(inside)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, like: Likeness = OP6) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    full = materialize(rows.mapInArrow(_sets, SETS), "shingle-sets")
-    small = materialize(full.drop("sigs"), "shingle-sizes")
+    full = materialize(rows.mapInArrow(lambda batches: _sets(batches, like), SETS), "shingle-sets")
+    small = materialize(full.drop("need", "sigs"), "shingle-sizes")
     equal = ["d0", "d1", "n_shingles"]
     named = full.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = materialize(small.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*equal).agg(F.min("doc_id").alias("rep")), "set-representatives")
-    nodes = materialize(named.where(f"n_shingles >= {LEAST}").join(reps.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sigs"), "set-nodes")
+    nodes = materialize(named.where(f"n_shingles >= {like.least}").join(reps.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "need", "sigs"), "set-nodes")
     discard(full)
     members = regions(nodes)
     discard(nodes)
     found = cells(members)
     discard(members)
-    residual = materialize(residuals(rows, found), "residuals")
+    residual = materialize(residuals(rows, found, like), "residuals")
     discard(found)
-    joined = components(links(residual))
+    joined = components(links(residual, like))
     named_reps = materialize(reps.join(joined, F.col("rep") == F.col("node"), "left").select(*equal, F.coalesce("component", "rep").alias("component")), "set-components")
     return (
         small.hint("merge").join(named_reps, equal, "left")
@@ -261,8 +320,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, like: Likeness = OP6) -> DataFrame:
     """One document (the least id) of each component; rows without an id stay."""
-    result = jaccard_components(docs)
+    result = jaccard_components(docs, like)
     gone = materialize(result.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "linked-away")
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -261,6 +261,51 @@ def test_join_equals_brute_force(spark, seed):
     assert got == brute_components(docs)
 
 
+def brute_near_copies(docs, size, num, den):
+    """Components by a Jaccard similarity of num / den of shingles of ``size`` words, all pairs compared."""
+    sets_ = {}
+    for d, t in docs:
+        w = words(t)
+        sets_[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    parent = {d: d for d in sets_}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets_:
+        for b in range(a):
+            inter = len(sets_[a] & sets_[b])
+            if inter and den * inter >= num * (len(sets_[a]) + len(sets_[b]) - inter):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets_[d]), find(d)) for d in sets_}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_join_of_near_copies_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    short = [" ".join(base[: rng.randint(7, 10)]) for _ in range(12)]
+    docs = list(enumerate([*edited_texts(rng, 260), *short, "", " ", "one", "one two", "One  TWO", "a b c"]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.jaccard_components(table(spark, [t for _, t in docs]), jaccard_join.NEAR_COPIES))}
+    want = brute_near_copies(docs, 5, 4, 5)
+    assert got == want
+    assert len({c for _, c in want.values()}) < len({c for _, c in brute_components(docs).values()})
+
+
+def test_parts_are_rarely_empty():
+    """Empty parts would make regions of unlike texts; the share expected leaves room for them."""
+    rng = np.random.default_rng(5)
+    for like in (jaccard_join.OP6, jaccard_join.NEAR_COPIES):
+        for n in (60, 300, 2000):
+            sets_ = [np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64)) for _ in range(200)]
+            size = np.array([len(x) for x in sets_])
+            sig, _, _ = jaccard_join.signatures(np.concatenate(sets_), size, np.cumsum(size) - size, like)
+            assert len(sig) - len(np.unique(sig)) < len(sig) / 100
+
+
 def test_join_edges(spark, edge, none):
     got = rows(jaccard_join.jaccard_components(edge))
     assert len(got) == len(TEXTS)

@@ -30,3 +30,11 @@ def test_run_gives_what_the_stages_give(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_by_five_words_go(spark, sf):
+    w = [f"w{i}" for i in range(100)]
+    # 96 shingles of 5 words, 9 of them changed: 87 / 105 = 0.829; of 3 words 98, 6 of them changed: 92 / 104 = 0.885
+    copy = [*w[:20], "x", *w[21:60], *w[60:96], "y", *w[97:]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate([w, copy, w[:40]])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()} == {0, 2}
