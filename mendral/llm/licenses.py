@@ -114,6 +114,22 @@ TEXTS: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("", _APACHE_HEADER),
     "Zlib": ("zlib License", _ZLIB),
 }
+#: Digests of complete licences as published (no text of theirs is kept here): all of it and,
+#: where it has an appendix after "END OF TERMS AND CONDITIONS", up to that line with and without it.
+COMPLETE: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("cc411e5c73676ae13e68bf0fe2c031a62b3a1ef56829577a7d168699686c1e7e", "bb9623a3f15021216105e0ed4e2426d8ef8863d7c5f58860ef1cd2bf983015cf", "f16a2c71cdef52763eb4e8d07430ba72c05356a4e2204a12f3995c1ee5d38fde"),
+    "GPL-1.0": ("563aa819aa634f9698b263e285a0ef92b5388d22a13d9d829e3fd461737efbed", "6c07dfb5e6ddc39fe93ae803d39b67367c21b50207b645111c04cd08cb283d70", "3c796b04cfbd58d45e505bbfd656f39ed02b0e66f4b7768a6c92eb29931304c8"),
+    "GPL-2.0": ("4bd5045a48706fa5e862541daebbb8131a7a8a1bcc2af75687a0be635a07350d", "e77ea949ae7126e628ca6a81f53dc5a46e37445a68a69a45ea7fabfbe24b9e7b", "f413c75f54266e62e9f744800f8a3439c3842cc39c4fa37dd3fbda1a51095baf"),
+    "GPL-3.0": ("f6d8b65199511fd46ea7fac53d0f8e5331927ab2b76ee90e14b8c6d0d77713bd", "3b36e75d612e42ddf64d6a73bfee647eb1f7f6ee1e61f4bba56921a15c85cc4c", "3c74c1255fee4531c1360ca5790c9d5219824373959ee687ca01e08670eff78d"),
+    "LGPL-2.0": ("2497dd9192c415f9e6962fa2bef333b5f1bbee1f12bbcce9a65e69779dbd2d1c", "c2cefe189596f86dbbdab4ca8b161c6262f8b0d574184ce87144b676eb4e7d0a", "3bb3f2f987ac797968f7655d8946e3fb45c8ed8e489b8090b8c2957416070991"),
+    "LGPL-2.1": ("d786ddfefca9502d2e51ecd68e214dec39d11c7ae4ad98fea161729f900888d2", "0948f7f91046d0736fbe4b1285c1418c43656d51b8a98c2690fd48e68a51284e", "14d2766e74523a520125045c7df201c048aea2169d95faf662634c49a477ae7d"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354",),
+    "MPL-2.0": ("3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.2": ("3e904b03071187235d313f918c60be524121c718ca44346862ed3beb1bb46296",),
+    "GFDL-1.3": ("974278ae87f95c1e29f3876f9ad2d44bb5dd7e8887e7726bf9c2e7fb121308b8",),
+}
 #: Names by which a one-line notice may call a licence.
 NAMES: dict[str, tuple[str, ...]] = {
     "MIT": ("MIT License", "MIT"),
@@ -138,6 +154,8 @@ def license_digests() -> dict[str, str]:
     for name, (title, *body) in TEXTS.items():
         for parts in (body, [title, *body]):
             out[digest("\n\n".join(parts))] = name
+    for name, known in COMPLETE.items():
+        out |= dict.fromkeys(known, name)
     return out
 
 
@@ -148,7 +166,7 @@ def notice_digests() -> dict[str, str]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, canonical_sha256, license_id (whole text), notices (named in lines, sorted) of every row."""
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(sorted(license_digests().items()), "canonical_sha256 string, license_id string"))  # two rows for each licence
+    known = F.broadcast(spark.createDataFrame(sorted(license_digests().items()), "canonical_sha256 string, license_id string"))  # up to four rows for each licence
     notices = F.create_map(*[F.lit(x) for kv in sorted(notice_digests().items()) for x in kv])
     rows = docs.select("doc_id", prepared(F.col("text")).alias("x"))
     lines = F.filter(F.split("x", "\n"), lambda line: line.rlike(HINT))

@@ -1,6 +1,7 @@
 """The corpus operators on small tables: exact references, brute force, edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -189,6 +190,23 @@ def test_licences(spark, edge, none):
         assert r["license_id"] is None
 
 
+COMPLETE_TEXTS = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def test_complete_licences(spark):
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts on this machine")
+    names = [n for n in COMPLETE_TEXTS if os.path.exists(f"{folder}/{n}")]
+    whole = [open(f"{folder}/{n}", encoding="utf-8").read() for n in names]
+    end = "END OF TERMS AND CONDITIONS"
+    cut = [(n, t[: t.index(end)]) for n, t in zip(names, whole, strict=True) if end in t]
+    texts = [*whole, *(t.replace("\n", "\n  ") for t in whole), *(t for _, t in cut), whole[0][:5000]]
+    got = {r["doc_id"]: r["license_id"] for r in rows(licenses.scan(table(spark, texts)))}
+    want = [*(COMPLETE_TEXTS[n] for n in [*names, *names, *(n for n, _ in cut)]), None]
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ---- 5 mixing ---------------------------------------------------------------------------------------
 def mixture(spark):
     docs = [(i, "w " * (i % 5 + 1), "big" if i % 10 < 7 else "small" if i % 10 < 9 else None) for i in range(400)]
