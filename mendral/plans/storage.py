@@ -11,9 +11,12 @@ LOCAL_SCRATCH = "/tmp/checkpoints/mendral"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where none is set."""
+    """``spark.checkpoint.dir`` of the session. Only a single machine has a default; on a cluster it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_SCRATCH)
         named = LOCAL_SCRATCH
     return named.rstrip("/")
