@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder used only where the session names none (tests, a single machine).
+#: Folder used only where the session names none and runs on a single machine.
 LOCAL_SCRATCH = "/tmp/checkpoints/mendral"
 
 _scratch: list[str] = []
@@ -46,14 +46,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names, else a local default."""
+    """The shared folder the session names. Only a single machine has a default; on a cluster it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_SCRATCH)
         named = LOCAL_SCRATCH
     return named.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores after it until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 

@@ -34,6 +34,7 @@ import re
 import uuid
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,7 +52,7 @@ SPACE = "\u2581"
 #: Bounds: words in the dictionary, characters of a word in it, words a task remembers besides.
 DICTIONARY_WORDS = 400_000
 DICTIONARY_CHARS = 32
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 NEVER = float("inf")
 
 
@@ -294,44 +295,63 @@ def dictionary(docs: DataFrame, p: Pieces, most: int = DICTIONARY_WORDS) -> Dict
             words.append(w)
             ends.append(len(ids))
     discard(counted, chosen)
-    # no word holds a line break unless it is one, which is encoded in place
-    keep = [i for i, w in enumerate(words) if "\n" not in w]
-    if len(keep) < len(words):
-        parts = [ids[ends[i - 1] if i else 0 : ends[i]] for i in keep]
-        words, ids, ends = [words[i] for i in keep], array(kind, [x for part in parts for x in part]), array("I", np.cumsum([len(x) for x in parts]).tolist())
-    return Dictionary("\n".join(words).encode("utf-8", "surrogatepass"), ids.tobytes(), ends.tobytes())
+    return Dictionary.of(words, [ids[a:z].tobytes() for a, z in zip([0, *ends], ends, strict=False)])
 
 
 @dataclass
 class Dictionary:
-    """Encoded words as three byte strings: small to send, and read once by a worker."""
+    """Encoded words in five byte strings: some 25 bytes a word, sent as they are and looked up in place.
 
+    Words are in order of their CRC-32. Of words that share one, only one is found
+    here; the others are encoded in place, so results do not depend on it.
+    """
+
+    keys: bytes = b""
     words: bytes = b""
+    word_ends: bytes = b""
     ids: bytes = b""
-    ends: bytes = b""
+    id_ends: bytes = b""
+
+    @classmethod
+    def of(cls, words: list[str], ids: list[bytes]) -> Dictionary:
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        keys = np.array([zlib.crc32(w) for w in raw], np.uint32)
+        order = np.argsort(keys, kind="stable").tolist()
+        raw, ids = [raw[i] for i in order], [ids[i] for i in order]
+        ends = lambda parts: np.cumsum([len(x) for x in parts]).astype(np.uint32).tobytes()
+        return cls(np.sort(keys).tobytes(), b"".join(raw), ends(raw), b"".join(ids), ends(ids))
+
+    def finder(self):
+        """Function of a word: the bytes of its ids, or None."""
+        keys, word_ends, id_ends = (memoryview(x).cast("I") for x in (self.keys, self.word_ends, self.id_ends))
+        n, words, ids = len(keys), self.words, self.ids
 
-    def entries(self, size: int) -> dict[str, bytes]:
-        ends = np.frombuffer(self.ends, np.uint32).astype(np.int64) * size
-        names = self.words.decode("utf-8", "surrogatepass").split("\n") if len(ends) else []
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        return {w: self.ids[a:z] for w, a, z in zip(names, starts.tolist(), ends.tolist(), strict=True)}
+        def find(word: str) -> bytes | None:
+            raw = word.encode("utf-8", "surrogatepass")
+            key = zlib.crc32(raw)
+            i = bisect_left(keys, key)
+            if i == n or keys[i] != key or words[word_ends[i - 1] if i else 0 : word_ends[i]] != raw:
+                return None
+            return ids[id_ends[i - 1] if i else 0 : id_ends[i]]
+
+        return find
 
 
 class Table(dict):
-    """Words to the bytes of their ids; what is missing is encoded in place and remembered within a bound."""
+    """Words to the bytes of their ids: looked up in the dictionary or encoded in place, and remembered within a bound."""
 
-    def __init__(self, known: dict[str, bytes], p: Pieces):
-        super().__init__(known)
-        self.p, self.kind, self.cache = p, code_of(p), {}
+    def __init__(self, known: Dictionary, p: Pieces):
+        super().__init__()
+        self.p, self.kind, self.find = p, code_of(p), known.finder()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.cache.get(word)
+        ids = self.find(word)
         if ids is None:
             ids = array(self.kind, encode_word(self.p, word)).tobytes()
-            if len(word) <= 64:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = ids
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -344,30 +364,38 @@ def encoder(spark: SparkSession, p: Pieces, known: Dictionary):
     name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((p, known))
 
-    def encode(texts: list[str | None]) -> list[np.ndarray]:
+    def encode(texts: list[str | None]) -> Iterator[np.ndarray]:
         tables = take_over("sentencepiece")
         if name not in tables:  # one table for a worker, whatever number of tasks it runs
             tables.clear()
             model, words = shared.value
-            tables[name] = Table(words.entries(array(code_of(model)).itemsize), model)
+            tables[name] = Table(words, model)
         table = tables[name]
-        find, look = re.compile(word_pattern(table.p)).findall, table.__getitem__
-        return [np.frombuffer(b"".join(map(look, find(prepare(t)))), table.kind) for t in texts]
+        find, look = re.compile(word_pattern(table.p)).finditer, table.__getitem__
+        for t in texts:
+            yield np.frombuffer(b"".join([look(m.group()) for m in find(prepare(t))]), table.kind)
 
     return encode
 
 
+def spelled(p: Pieces) -> list[bytes]:
+    """The bytes of each piece; control pieces have none."""
+    out = [b"" if i in p.special else x.encode("utf-8", "surrogatepass") for i, x in enumerate(p.pieces)]
+    for b, i in enumerate(p.byte_ids):
+        if i:
+            out[i] = bytes([b])
+    return out
+
+
+def text_of(table: list[bytes], ids: list[int]) -> str:
+    """The text of ids by the bytes of each piece."""
+    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:] if text.startswith(" ") else text
+
+
 def decode(p: Pieces, ids: list[int]) -> str:
     """The text of ids."""
-    byte_of = {i: b for b, i in enumerate(p.byte_ids)}
-    out = bytearray()
-    for i in ids:
-        if i in byte_of:
-            out.append(byte_of[i])
-        elif i not in p.special:
-            out += p.pieces[i].encode()
-    text = out.decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+    return text_of(spelled(p), ids)
 
 
 def encode_documents(docs: DataFrame, p: Pieces | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -379,7 +407,7 @@ def encode_documents(docs: DataFrame, p: Pieces | None = None, most: int = DICTI
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = encode(b.column("text").to_pylist())
+            ids = list(encode(b.column("text").to_pylist()))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "ids"])
@@ -389,34 +417,32 @@ def encode_documents(docs: DataFrame, p: Pieces | None = None, most: int = DICTI
 
 def decode_documents(encoded: DataFrame, p: Pieces | None = None) -> DataFrame:
     """doc_id and text of rows (doc_id, ids)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(p or load())
+    shared = encoded.sparkSession.sparkContext.broadcast(spelled(p or load()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([decode(shared.value, x or []) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([text_of(shared.value, x or []) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
 
 
 def digest(docs: DataFrame, p: Pieces | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit), round_trip (decoding gives the text back)."""
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit), round_trip (decoding the ids gives the text, U+2581 counting as a space)."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     p = p or load()
     encode = encoder(spark, p, dictionary(docs, p, most))
-    # bytes of each piece, for a decoding that only joins them
-    spelled = {i: (bytes([p.byte_ids.index(i)]) if i in p.byte_ids else x.encode()) for i, x in enumerate(p.pieces) if i in p.byte_ids or i not in p.special}
-    shared = spark.sparkContext.broadcast(spelled)
+    shared = spark.sparkContext.broadcast(spelled(p))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            n, crc, back = [], [], []
             texts = b.column("text").to_pylist()
-            coded = encode(texts)
-            back = [b"".join(map(shared.value.__getitem__, x.tolist())) == prepare(t).encode() for x, t in zip(coded, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in coded], pa.int64()), pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in coded], pa.int64()), pa.array(back)],
-                ["doc_id", "n_tokens", "ids_crc32", "round_trip"],
-            )
+            for t, x in zip(texts, encode(texts), strict=True):
+                n.append(len(x))
+                crc.append(zlib.crc32(x.astype("<i4").tobytes()))
+                back.append(text_of(shared.value, x.tolist()) == (t or "").replace(SPACE, " "))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
