@@ -13,8 +13,9 @@ that still differs is taken apart by its whole texts.
 Defined results: a null text equals the empty one. Null ids sort after all
 others; a group of null ids only has ``keep_id`` null. Repeated rows count in
 ``group_size``; rows that share the smallest id are all ``kept`` here, and
-``keep_first`` leaves one of them. An empty table gives an empty result. Other
-columns are never read.
+``keep_first`` leaves one of them. An id that stands for several texts is in the
+group of each. Texts of any length are compared in whole. An empty table gives
+an empty result. Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, small_batches, take_over, utf8
+from .common import documents, materialize, small_batches, take_over, unused, utf8
 
 #: Two primes just above 10**18: 120 bits of fingerprint together.
 PRIMES = (10**18 + 3, 10**18 + 9)
@@ -141,6 +142,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def _deduplicate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The result of ``deduplicate``, and the fingerprints of the rows."""
     hashed = materialize(prints(docs), "dedup-prints")
     groups = materialize(hashed.groupBy(*KEYED).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "dedup-groups")
     differ = materialize(unequal(docs, hashed, groups), "dedup-unequal")
@@ -151,7 +153,7 @@ def _deduplicate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         exact = texts.groupBy("x").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         redone = texts.join(exact, "x").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
         rows = rows.join(differ, KEYED, "left_anti").drop(*KEY).unionByName(redone)
-    return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256"), groups
+    return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256"), hashed
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,14 +161,24 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of equal texts, with its own columns."""
-    result, groups = _deduplicate(docs)
-    ids = materialize(result.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__keep")).distinct(), "dedup-keep")
-    kept = docs.join(ids, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    # texts that only rows without an id have
-    orphan = groups.where("keep_id IS NULL").select(F.col("text_sha256").alias("__sha_kept"))
-    nameless = docs.where("doc_id IS NULL").withColumn("__sha", F.sha2(normalised(), 256)).join(orphan, F.col("__sha") == F.col("__sha_kept"), "left_semi").dropDuplicates(["__sha"]).drop("__sha")
-    return kept.unionByName(nameless)
+    """One row of each group of equal texts, with its own columns: that of the least id.
+
+    Rows are told apart by id and text, so an id that stands for several texts
+    keeps each of them. Of rows that repeat both, one stays. Groups that only rows
+    without an id have keep one of these.
+    """
+    row, sha, mine, print_ = unused(docs, "keep_id", "keep_sha", "own_id", "own_sha")
+    result, hashed = _deduplicate(docs)
+    chosen = materialize(result.where("kept").select(F.col("doc_id").alias(row), F.col("text_sha256").alias(sha)).distinct(), "dedup-keep")
+    often = materialize(hashed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(mine)), "dedup-repeated-ids")
+    if not often.limit(1).count():
+        return docs.join(chosen, F.col("doc_id").cast("long") == F.col(row), "left_semi")
+    once = chosen.join(often, F.col(row).eqNullSafe(F.col(mine)), "left_anti")
+    plain = docs.join(once, F.col("doc_id").cast("long") == F.col(row), "left_semi")
+    several = chosen.join(often, F.col(row).eqNullSafe(F.col(mine)), "left_semi")
+    rows = docs.withColumn(mine, F.col("doc_id").cast("long")).join(often.withColumnRenamed(mine, row), F.col(mine).eqNullSafe(F.col(row)), "left_semi").withColumn(print_, F.sha2(normalised(), 256))
+    kept = rows.join(several, F.col(mine).eqNullSafe(F.col(row)) & (F.col(print_) == F.col(sha)), "left_semi").dropDuplicates([mine, print_])
+    return plain.unionByName(kept.drop(mine, print_))
 
 
 ORACLE = r"""
