@@ -29,8 +29,10 @@ Nothing is capped: every step is a filter that no linked pair can fail.
 
 Defined results: without words or text the set is empty, links with nothing and
 ``component_id`` is the own id. A null id has a null component and links with
-nothing. Rows that repeat an id are one node. Shingles are compared as 64-bit
-hashes. An empty table gives an empty result. Other columns are never read.
+nothing. Rows that repeat an id and its text are one node; an id that stands for
+several texts is a node for each. Texts of any length are taken in whole. Shingles
+are compared as 64-bit hashes. An empty table gives an empty result. Other columns
+are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, materialize, mix64, small_batches, spans, take_over, utf8
+from .common import discard, documents, materialize, mix64, own, small_batches, spans, take_over, unused, utf8
 from .components import components
 from .shingles import shingle_sets
 
@@ -291,10 +293,25 @@ def links(residual: DataFrame, like: Likeness = OP6) -> DataFrame:
     return to_pivot.unionByName(inside)
 
 
-def jaccard_components(docs: DataFrame, like: Likeness = OP6) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a ``key`` for each (id, text), and whether any id is repeated.
+
+    The key is the id; an id that stands for several texts has a hash of both as key
+    in each of its rows. ``text`` names a column for the hash of the text.
+    """
+    low, high, n, again = unused(docs, "low", "high", "rows", "again")
+    ids = docs.select(F.col("doc_id").cast("long").alias(again), F.xxhash64(F.coalesce("text", F.lit(""))).alias(text))
+    often = materialize(ids.where(F.col(again).isNotNull()).groupBy(again).agg(F.count("*").alias(n), F.min(text).alias(low), F.max(text).alias(high)).where(F.col(n) > 1).select(again, (F.col(low) < F.col(high)).alias(low)), "repeated-ids")
+    if not often.limit(1).count():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), False
+    marked = docs.join(often, F.col("doc_id").cast("long") == F.col(again), "left").withColumn(text, F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = F.when(F.col(low), F.xxhash64(F.col(again), F.col(text), F.lit("text"))).otherwise(F.col("doc_id").cast("long"))
+    return marked.withColumn(key, named).select(*own(docs), key, text, F.col(again).isNotNull().alias(again)), True
+
+
+def linked(rows: DataFrame, like: Likeness) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows (doc_id, text) in which an id stands for one text."""
+    small_batches(rows.sparkSession)
     full = materialize(rows.mapInArrow(lambda batches: _sets(batches, like), SETS), "shingle-sets")
     small = materialize(full.drop("need", "sigs"), "shingle-sizes")
     equal = ["d0", "d1", "n_shingles"]
@@ -313,7 +330,25 @@ def jaccard_components(docs: DataFrame, like: Likeness = OP6) -> DataFrame:
     return (
         small.hint("merge").join(named_reps, equal, "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    )
+    )
+
+
+def _by_key(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, bool]:
+    """(key, n_shingles, component), a row for each of ``docs``; rows (key, own, text, x, again); is any id repeated?"""
+    rows, repeated = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "key", "x")
+    result = linked(rows.select(F.col("key").alias("doc_id"), "text"), like)
+    return result.select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("component")), rows, repeated
+
+
+def jaccard_components(docs: DataFrame, like: Likeness = OP6) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    result, rows, repeated = _by_key(docs, like)
+    if not repeated:
+        return result.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    ids = materialize(rows.where("key IS NOT NULL").select("key", "doc_id").distinct(), "linked-ids")
+    result = materialize(result.hint("merge").join(ids, "key", "left"), "linked")
+    least = result.where("key IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return result.hint("merge").join(least, "component", "left").select("doc_id", "n_shingles", "component_id")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +356,24 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, like: Likeness = OP6) -> DataFrame:
-    """One document (the least id) of each component; rows without an id stay."""
-    result = jaccard_components(docs, like)
-    gone = materialize(result.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "linked-away")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each component, with its own columns: that of the least id.
+
+    Rows are told apart by id and text, so an id that stands for several texts
+    loses those only that another row's text is linked with. Of rows that repeat
+    both, one stays. Rows without an id and rows without words all stay.
+    """
+    result, rows, repeated = _by_key(docs, like)
+    if not repeated:
+        (gone,) = unused(docs, "linked_away")
+        away = materialize(result.where("component < key").select(F.col("key").alias(gone)).distinct(), "linked-away")
+        return docs.join(away, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    key, text, gone = unused(docs, "link_key", "link_text", "linked_away")
+    ids = materialize(rows.where("key IS NOT NULL").select("key", "doc_id").distinct(), "linked-ids")
+    named = materialize(result.where("key IS NOT NULL").select("key", "component").distinct().join(ids, "key"), "linked")
+    stays = named.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("s")).select("component", F.col("s.key").alias("stay"))
+    away = materialize(named.join(stays, "component").where("key <> stay").select(F.col("key").alias(gone)), "linked-away")
+    every, _ = keyed(docs, key, text)
+    again = next(c for c in every.columns if c not in {*docs.columns, key, text})
+    left = every.join(away, F.col(key) == F.col(gone), "left_anti")
+    once = left.where(F.col(again)).dropDuplicates([key, text])
+    return left.where(~F.col(again)).unionByName(once).select(*own(docs))
