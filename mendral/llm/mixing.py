@@ -14,8 +14,9 @@ place with the source's last place: texts are never shuffled.
 Defined results: tokens are ``[^\\x20\\x09-\\x0D]+``; null and empty texts have
 none, cost nothing and are in every whole pass. A null source is a source of its
 own. Sources without tokens are read once. Rows that repeat an id share its place
-and are taken or left together. An empty table gives an empty result. Other
-columns are never read.
+and are taken or left together, as are rows whose places tie. A text counts its
+tokens whatever its length. An empty table gives an empty result. Other columns
+are never read, whatever their names; ``mix`` passes them on.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, own, unused
 from .ranking import block_rows, near, running_total
 
 #: No source is read more often than this.
@@ -109,13 +110,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix(docs: DataFrame, **target) -> DataFrame:
     """The documents as often as they are read, with their own columns."""
+    key, until, epoch = unused(docs, "mixing_key", "mixing_plan", "mixing_pass")
     base = materialize(counted(docs), "mixing-base")
-    known = near(plan(base, **target).select(F.col("key").alias("__key"), "passes", "cut"))
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    read = docs.alias("d").join(known.select("__key", F.struct("passes", "cut").alias("__plan")), source_key() == F.col("__key"))
-    p, c = F.col("__plan.passes"), F.col("__plan.cut")
+    known = near(plan(base, **target)).select(F.col("key").alias(key), F.struct("passes", "cut").alias(until))
+    read = docs.join(known, source_key() == F.col(key))
+    p, c = F.col(f"{until}.passes"), F.col(f"{until}.cut")
     times = p + F.when(place(p + 1) <= c, 1).otherwise(0)
-    return read.select(*own, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("__pass")).drop("__pass")
+    return read.select(*own(docs), F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias(epoch)).drop(epoch)
 
 
 ORACLE = rf"""
