@@ -6,34 +6,39 @@ those into language probabilities. Prediction covers every window of a text
 and averages; it is local to a row, so nothing is shuffled.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
-0. An empty training set predicts ``und`` everywhere. Null ids fall in the fold
-of the empty string. Repeated rows get equal predictions. Other columns of the
+0. An empty training set predicts ``und`` everywhere. Of languages with equal
+probability the first by name wins. Null ids fall in the fold of the empty
+string. Repeated rows get equal predictions. Texts of any length are read in
+whole, some at a time. An empty table gives an empty result. Other columns of the
 input, whatever their names, are never read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold_of, small_batches, spans, take_over, utf8
+from .common import documents, fold_of, materialize, small_batches, spans, take_over, unused, utf8
 
 WINDOW = 256
 WIDTHS = (4, 3, 2)
 FILTERS = 16
 EMBED = 8
-#: Bounds of the training sample: documents per language, windows per document, languages.
+#: Bounds of the training sample: documents of a language, of all languages together (no
+#: language less than LEAST_DOCS of its own), windows of a document. Languages are not bounded.
 DOCS_PER_LANGUAGE = 700
+TRAIN_DOCS = 12_000
+LEAST_DOCS = 8
 WINDOWS_PER_DOC = 4
-MAX_LANGUAGES = 256
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category (L); numbers like ½ or Ⅷ are none.
+LETTER = regex.compile(r"\p{L}")
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
@@ -139,16 +144,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows: int = WINDOWS_PER_DOC) -> ByteConvNet | None:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
-    The sample is the documents whose id hashes below a threshold that leaves
+    The sample is the documents whose id and text hash below a threshold that leaves
     about ``docs_per_language`` of them, and evenly spaced windows of each.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return None
-    share = {r["lang"]: min(1.0, docs_per_language / r["count"]) for r in counts}
-    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    most = min(docs_per_language, max(LEAST_DOCS, TRAIN_DOCS // languages))
+    rows = rows.join(counts, "lang")  # a row for each language: the optimizer sends it along if it is small
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
     def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         take_over("language_id")
@@ -162,7 +168,7 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows:
                     out.append((doc_id, k, raw[at : at + WINDOW], lang))
             yield pd.DataFrame(out, columns=["doc_id", "k", "win", "lang"])
 
-    got = rows.where(draw < limit).mapInPandas(windows_of, "doc_id long, k int, win binary, lang string").toPandas()
+    got = rows.where(draw < F.lit(most) / F.col("n")).select("doc_id", "text", "lang").distinct().mapInPandas(windows_of, "doc_id long, k int, win binary, lang string").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["doc_id", "k", "lang", "win"], kind="stable")
@@ -216,9 +222,13 @@ LEAST_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known; ``und`` and very doubtful ones go."""
+    """The documents whose language is known; ``und`` and very doubtful ones go.
+
+    Where no row teaches a language, none can be doubted: all texts with a letter stay.
+    """
     small_batches(docs.sparkSession)
-    name = "__identified"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, predict(train(docs))("text")).where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
+    (name,) = unused(docs, "identified")
+    net = train(docs)
+    if net is None:
+        return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
+    return docs.withColumn(name, predict(net)("text")).where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
