@@ -80,7 +80,7 @@ class Likeness:
     spare: float = 0.004
 
     def __post_init__(self) -> None:
-        # a linked set is at most one size class larger
+        # a linked set is at most one size class smaller
         if not 0 < self.num < self.den or 100 * self.den > 135 * self.num:
             raise ValueError(f"no bound of the join: {self.num}/{self.den}")
 
@@ -99,8 +99,8 @@ class Likeness:
 
     @cached_property
     def difference(self) -> np.ndarray:
-        """The largest difference of linked sets of each size class."""
-        return 2 * CLASSES * self.gap // self.sum
+        """The largest difference of two linked sets of which the smaller is in each size class."""
+        return CLASSES * self.gap // self.num
 
     @cached_property
     def spares(self) -> np.ndarray:
@@ -112,8 +112,8 @@ class Likeness:
 
 
 OP6 = Likeness()
-#: The bound of near copies in a corpus. Many spare parts make linked sets share many of them.
-NEAR_COPIES = Likeness(words=5, num=4, den=5, spare=0.5)
+#: The bound of near copies in a corpus. Spare parts make linked sets share more of them.
+NEAR_COPIES = Likeness(words=5, num=4, den=5, spare=0.15)
 
 
 def signatures(h: np.ndarray, size: np.ndarray, start: np.ndarray, like: Likeness = OP6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,13 +124,14 @@ def signatures(h: np.ndarray, size: np.ndarray, start: np.ndarray, like: Likenes
     """
     sigs, owners = [], []
     need = np.full(len(size), np.iinfo(np.int64).max)
-    low = np.searchsorted(CLASSES, size)
-    high = np.searchsorted(CLASSES, size * like.den // like.num)
+    own_class = np.searchsorted(CLASSES, size)
+    # linked sets meet in the class of the smaller one: a set shows its parts in its own class and in that below
+    lower = np.searchsorted(CLASSES, -(-size * like.num // like.den))
     for extra in (False, True):
-        sets = np.flatnonzero((size >= like.least) & ((high > low) if extra else True))
+        sets = np.flatnonzero((size >= like.least) & ((lower < own_class) if extra else True))
         if not len(sets):
             continue
-        cls = (high if extra else low)[sets]
+        cls = (lower if extra else own_class)[sets]
         parts, counts = like.parts[cls], size[sets]
         first = np.concatenate([[0], np.cumsum(parts)])
         own = np.repeat(np.arange(len(sets)), counts)
@@ -144,7 +145,7 @@ def signatures(h: np.ndarray, size: np.ndarray, start: np.ndarray, like: Likenes
         # sets with more empty parts than spare ones must show these too
         empty = np.bincount(of, weights=~filled, minlength=len(sets))
         keep = filled | (empty > like.spares[cls])[of]
-        touched = np.minimum(like.difference[cls], counts * like.gap // like.num)
+        touched = np.minimum(like.difference[cls], (CLASSES[cls] + counts) * like.gap // like.sum if extra else counts * like.gap // like.num)
         need[sets] = np.minimum(need[sets], np.maximum(1, parts - touched - empty.astype(np.int64)))
         number = np.arange(first[-1]) - first[of]
         sig = mix64(total + mix64((cls[of].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + np.uint64(1)))
@@ -216,12 +217,15 @@ def regions(nodes: DataFrame) -> DataFrame:
 
     A linked document meets others in ``need`` parts at least; those that do not are in no region.
     """
-    every = nodes.select(F.col("rep").alias("y"), "need", F.explode("sigs").alias("sig"))
-    shared = every.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    enough = materialize(every.join(shared, "sig").groupBy("y", "need").agg(F.count("*").alias("k")).where("k >= need").select("y"), "meeting")
-    rows = materialize(every.join(near(enough), "y", "left_semi"), "meeting-parts")
-    met = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.bit_xor(F.xxhash64("y")).alias("x"), F.bit_xor(F.xxhash64("y", F.lit(1))).alias("z")).where("n > 1")
-    distinct = materialize(met.groupBy("n", "lo", "hi", "x", "z").agg(F.min("sig").alias("sig"), F.count("*").alias("times")), "regions")
+    every = nodes.select(F.col("rep").alias("y"), F.explode("sigs").alias("sig"))
+    shared = materialize(every.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "shared-parts")
+    met = materialize(every.join(near(shared), "sig"), "shared-rows")
+    counts = met.groupBy("y").agg(F.count("*").alias("k")).join(nodes.select(F.col("rep").alias("y"), "need"), "y").where("k >= need").select("y", "need")
+    enough = materialize(counts, "meeting")
+    rows = materialize(met.join(near(enough), "y"), "meeting-parts")
+    discard(shared, met)
+    grouped = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.bit_xor(F.xxhash64("y")).alias("x"), F.bit_xor(F.xxhash64("y", F.lit(1))).alias("z")).where("n > 1")
+    distinct = materialize(grouped.groupBy("n", "lo", "hi", "x", "z").agg(F.min("sig").alias("sig"), F.count("*").alias("times")), "regions")
     members = materialize(rows.join(near(distinct.select("sig", "times")), "sig").select("sig", "y", "times", "need"), "members")
     discard(enough, rows, distinct)
     return members
@@ -310,17 +314,18 @@ def keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
 
 
 def linked(rows: DataFrame, like: Likeness) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of rows (doc_id, text) in which an id stands for one text."""
+    """(doc_id, n_shingles, component_id) of rows (doc_id, text) in which no id but null is repeated."""
     small_batches(rows.sparkSession)
     full = materialize(rows.mapInArrow(lambda batches: _sets(batches, like), SETS), "shingle-sets")
     small = materialize(full.drop("need", "sigs"), "shingle-sizes")
     equal = ["d0", "d1", "n_shingles"]
-    named = full.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = materialize(small.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*equal).agg(F.min("doc_id").alias("rep")), "set-representatives")
-    nodes = materialize(named.where(f"n_shingles >= {like.least}").join(reps.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "need", "sigs"), "set-nodes")
-    discard(full)
-    members = regions(nodes)
-    discard(nodes)
+    named = small.where("doc_id IS NOT NULL AND n_shingles > 0")
+    reps = materialize(named.groupBy(*equal).agg(F.min("doc_id").alias("rep")), "set-representatives")
+    # those that another document's equal set stands for; the parts themselves stay where they are
+    copies = materialize(named.where(f"n_shingles >= {like.least}").join(reps, equal).where("doc_id <> rep").select("doc_id").distinct(), "equal-sets")
+    nodes = full.where(f"doc_id IS NOT NULL AND n_shingles >= {like.least}").join(near(copies), "doc_id", "left_anti")
+    members = regions(nodes.select(F.col("doc_id").alias("rep"), "need", "sigs"))
+    discard(full, copies)
     found = cells(members)
     discard(members)
     residual = materialize(residuals(rows, found, like), "residuals")
@@ -336,8 +341,12 @@ def linked(rows: DataFrame, like: Likeness) -> DataFrame:
 def _by_key(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, bool]:
     """(key, n_shingles, component), a row for each of ``docs``; rows (key, own, text, x, again); is any id repeated?"""
     rows, repeated = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "key", "x")
-    result = linked(rows.select(F.col("key").alias("doc_id"), "text"), like)
-    return result.select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("component")), rows, repeated
+    once = rows.where("NOT again").unionByName(rows.where("again").dropDuplicates(["key"])) if repeated else rows
+    result = linked(once.select(F.col("key").alias("doc_id"), "text"), like).select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("component"))
+    if repeated:
+        result = materialize(result, "linked-once")
+        result = result.where("key IS NULL").unionByName(rows.where("key IS NOT NULL").select("key").hint("merge").join(result.where("key IS NOT NULL"), "key"))
+    return result, rows, repeated
 
 
 def jaccard_components(docs: DataFrame, like: Likeness = OP6) -> DataFrame:
