@@ -49,10 +49,12 @@ from .common import discard, documents, materialize, small_batches, take_over
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
 SPACE = "\u2581"
-#: Bounds: words in the dictionary, characters of a word in it, words a task remembers besides.
+#: Bounds: words in the dictionary, characters of a word in it, words of a generation that a worker remembers.
 DICTIONARY_WORDS = 400_000
 DICTIONARY_CHARS = 32
 CACHE_WORDS = 100_000
+#: Characters from which the words of a text are found one by one.
+LONG_TEXT = 1 << 20
 NEVER = float("inf")
 
 
@@ -324,13 +326,16 @@ class Dictionary:
     def finder(self):
         """Function of a word: the bytes of its ids, or None."""
         keys, word_ends, id_ends = (memoryview(x).cast("I") for x in (self.keys, self.word_ends, self.id_ends))
-        n, words, ids = len(keys), self.words, self.ids
+        words, ids = self.words, self.ids
+        # keys are spread evenly: where those with the same upper half begin leaves a few to look at
+        begins = np.searchsorted(np.frombuffer(self.keys, np.uint32), np.arange((1 << 16) + 1, dtype=np.uint64) << np.uint64(16)).tolist()
 
         def find(word: str) -> bytes | None:
             raw = word.encode("utf-8", "surrogatepass")
             key = zlib.crc32(raw)
-            i = bisect_left(keys, key)
-            if i == n or keys[i] != key or words[word_ends[i - 1] if i else 0 : word_ends[i]] != raw:
+            end = begins[(key >> 16) + 1]
+            i = bisect_left(keys, key, begins[key >> 16], end)
+            if i == end or keys[i] != key or words[word_ends[i - 1] if i else 0 : word_ends[i]] != raw:
                 return None
             return ids[id_ends[i - 1] if i else 0 : id_ends[i]]
 
@@ -338,22 +343,35 @@ class Dictionary:
 
 
 class Table(dict):
-    """Words to the bytes of their ids: looked up in the dictionary or encoded in place, and remembered within a bound."""
+    """Words to the bytes of their ids: looked up in the dictionary or encoded in place, and remembered.
+
+    Two generations of ``CACHE_WORDS`` at most: a word that is met again moves on, others go.
+    """
 
     def __init__(self, known: Dictionary, p: Pieces):
         super().__init__()
-        self.p, self.kind, self.find = p, code_of(p), known.finder()
+        self.p, self.kind, self.find, self.old = p, code_of(p), known.finder(), {}
+        self.pattern = re.compile(word_pattern(p))
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.find(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.find(word)
         if ids is None:
             ids = array(self.kind, encode_word(self.p, word)).tobytes()
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def words(self, text: str) -> Iterator[str]:
+        """The words of a text; those of a long one are not held all at once."""
+        if len(text) <= LONG_TEXT:
+            return iter(self.pattern.findall(text))
+        return (m.group() for m in self.pattern.finditer(text))
+
 
 def code_of(p: Pieces) -> str:
     return "H" if len(p.pieces) <= 1 << 16 else "I"
@@ -371,9 +389,8 @@ def encoder(spark: SparkSession, p: Pieces, known: Dictionary):
             model, words = shared.value
             tables[name] = Table(words, model)
         table = tables[name]
-        find, look = re.compile(word_pattern(table.p)).finditer, table.__getitem__
         for t in texts:
-            yield np.frombuffer(b"".join([look(m.group()) for m in find(prepare(t))]), table.kind)
+            yield np.frombuffer(b"".join(map(table.__getitem__, table.words(prepare(t)))), table.kind)
 
     return encode
 
