@@ -3,20 +3,25 @@
 A k-mer of code points is an anchor when the least hash of its s-mers is that of
 its first or its last s-mer. Whether a k-mer is chosen depends on its own
 characters alone, so equal passages give equal anchors wherever they stand, and
-their positions can be matched. A fingerprint keeps the ``SKETCH`` anchors of
-least hash of the whole text (the first position of each), a uniform sample of
-its anchor set of bounded size; likeness is the Jaccard similarity of two anchor
-sets as estimated on the least ``SKETCH`` hashes of their union.
+their positions can be matched. Texts stand between borders of K - 1 code points
+that are no characters, so texts of any length, one character up, have anchors by
+this one rule. A fingerprint keeps the anchors of least hash of the whole text (the
+first position of each): ``SKETCH`` of them, or one in ``SHARE`` if these are more.
+Likeness is the Jaccard similarity of two anchor sets as estimated on the hashes
+that both sketches cover; a shared anchor counts if another one has moved by as
+many code points, or if it has moved as most have, so that chance matches of
+scattered anchors do not count.
 
 Fingerprint string: hashes in ascending order as 8 hex digits each, a dot, their
-positions as 8 hex digits each. Texts under ``SHORT`` code points use all their
-trigrams instead; a text that has no anchor either way has one: the hash of the
-whole text at position 0. The empty text has the fingerprint ``.``.
+positions (from the beginning of the border) as 8 hex digits each. The empty text
+has the fingerprint ``.``.
 
 Defined results: a null text counts as empty. Two empty fingerprints have
 likeness 1, an empty and another one 0. Rows are ordered by doc_id (nulls first),
-then by text; repeated rows follow each other. The only row of a table is its own
-next document. An empty table gives an empty result. Other columns are never read.
+then by a hash of the text; repeated rows follow each other. Rows of one id go to one
+task, which reads them in runs of bounded size. The only row of a table is its own
+next document. A very long text is a run of its own. An empty table gives an empty
+result. Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +39,11 @@ from .common import documents, mix64, small_batches
 S = 5
 WINDOW = 8
 K = S + WINDOW - 1
-#: Texts of fewer code points use all their trigrams as anchors.
-SHORT = 3 * K
+#: Anchors of a sketch at least (or all of them), and the share of a long text's anchors it holds.
 SKETCH = 64
+SHARE = 8
+#: What stands before and after each text: no code point has this number.
+BORDER = np.full(K - 1, 0x110000, np.uint32)
 #: Odd 64-bit multiplier of the rolling hash.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = "."
@@ -65,16 +72,14 @@ def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(texts: list[np.ndarray], most: int = SKETCH) -> list[Sketch]:
-    """The ``most`` least distinct anchor hashes of each text with their first positions."""
+    """The distinct anchor hashes of each text in ascending order with their first positions: the least ``most`` or one in ``SHARE``."""
     if not texts:
         return []
-    sizes = np.array([len(t) for t in texts])
-    # a gap of K - 1 private code points keeps k-mers from crossing texts: those that touch a gap are dropped
+    sizes = np.array([len(t) + 2 * len(BORDER) for t in texts])
     start = np.concatenate([[0], np.cumsum(sizes)])
-    codes = np.concatenate(texts) if start[-1] else np.zeros(0, np.uint32)
-    at, hashed = anchors(codes)
+    at, hashed = anchors(np.concatenate([x for t in texts for x in (BORDER, t, BORDER)]))
     doc = np.searchsorted(start, at, side="right") - 1
-    inside = at + K <= start[doc + 1]
+    inside = at + K <= start[doc + 1]  # no k-mer crosses texts
     at, hashed, doc = at[inside] - start[doc[inside]], hashed[inside], doc[inside]
     order = np.lexsort((at, hashed, doc))
     at, hashed, doc = at[order], hashed[order], doc[order]
@@ -84,16 +89,9 @@ def sketches(texts: list[np.ndarray], most: int = SKETCH) -> list[Sketch]:
     edge = np.searchsorted(doc, np.arange(len(texts) + 1))
     out = []
     for i, t in enumerate(texts):
-        a, b = edge[i], min(edge[i + 1], edge[i] + most)
-        if 3 <= len(t) < SHORT:
-            grams = np.lib.stride_tricks.sliding_window_view(t.astype(np.uint64), 3)
-            hashes, where = np.unique(mix64((grams[:, 0] * BASE + grams[:, 1]) * BASE + grams[:, 2]) >> np.uint64(32), return_index=True)
-            out.append((hashes[:most], where[:most]))
-        elif a == b and len(t):
-            whole = np.frombuffer(hashlib.blake2b(t.astype("<u4").tobytes(), digest_size=4).digest(), ">u4").astype(np.uint64)
-            out.append((whole, np.zeros(1, np.int64)))
-        else:
-            out.append((hashed[a:b], at[a:b]))
+        a, n = edge[i], edge[i + 1] - edge[i]
+        b = a + min(n, max(most, -(-n // SHARE))) if len(t) else a
+        out.append((hashed[a:b], at[a:b]))
     return out
 
 
@@ -109,8 +107,15 @@ def from_string(s: str) -> Sketch:
 def likeness(a: Sketch, b: Sketch, most: int = SKETCH) -> float:
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    both = np.union1d(a[0], b[0])[:most]
-    return float((np.isin(both, a[0]) & np.isin(both, b[0])).mean())
+    # a sketch that is not full holds all anchors; a full one those up to its last hash
+    covered = min((x[0][-1] for x in (a, b) if len(x[0]) >= most), default=None)
+    ends = [len(x[0]) if covered is None else int(np.searchsorted(x[0], covered, side="right")) for x in (a, b)]
+    shared, i, j = np.intersect1d(a[0][: ends[0]], b[0][: ends[1]], assume_unique=True, return_indices=True)
+    if not len(shared):
+        return 0.0
+    _, which, times = np.unique(b[1][j] - a[1][i], return_inverse=True, return_counts=True)
+    matched = int(np.count_nonzero((times[which] > 1) | (which == times.argmax())))
+    return matched / (ends[0] + ends[1] - len(shared))
 
 
 def shift(a: Sketch, b: Sketch) -> int | None:
