@@ -6,12 +6,14 @@ those of them that are in a shard with fewer of their neighbours move towards
 the fullest one that has room; moves into a shard are accepted in order while
 its quota lasts. Documents of one group and shard are alike, so the rounds join
 and move their counts. Documents without links follow last and fill all shards
-to the quota: counts of rows differ by one at most. A group is cut only where a
-quota ends.
+to the quota: counts of rows differ by one at most. A group is cut where a quota
+ends, or where rounds end (``ROUNDS`` of them, or one that moves nearly nothing)
+before its documents have met.
 
 Defined results: null and empty texts form one group, size 1, crc32 0. Ids are
 passed on, null or repeated; repeated rows take a slot each. An empty table gives
-an empty result. Other columns are never read.
+an empty result. Texts of any length are hashed in whole. Ties are broken by
+hashes. Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -92,8 +94,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     members = known.where("size_of IS NOT NULL")
     placed = running_total(members, ["k0", "k1"], "sub", ["h", "doc_id"], F.lit(1).cast("long"), "r")
     placed = placed.withColumn("shard", F.get("to", F.size(F.filter("until", lambda u: u <= F.col("r")))))
-    rows = ["doc_id", "size", "text_crc32", "k0", "h"]
-    staged = materialize(placed.select(*rows, "shard").unionByName(known.where("size_of IS NULL").select(*rows, F.lit(None).cast("int").alias("shard"))), "shard-placed")
+    # a large group is as many blocks as its size asks for
+    pieces = F.coalesce(F.ceil(F.col("size_of") / block_rows(F.col("size_of"))), F.lit(1)).cast("int").alias("pieces")
+    rows = ["doc_id", "size", "text_crc32", "k0", "h", "pieces"]
+    staged = materialize(placed.select(*rows[:-1], pieces, "shard").unionByName(known.where("size_of IS NULL").select(*rows[:-1], pieces, F.lit(None).cast("int").alias("shard"))), "shard-placed")
     discard(known)
     # the rest fills every shard to its quota
     have = {r["shard"]: r["n"] for r in staged.where("shard IS NOT NULL").groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -106,7 +110,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     filled = running_total(rest, ["all"], "block", ["h", "doc_id"], F.lit(1).cast("long"), "r")
     ends = F.array(*[F.lit(e).cast("long") for e in edges])
     filled = filled.select(*rows, F.size(F.filter(ends, lambda e: e <= F.col("r"))).alias("shard"))
-    final = materialize(staged.where("shard IS NOT NULL").unionByName(filled).withColumn("block", F.pmod("k0", F.lit(max(1, blocks // shards))).cast("int") * 1024 + F.pmod("h", F.lit(16)).cast("int")), "shard-final")
+    final = materialize(staged.where("shard IS NOT NULL").unionByName(filled).withColumn("block", F.pmod("k0", F.lit(max(1, blocks // shards))) * (1 << 31) + F.pmod("h", "pieces")), "shard-final")
     discard(staged, rest)
     slotted = running_total(final, ["shard"], "block", ["k0", "h", "doc_id"], F.lit(1).cast("long"), "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
