@@ -42,27 +42,41 @@ def place(epoch: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), epoch).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def exponent(totals: DataFrame, max_repeats: float | None, target_entropy: float | None) -> DataFrame:
-    """One row (tau) from (tokens) of each source with tokens."""
-    sizes = totals.where("tokens > 0").agg(F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("t"))  # eight bytes for each source
-    half = (F.col("lo") + F.col("hi")) / 2
-
-    def enough(mid: Column) -> Column:
-        """The exponent may be lowered no further (repeats) or raised no further (entropy)."""
-        if target_entropy is None:
-            return F.pow(F.element_at("t", -1) / F.element_at("t", 1), 1 - mid) <= max_repeats
-        z = F.aggregate("t", F.lit(0.0), lambda a, x: a + F.pow(x, mid))
-        h = F.aggregate("t", F.lit(0.0), lambda a, x: a - F.pow(x, mid) / z * F.log(F.pow(x, mid) / z))
-        return h < target_entropy
-
+def exponent(totals: DataFrame, max_repeats: float | None, target_entropy: float | None) -> float | None:
+    """The exponent for (tokens) of each source with tokens; None without any."""
+    sizes = totals.where("tokens > 0")
+    if target_entropy is not None:
+        return by_entropy(sizes, target_entropy)
+    ends = sizes.agg(F.min("tokens").cast("double").alias("a"), F.max("tokens").cast("double").alias("z")).where("a IS NOT NULL")
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
 
     def step(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
-        return F.when(enough(mid), F.struct(s["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), s["hi"].alias("hi")))
+        few = F.pow(F.col("z") / F.col("a"), 1 - mid) <= max_repeats
+        return F.when(few, F.struct(s["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), s["hi"].alias("hi")))
+
+    found = ends.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["hi"].alias("tau")).first()
+    return found["tau"] if found else None
+
+
+#: Exponents tried at once while an entropy is sought.
+TRIES = 63
+
 
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
-    return sizes.where(F.size("t") > 0).select(ends.alias("s")).select((F.col("s.hi") if target_entropy is None else F.col("s.lo")).alias("tau"))
+def by_entropy(sizes: DataFrame, target: float) -> float | None:
+    """The largest exponent up to 1 at which the entropy reaches the target (0 if none does), bracketed by one aggregation for each 64th."""
+    lo, hi = 0.0, 1.0
+    while hi - lo > 2.0**-STEPS and (lo + hi) / 2 not in (lo, hi):
+        step = (hi - lo) / (TRIES + 1)
+        tries = F.array(*[F.lit(lo + step * (k + 1)) for k in range(TRIES)])
+        v = sizes.select(F.log(F.col("tokens").cast("double")).alias("l"), F.explode(tries).alias("m")).withColumn("v", F.exp(F.col("l") * F.col("m")))
+        rows = v.groupBy("m").agg(F.sum("v").alias("z"), F.sum(F.col("v") * F.col("l") * F.col("m")).alias("s")).select("m", (F.log("z") - F.col("s") / F.col("z")).alias("h")).collect()
+        if not rows:
+            return None
+        reached = [r["m"] for r in rows if r["h"] >= target]
+        lo = max(reached, default=lo)
+        hi = min([m for r in rows if (m := r["m"]) > lo and r["h"] < target], default=hi)
+    return lo
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -73,8 +87,8 @@ def counted(docs: DataFrame) -> DataFrame:
 def plan(base: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
     """(key, passes, cut) of each source: whole passes, and the last place of the pass after them (or -1)."""
     totals = materialize(base.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "source-totals")
-    found = exponent(totals, max_repeats, target_entropy).first()
-    tau = found["tau"] if found else 1.0
+    found = exponent(totals, max_repeats, target_entropy)
+    tau = 1.0 if found is None else found
     sums = totals.where("tokens > 0").withColumn("v", F.pow(F.col("tokens").cast("double"), F.lit(tau)))
     whole = sums.agg(F.max(F.col("tokens") / F.col("v")).alias("scale"), F.sum("v").alias("z")).first()
     scale = (whole["scale"] or 0.0) if budget is None else budget / (whole["z"] or 1.0)
