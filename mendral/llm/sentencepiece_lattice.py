@@ -52,7 +52,7 @@ SPACE = "\u2581"
 #: Bounds: words in the dictionary, characters of a word in it, words of a generation that a worker remembers.
 DICTIONARY_WORDS = 400_000
 DICTIONARY_CHARS = 32
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 #: Characters from which the words of a text are found one by one.
 LONG_TEXT = 1 << 20
 NEVER = float("inf")
@@ -133,16 +133,22 @@ def merge(p: Pieces, word: str) -> list[int]:
 
 def merge_short(p: Pieces, word: str) -> list[int]:
     parts, cost = list(word), p.costs.get
-    costs = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
-    while costs and (least := min(costs)) < NEVER:
+    costs = [cost(a + b, NEVER) for a, b in zip(parts, word[1:], strict=False)]
+    last = len(costs) - 1
+    while last >= 0:
+        least = min(costs)
+        if least == NEVER:
+            break
         i = costs.index(least)
-        parts[i] += parts.pop(i + 1)
-        costs.pop(i)
+        grown = parts[i] = parts[i] + parts.pop(i + 1)
+        if i < last:
+            costs[i + 1] = cost(grown + parts[i + 1], NEVER)
+        del costs[i]
         if i:
-            costs[i - 1] = cost(parts[i - 1] + parts[i], NEVER)
-        if i < len(costs):
-            costs[i] = cost(parts[i] + parts[i + 1], NEVER)
-    return [i for part in parts for i in spell(p, part)]
+            costs[i - 1] = cost(parts[i - 1] + grown, NEVER)
+        last -= 1
+    ids = list(map(p.ids.get, parts))
+    return ids if None not in ids else [i for part in parts for i in spell(p, part)]
 
 
 def merge_long(p: Pieces, word: str) -> list[int]:
@@ -316,7 +322,7 @@ class Dictionary:
 
     @classmethod
     def of(cls, words: list[str], ids: list[bytes]) -> Dictionary:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        raw = [w.encode() for w in words]
         keys = np.array([zlib.crc32(w) for w in raw], np.uint32)
         order = np.argsort(keys, kind="stable").tolist()
         raw, ids = [raw[i] for i in order], [ids[i] for i in order]
@@ -326,13 +332,13 @@ class Dictionary:
     def finder(self):
         """Function of a word: the bytes of its ids, or None."""
         keys, word_ends, id_ends = (memoryview(x).cast("I") for x in (self.keys, self.word_ends, self.id_ends))
-        words, ids = self.words, self.ids
+        words, ids, crc32 = self.words, self.ids, zlib.crc32
         # keys are spread evenly: where those with the same upper half begin leaves a few to look at
         begins = np.searchsorted(np.frombuffer(self.keys, np.uint32), np.arange((1 << 16) + 1, dtype=np.uint64) << np.uint64(16)).tolist()
 
         def find(word: str) -> bytes | None:
-            raw = word.encode("utf-8", "surrogatepass")
-            key = zlib.crc32(raw)
+            raw = word.encode()
+            key = crc32(raw)
             end = begins[(key >> 16) + 1]
             i = bisect_left(keys, key, begins[key >> 16], end)
             if i == end or keys[i] != key or words[word_ends[i - 1] if i else 0 : word_ends[i]] != raw:
