@@ -129,7 +129,7 @@ def unequal(docs: DataFrame, hashed: DataFrame, groups: DataFrame, chunk: int =
     many = groups.where("group_size > 1").select(*KEYED)
     # a table of its own: the join ends its plan, so the runtime can split a large group of copies
     ids = materialize(hashed.where("doc_id IS NOT NULL").hint("merge").join(many, KEYED, "left_semi").select(F.col("doc_id").alias("i"), *KEYED), "dedup-members").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(ids, "i").select(*KEYED, F.encode(normalised(), "UTF-8").alias("raw"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("i"), "text").hint("merge").join(ids, "i").select(*KEYED, F.encode(normalised(), "UTF-8").alias("raw"))
     last = F.greatest(F.lit(0), F.floor((F.octet_length("raw") - 1) / chunk).cast("int"))
     parts = texts.select(*KEYED, "raw", F.explode(F.sequence(F.lit(0), last)).alias("k")).select(*KEYED, "k", F.substring("raw", F.col("k") * chunk + 1, F.lit(chunk)).alias("part"))
     # a row whose id is repeated over several texts meets each of their groups: compare its own only
