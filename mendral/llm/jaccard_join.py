@@ -219,7 +219,7 @@ def regions(nodes: DataFrame) -> DataFrame:
     """
     every = nodes.select(F.col("rep").alias("y"), F.explode("sigs").alias("sig"))
     shared = materialize(every.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "shared-parts")
-    met = materialize(every.join(near(shared), "sig"), "shared-rows")
+    met = materialize(every.hint("merge").join(shared, "sig"), "shared-rows")
     counts = met.groupBy("y").agg(F.count("*").alias("k")).join(nodes.select(F.col("rep").alias("y"), "need"), "y").where("k >= need").select("y", "need")
     enough = materialize(counts, "meeting")
     rows = materialize(met.join(near(enough), "y"), "meeting-parts")
