@@ -73,7 +73,9 @@ def bootstrap_mean(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0)
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         d = (pdf.sort_values("genome")["after"] - pdf.sort_values("genome")["before"]).to_numpy()
         rng = np.random.default_rng(seed)
-        means = d[rng.integers(0, len(d), (resamples, len(d)))].mean(axis=1)
+        # the same draws as all at once, a bounded number of them at a time
+        block = max(1, (1 << 20) // max(1, len(d)))
+        means = np.concatenate([d[rng.integers(0, len(d), (min(block, resamples - i), len(d)))].mean(axis=1) for i in range(0, resamples, block)])
         lo, hi = np.percentile(means, [2.5, 97.5])
         return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "low": [lo], "high": [hi]})
 

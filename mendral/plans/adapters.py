@@ -34,14 +34,14 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _scored(self, rows: DataFrame) -> DataFrame:
+    def _scored(self, rows: DataFrame, terms: int = TERMS) -> DataFrame:
         # l_suppkey meets a dimension that is far smaller than lineitem: the optimizer picks the join by its size
         return (
             rows.join(self.table("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy(
                 F.concat(F.lit("g"), F.col("s_nationkey").cast("string")).alias("genome"),
                 F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("protein"),
-                term_id(F.col("l_orderkey") % TERMS).alias("term"),
+                term_id(F.col("l_orderkey") % terms).alias("term"),
             )
             .agg((F.max("l_quantity") / 50.0).alias("score"))
         )
@@ -54,10 +54,29 @@ class Views:
     def annotations(self) -> DataFrame:
         return self._scored(self.table("lineitem").where("l_linenumber % 3 = 0")).select("genome", "protein", "term")
 
+    @cached_property
+    def complex_terms(self) -> int:
+        """Terms of the tables for complexes: they grow with the proteins, so that some complexes are on one protein at every scale."""
+        return TERMS * max(1, self.table("part").count() // 2000)
+
     @cached_property
     def complex_predictions(self) -> DataFrame:
-        """Predictions of the first 2000 proteins, so that groups stay small at every scale."""
-        return self._scored(self.table("lineitem").where("l_partkey < 2000"))
+        return self._scored(self.table("lineitem"), self.complex_terms)
+
+    @cached_property
+    def complex_edges(self) -> DataFrame:
+        return self._edges(self.complex_terms).select("child", "parent").distinct()
+
+    @cached_property
+    def complex_homodimers(self) -> DataFrame:
+        return self.table("part").where(f"p_partkey % 9 = 0 AND p_partkey < {self.complex_terms}").select(term_id(F.col("p_partkey")).alias("term"))
+
+    @cached_property
+    def small_genomes(self) -> DataFrame:
+        """Annotations by nation and twenty parts: many genomes of a few terms each."""
+        rows = self.table("lineitem").where("l_linenumber % 3 = 0").join(self.table("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        genome = F.concat(F.lit("g"), F.col("s_nationkey").cast("string"), F.lit("_"), F.expr("l_partkey div 20").cast("string"))
+        return rows.select(genome.alias("genome"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("protein"), term_id(F.col("l_orderkey") % TERMS).alias("term")).distinct()
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -66,8 +85,11 @@ class Views:
 
     @cached_property
     def go_edges(self) -> DataFrame:
+        return self._edges(TERMS)
+
+    def _edges(self, terms: int) -> DataFrame:
         """is_a edges to (i - 1) div 2 and part_of edges to (i - 1) div 3 for every fourth term."""
-        i = self.table("part").where(f"p_partkey BETWEEN 1 AND {TERMS - 1}").select(F.col("p_partkey").alias("i"))
+        i = self.table("part").where(f"p_partkey BETWEEN 1 AND {terms - 1}").select(F.col("p_partkey").alias("i"))
         first = i.select(term_id(F.col("i")).alias("child"), term_id(F.expr("(i - 1) div 2")).alias("parent"), F.lit("is_a").alias("rel"))
         second = i.where("i % 4 = 0").select(term_id(F.col("i")).alias("child"), term_id(F.expr("(i - 1) div 3")).alias("parent"), F.lit("part_of").alias("rel"))
         return first.unionByName(second)
@@ -135,7 +157,12 @@ class Views:
 #: The same tables for DuckDB.
 CTE = {
     "predictions": "SELECT 'g' || s_nationkey AS genome, 'p' || l_partkey AS protein, 'GO:' || lpad((l_orderkey % 63)::VARCHAR, 7, '0') AS term, max(l_quantity) / 50.0 AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3",
-    "complex_predictions": "SELECT 'g' || s_nationkey AS genome, 'p' || l_partkey AS protein, 'GO:' || lpad((l_orderkey % 63)::VARCHAR, 7, '0') AS term, max(l_quantity) / 50.0 AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey < 2000 GROUP BY 1, 2, 3",
+    "complex_scale": "SELECT 63 * greatest(1, count(*) // 2000) AS m FROM part",
+    "complex_predictions": "SELECT 'g' || s_nationkey AS genome, 'p' || l_partkey AS protein, 'GO:' || lpad((l_orderkey % (SELECT m FROM complex_scale))::VARCHAR, 7, '0') AS term, max(l_quantity) / 50.0 AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3",
+    "complex_edges": "SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') AS child, 'GO:' || lpad(((p_partkey - 1) // 2)::VARCHAR, 7, '0') AS parent FROM part WHERE p_partkey BETWEEN 1 AND (SELECT m - 1 FROM complex_scale) UNION SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0'), 'GO:' || lpad(((p_partkey - 1) // 3)::VARCHAR, 7, '0') FROM part WHERE p_partkey BETWEEN 1 AND (SELECT m - 1 FROM complex_scale) AND p_partkey % 4 = 0",
+    "complex_reach": "SELECT child AS node, parent AS ancestor FROM complex_edges UNION SELECT complex_reach.node, complex_edges.parent FROM complex_reach JOIN complex_edges ON complex_reach.ancestor = complex_edges.child",
+    "complex_list": "SELECT node AS term FROM (SELECT node FROM complex_reach WHERE ancestor = 'GO:0000005' UNION SELECT 'GO:0000005') WHERE node NOT IN (SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') FROM part WHERE p_partkey % 9 = 0 AND p_partkey < (SELECT m FROM complex_scale))",
+    "small_genomes": "SELECT DISTINCT 'g' || s_nationkey || '_' || (l_partkey // 20) AS genome, 'p' || l_partkey AS protein, 'GO:' || lpad((l_orderkey % 63)::VARCHAR, 7, '0') AS term FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber % 3 = 0",
     "annotations": "SELECT DISTINCT 'g' || s_nationkey AS genome, 'p' || l_partkey AS protein, 'GO:' || lpad((l_orderkey % 63)::VARCHAR, 7, '0') AS term FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber % 3 = 0",
     "terms": "SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') AS id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'mf' WHEN 1 THEN 'bp' ELSE 'cc' END AS namespace, p_partkey % 20 = 19 AS is_obsolete FROM part WHERE p_partkey < 63",
     "go_edges": "SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') AS child, 'GO:' || lpad(((p_partkey - 1) // 2)::VARCHAR, 7, '0') AS parent, 'is_a' AS rel FROM part WHERE p_partkey BETWEEN 1 AND 62 UNION ALL SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0'), 'GO:' || lpad(((p_partkey - 1) // 3)::VARCHAR, 7, '0'), 'part_of' FROM part WHERE p_partkey BETWEEN 1 AND 62 AND p_partkey % 4 = 0",
@@ -157,6 +184,7 @@ CTE = {
 }
 NEEDS = {
     "edges": ["go_edges"], "reach": ["edges"], "closed": ["reach"], "taxon_reach": ["taxon_edges"], "taxon_closed": ["taxon_reach"], "complexes": ["closed", "homodimers"],
+    "complex_predictions": ["complex_scale"], "complex_edges": ["complex_scale"], "complex_reach": ["complex_edges"], "complex_list": ["complex_reach"],
 }
 
 

@@ -53,6 +53,10 @@ def complexes(v: Views) -> DataFrame:
     return repair_complex.heteromeric(v.edges, "GO:0000005", v.homodimers)
 
 
+def scaled_complexes(v: Views) -> DataFrame:
+    return repair_complex.heteromeric(v.complex_edges, "GO:0000005", v.complex_homodimers)
+
+
 VIOLATING = f"""
 SELECT g.genome, c.term, c.kind FROM genomes g JOIN taxon_closed l ON l.node = g.taxon JOIN constraints c ON c.taxon = l.ancestor WHERE c.kind = 'never_in_taxon'
 UNION
@@ -203,9 +207,9 @@ def with_root(v):
     return v.annotations.join(keep, ["genome", "protein"], "left_semi").groupBy("genome", "protein").agg(F.count("*").alias("n"))
 
 
-@query("j22_score_with_default", f"SELECT a.genome, round(sum(coalesce(abs(p.score - {TAU}), {TAU})), 4) AS cost FROM annotations a LEFT JOIN complex_predictions p USING (genome, protein, term) GROUP BY a.genome", "annotations", "complex_predictions")
+@query("j22_score_with_default", f"SELECT a.genome, round(sum(coalesce(abs(p.score - {TAU}), {TAU})), 4) AS cost FROM annotations a LEFT JOIN predictions p USING (genome, protein, term) GROUP BY a.genome", "annotations", "predictions")
 def score_default(v):
-    j = v.annotations.join(v.complex_predictions, ["genome", "protein", "term"], "left")
+    j = v.annotations.join(v.predictions, ["genome", "protein", "term"], "left")
     return j.groupBy("genome").agg(F.round(F.sum(F.coalesce(F.abs(F.col("score") - TAU), F.lit(TAU))), 4).alias("cost"))
 
 
@@ -232,9 +236,9 @@ def counts(v):
     return annotate.annotated_counts(v.predictions, TAU)
 
 
-@query("a3_singleton_complexes", f"SELECT genome, term, min(protein) AS protein FROM complex_predictions WHERE score > {TAU} AND term IN (SELECT term FROM complexes) GROUP BY genome, term HAVING count(DISTINCT protein) = 1", "complex_predictions", "complexes")
+@query("a3_singleton_complexes", f"SELECT genome, term, min(protein) AS protein FROM complex_predictions WHERE score > {TAU} AND term IN (SELECT term FROM complex_list) GROUP BY genome, term HAVING count(DISTINCT protein) = 1", "complex_predictions", "complex_list")
 def lone(v):
-    return annotate.singletons(v.complex_predictions, TAU, complexes(v))
+    return annotate.singletons(v.complex_predictions, TAU, scaled_complexes(v))
 
 
 @query("a4_genome_terms", "SELECT DISTINCT genome, term FROM annotations", "annotations")
@@ -244,23 +248,23 @@ def union_terms(v):
 
 @query(
     "a5_process_coherence",
-    """WITH t AS (SELECT DISTINCT genome, term FROM annotations WHERE protein < 'p15'), w AS (SELECT t.genome, h.whole, h.part, x.term IS NULL AS missing FROM t JOIN has_part h ON h.whole = t.term LEFT JOIN t x ON x.genome = t.genome AND x.term = h.part)
+    """WITH t AS (SELECT DISTINCT genome, term FROM small_genomes), w AS (SELECT t.genome, h.whole, h.part, x.term IS NULL AS missing FROM t JOIN has_part h ON h.whole = t.term LEFT JOIN t x ON x.genome = t.genome AND x.term = h.part)
     SELECT g.genome, count(w.part) AS required, count(*) FILTER (w.missing) AS missing, round(CASE WHEN count(w.part) > 0 THEN 100 - 100.0 * count(*) FILTER (w.missing) / count(w.part) ELSE 0 END, 6) AS pct
     FROM (SELECT DISTINCT genome FROM t) g LEFT JOIN w USING (genome) GROUP BY g.genome""",
-    "annotations", "has_part",
+    "small_genomes", "has_part",
 )
 def process(v):
-    return coherence.process_coherence(v.annotations.where("protein < 'p15'"), v.has_part).select("genome", "required", "missing", r6("pct"))
+    return coherence.process_coherence(v.small_genomes, v.has_part).select("genome", "required", "missing", r6("pct"))
 
 
 @query(
     "a6_pathway_completeness",
-    """WITH t AS (SELECT DISTINCT genome, term FROM annotations WHERE protein < 'p15'), c AS (SELECT t.genome, w.pathway, w.combo, bool_and(x.term IS NOT NULL) AS whole FROM t JOIN pathway_combos w ON w.term = t.term LEFT JOIN t x ON x.genome = t.genome AND x.term = w.need GROUP BY 1, 2, 3)
+    """WITH t AS (SELECT DISTINCT genome, term FROM small_genomes), c AS (SELECT t.genome, w.pathway, w.combo, bool_and(x.term IS NOT NULL) AS whole FROM t JOIN pathway_combos w ON w.term = t.term LEFT JOIN t x ON x.genome = t.genome AND x.term = w.need GROUP BY 1, 2, 3)
     SELECT genome, pathway, bool_or(whole) AS complete FROM c GROUP BY 1, 2""",
-    "annotations", "pathway_combos",
+    "small_genomes", "pathway_combos",
 )
 def pathways(v):
-    return coherence.pathway_completeness(v.annotations.where("protein < 'p15'"), v.pathway_combos)
+    return coherence.pathway_completeness(v.small_genomes, v.pathway_combos)
 
 
 @query("a7_complex_classes", "SELECT a.genome, a.term, count(DISTINCT protein) AS n, count(DISTINCT protein) > 1 OR a.term IN (SELECT term FROM homodimers) AS coherent FROM annotations a WHERE a.term IN (SELECT node FROM closed WHERE ancestor = 'GO:0000005') GROUP BY 1, 2", "annotations", "closed", "homodimers")
@@ -648,22 +652,26 @@ def taxon_inference(v):
 
 @query("z3_complex_repair")
 def complex_repair(v):
-    return repair_complex.solve_complexes(v.complex_predictions, TAU, v.edges, complexes(v), top_k=5)
+    return repair_complex.solve_complexes(v.complex_predictions, TAU, v.complex_edges, scaled_complexes(v), top_k=5)
+
+
+LONE = f"""l AS (SELECT genome, term AS complex FROM complex_predictions WHERE score > {TAU} AND term IN (SELECT term FROM complex_list) GROUP BY 1, 2 HAVING count(DISTINCT protein) = 1)"""
 
 
-@query("z7_participants", f"""WITH l AS (SELECT genome, term FROM complex_predictions WHERE score > {TAU} AND term IN (SELECT term FROM complexes) GROUP BY 1, 2 HAVING count(DISTINCT protein) = 1), r AS (SELECT p.genome, p.term AS complex, p.protein, row_number() OVER (PARTITION BY p.genome, p.term ORDER BY score DESC, protein) AS k FROM complex_predictions p JOIN l USING (genome, term)) SELECT genome, complex, protein FROM r WHERE k <= 3
-AND (SELECT count(*) FROM r x WHERE x.genome = r.genome AND x.complex = r.complex) >= 3""", "complex_predictions", "complexes")
+# complexes with fewer scored proteins than 50 are filled up by name
+@query("z7_participants", f"""WITH {LONE}, s AS (SELECT genome, l.complex, p.protein, p.score FROM complex_predictions p JOIN l USING (genome) WHERE p.term = l.complex), r AS (SELECT *, row_number() OVER (PARTITION BY genome, complex ORDER BY score DESC, protein) AS k FROM s),
+n AS (SELECT genome, complex, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) < 50), x AS (SELECT DISTINCT genome, protein FROM complex_predictions),
+f AS (SELECT n.genome, n.complex, x.protein, n.n + row_number() OVER (PARTITION BY n.genome, n.complex ORDER BY x.protein) AS k FROM n JOIN x USING (genome) LEFT JOIN s ON s.genome = n.genome AND s.complex = n.complex AND s.protein = x.protein WHERE s.protein IS NULL)
+SELECT genome, complex, protein FROM r WHERE k <= 50 UNION ALL SELECT genome, complex, protein FROM f WHERE k <= 50""", "complex_predictions", "complex_list")
 def participants(v):
-    p = repair_complex.participants(v.complex_predictions, TAU, complexes(v), top_k=3)
-    enough = v.complex_predictions.groupBy("genome", F.col("term").alias("complex")).agg(F.count_distinct("protein").alias("n")).where("n >= 3")
-    return p.join(enough, ["genome", "complex"], "left_semi")
+    return repair_complex.participants(v.complex_predictions, TAU, scaled_complexes(v), top_k=50)
 
 
-@query("z8_sparse_pairs", f"""WITH l AS (SELECT genome, term AS complex FROM complex_predictions WHERE score > {TAU} AND term IN (SELECT term FROM complexes) GROUP BY 1, 2 HAVING count(DISTINCT protein) = 1), h AS (SELECT genome, protein, term FROM complex_predictions WHERE score > {TAU}), part AS (SELECT l.genome, l.complex, x.protein FROM l JOIN (SELECT DISTINCT genome, protein FROM h) x USING (genome)), m AS (SELECT part.*, h.term IS NOT NULL AS has FROM part LEFT JOIN h ON h.genome = part.genome AND h.protein = part.protein AND h.term = part.complex)
-SELECT genome, count(*) AS pairs FROM (SELECT genome, protein, complex AS term FROM m UNION SELECT m.genome, m.protein, r.node FROM m JOIN reach r ON r.ancestor = m.complex JOIN h ON h.genome = m.genome AND h.protein = m.protein AND h.term = r.node WHERE m.has UNION SELECT m.genome, m.protein, r.ancestor FROM m JOIN reach r ON r.node = m.complex WHERE NOT m.has AND NOT EXISTS (SELECT 1 FROM h WHERE h.genome = m.genome AND h.protein = m.protein AND h.term = r.ancestor)) GROUP BY genome""", "complex_predictions", "complexes", "reach")
+@query("z8_sparse_pairs", f"""WITH {LONE}, h AS (SELECT genome, protein, term FROM complex_predictions WHERE score > {TAU}), part AS (SELECT l.genome, l.complex, x.protein FROM l JOIN (SELECT DISTINCT genome, protein FROM h) x USING (genome)), m AS (SELECT part.*, h.term IS NOT NULL AS has FROM part LEFT JOIN h ON h.genome = part.genome AND h.protein = part.protein AND h.term = part.complex)
+SELECT genome, protein, complex AS term FROM m UNION SELECT m.genome, m.protein, r.node FROM m JOIN complex_reach r ON r.ancestor = m.complex JOIN h ON h.genome = m.genome AND h.protein = m.protein AND h.term = r.node WHERE m.has UNION SELECT m.genome, m.protein, r.ancestor FROM m JOIN complex_reach r ON r.node = m.complex WHERE NOT m.has AND NOT EXISTS (SELECT 1 FROM h WHERE h.genome = m.genome AND h.protein = m.protein AND h.term = r.ancestor)""", "complex_predictions", "complex_list", "complex_reach")
 def pairs(v):
-    part = repair_complex.participants(v.complex_predictions, TAU, complexes(v))
-    return repair_complex.sparse_pairs(v.complex_predictions, TAU, v.edges, part).groupBy("genome").agg(F.count("*").alias("pairs"))
+    part = repair_complex.participants(v.complex_predictions, TAU, scaled_complexes(v))
+    return repair_complex.sparse_pairs(v.complex_predictions, TAU, v.complex_edges, part)
 
 
 @query("z9_heteromeric_complexes", "SELECT term FROM complexes", "complexes")
@@ -671,9 +679,23 @@ def heteromeric(v):
     return complexes(v)
 
 
-@query("a46_model_sizes")
+@query("a46_model_sizes", f"""WITH p AS (SELECT DISTINCT genome, protein FROM complex_predictions), h AS (SELECT genome, protein, term FROM complex_predictions WHERE score > {TAU}), {LONE},
+g AS (SELECT genome, count(*) AS n FROM p GROUP BY 1), t AS (SELECT count(*) AS n FROM (SELECT child FROM complex_edges UNION SELECT parent FROM complex_edges)), e AS (SELECT count(*) AS n FROM complex_edges),
+act AS (SELECT true AS h1, genome, complex FROM l UNION ALL SELECT false, genome, term FROM g, complex_list),
+cand AS (SELECT a.h1, a.genome, a.complex, p.protein, row_number() OVER (PARTITION BY a.h1, a.genome, a.complex ORDER BY coalesce(s.score, 0) DESC, p.protein) AS r FROM act a JOIN p USING (genome) LEFT JOIN complex_predictions s ON s.genome = a.genome AND s.protein = p.protein AND s.term = a.complex),
+part AS (SELECT h1, true AS h3, genome, complex, protein FROM cand WHERE r <= 50 UNION ALL SELECT h1, false, genome, complex, protein FROM cand),
+m AS (SELECT part.*, h.term IS NOT NULL AS has FROM part LEFT JOIN h ON h.genome = part.genome AND h.protein = part.protein AND h.term = part.complex),
+pairs AS (SELECT h1, h3, genome, protein, complex AS term FROM m UNION SELECT h1, h3, m.genome, m.protein, r.node FROM m JOIN complex_reach r ON r.ancestor = m.complex JOIN h ON h.genome = m.genome AND h.protein = m.protein AND h.term = r.node WHERE m.has
+  UNION SELECT h1, h3, m.genome, m.protein, r.ancestor FROM m JOIN complex_reach r ON r.node = m.complex WHERE NOT m.has AND NOT EXISTS (SELECT 1 FROM h WHERE h.genome = m.genome AND h.protein = m.protein AND h.term = r.ancestor)),
+np AS (SELECT h1, h3, genome, count(*) AS n FROM pairs GROUP BY 1, 2, 3),
+nl AS (SELECT a.h1, a.h3, a.genome, count(*) AS n FROM pairs a JOIN complex_edges e ON e.child = a.term JOIN pairs b ON b.h1 = a.h1 AND b.h3 = a.h3 AND b.genome = a.genome AND b.protein = a.protein AND b.term = e.parent GROUP BY 1, 2, 3),
+na AS (SELECT h1, h3, genome, count(*) AS n, sum(CASE WHEN c > 1 THEN c ELSE 0 END) AS cands FROM (SELECT h1, h3, genome, complex, count(*) AS c FROM part GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+b AS (SELECT genome, g.n AS proteins, h1, h3 FROM g, (VALUES (true), (false)) x(h1), (VALUES (true), (false)) y(h3)),
+z AS (SELECT b.*, coalesce(np.n, 0) AS pairs, coalesce(nl.n, 0) AS links, coalesce(na.n, 0) AS active, coalesce(cands, 0) AS cands FROM b LEFT JOIN np USING (genome, h1, h3) LEFT JOIN nl USING (genome, h1, h3) LEFT JOIN na USING (genome, h1, h3))
+SELECT genome, h1, true AS h2, h3, (2 * pairs)::BIGINT AS variables, (links + 3 * active + pairs)::BIGINT AS constraints FROM z
+UNION ALL SELECT genome, h1, false, h3, (2 * t.n * proteins)::BIGINT, (e.n * proteins + cands + t.n * proteins)::BIGINT FROM z, t, e""", "complex_predictions", "complex_list", "complex_reach", "complex_edges")
 def model_sizes(v):
-    return repair_complex.model_sizes(v.complex_predictions, TAU, v.edges, complexes(v), 5)
+    return repair_complex.model_sizes(v.complex_predictions, TAU, v.complex_edges, scaled_complexes(v), 50)
 
 
 # ---- windows, genomics, splits, models -----------------------------------------------------------

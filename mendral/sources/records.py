@@ -14,13 +14,18 @@ from mendral.functions.scalars import attributes, dated, fasta_id, location
 EXPERIMENTAL = ["EXP", "IDA", "IPI", "IMP", "IGI", "IEP", "TAS", "IC", "HTP", "HDA", "HMP", "HGI", "HEP"]
 
 
+def in_file(name: str) -> Column:
+    """Where a record stands: its file, the block of it, its place there."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias(name)
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """(entry, reviewed, taxon, organism, name, integrated, go, embl) of protein flat files; gzip is fine.
 
     ``go`` has (term, code), ``embl`` the protein ids of genomic DNA. The recommended
     name comes before a submitted or alternative one.
     """
-    raw = spark.read.text(path, lineSep="//\n").select(F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "\r", "").alias("r")).where(F.col("r").rlike(r"(?m)^ID   "))
+    raw = spark.read.text(path, lineSep="//\n").select(in_file("row"), F.regexp_replace("value", "\r", "").alias("r")).where(F.col("r").rlike(r"(?m)^ID   "))
 
     def one(p: str) -> Column:
         got = F.regexp_extract("r", p, 1)
@@ -61,7 +66,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
     Records are components in file order; locations may go over several lines.
     """
-    raw = spark.read.text(path, lineSep="//\n").select(F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", "\r", "").alias("r")).where(F.col("r").rlike(r"(?m)^ID   "))
+    raw = spark.read.text(path, lineSep="//\n").select(in_file("pos"), F.regexp_replace("value", "\r", "").alias("r")).where(F.col("r").rlike(r"(?m)^ID   "))
     blocks = F.regexp_extract_all("r", F.lit(r"(?m)^FT   CDS +((?:.*\n)(?:FT {19}.*\n?)*)"), F.lit(1))
     rows = raw.select("pos", F.regexp_extract("r", r"(?m)^ID   ([^;\s]+)", 1).alias("component"), F.regexp_extract("r", r"(?m)^ID   .*?(\d+) BP\.", 1).cast("long").alias("size"), F.explode(blocks).alias("b"))
     flat = F.regexp_replace("b", r"\nFT {19}", "")

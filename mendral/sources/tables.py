@@ -155,11 +155,31 @@ def read_details(spark: SparkSession, path: str, flags: list[str]) -> DataFrame:
 
 
 def read_consistent(spark: SparkSession, path: str) -> DataFrame:
-    """(taxon) of consistent genomes, from ``genome, satisfiable`` tables or from ``taxon: consistent`` lines."""
-    v = F.col("value")
-    a = F.regexp_extract(v, r"^(\S+)\t(?:True|true|1)(?:\t|$)", 1)
-    b = F.regexp_extract(v, r"^\s*(\S+)\s*:\s*consistent\b", 1)
-    return lines(spark, path).select(F.when(a != "", a).otherwise(b).alias("taxon")).where("taxon <> ''").distinct()
+    """(taxon) of consistent genomes of an evaluation report.
+
+    Of each file the first of these that gives any: the table of a log between its
+    title and its summary, with ``Yes`` in the second field; a table with the columns
+    ``taxon`` and ``satisfiable`` in its header, in any case and order; tables with
+    the genome and its satisfiability in front, and ``taxon: consistent`` lines.
+    """
+    v = F.trim(F.regexp_replace("value", r"\s+$", ""))
+    before = Window.partitionBy("file").orderBy("row")
+    rows = lines(spark, path).withColumn("n", F.row_number().over(before))
+    # fixed values: the title and the end of the table in logs
+    section = F.when(F.col("value").contains("Per-Taxon GAEF Metrics"), "on").when(F.col("value").contains("Aggregate GAEF Metrics Summary"), "off")
+    rows = rows.withColumn("section", F.last(section, ignorenulls=True).over(before))
+    words = F.split(v, r"\s+")
+    logged = F.when((F.col("section") == "on") & ~F.col("value").contains("---") & (F.size(words) >= 2) & (F.get(words, F.lit(1)) == "Yes"), F.get(words, F.lit(0)))
+    header = F.first(F.when(F.col("n") == 1, F.split(F.lower("value"), "\t")), ignorenulls=True).over(before)
+    at, ok = (F.array_position("header", name).cast("int") for name in ("taxon", "satisfiable"))
+    cells = F.split("value", "\t")
+    tabled = F.when((F.col("n") > 1) & (at > 0) & (ok > 0) & (F.lower(F.trim(F.get(cells, ok - 1))) == "true"), F.trim(F.get(cells, at - 1)))
+    a = F.regexp_extract("value", r"^(\S+)\t(?:True|true|1)(?:\t|$)", 1)
+    b = F.regexp_extract("value", r"^\s*(\S+)\s*:\s*consistent\b", 1)
+    plain = F.when((F.size("header") > 0) & ~((at > 0) & (ok > 0)), F.when(a != "", a).otherwise(F.when(b != "", b)))
+    found = rows.withColumn("header", header).select("file", F.array(logged, tabled, plain).alias("by")).select("file", F.posexplode("by").alias("rule", "taxon")).where(F.col("taxon").isNotNull() & (F.col("taxon") != ""))
+    first = found.groupBy("file").agg(F.min("rule").alias("rule"))
+    return found.join(first, ["file", "rule"], "left_semi").select("taxon").distinct()
 
 
 def read_complex_portal(spark: SparkSession, path: str) -> DataFrame:
@@ -170,6 +190,7 @@ def read_complex_portal(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.col("taxon") != "") & (F.size("subunits") > 0)).select("taxon", F.explode("terms").alias("term"), "subunits")
 
 
+# fixed values: names of one column in the releases of a catalogue
 SUBUNITS = ("subunits(UniProt IDs)", "subunits (UniProt IDs)", "Subunits (UniProt IDs)", "subunit(UniProtKB)")
 
 
