@@ -113,7 +113,7 @@ def load(path: str = f"{TOKENIZERS}/{MODEL}") -> Pieces:
 def word_pattern(p: Pieces) -> str:
     """Words of a text whose spaces are U+2581."""
     alone = p.alone
-    return rf"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
+    return rf"[{alone}]|{SPACE}*+[^{SPACE}{alone}]++|{SPACE}++" if alone else rf"{SPACE}*+[^{SPACE}]++|{SPACE}++"
 
 
 def prepare(text: str | None) -> str:
@@ -410,10 +410,14 @@ def spelled(p: Pieces) -> list[bytes]:
     return out
 
 
+def bytes_of(table: list[bytes], ids: list[int]) -> bytes:
+    """The text of ids in UTF-8, by the bytes of each piece."""
+    raw = b"".join(map(table.__getitem__, ids)).replace(SPACE.encode(), b" ")
+    return raw[1:] if raw.startswith(b" ") else raw
+
+
 def text_of(table: list[bytes], ids: list[int]) -> str:
-    """The text of ids by the bytes of each piece."""
-    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+    return bytes_of(table, ids).decode("utf-8", "replace")
 
 
 def decode(p: Pieces, ids: list[int]) -> str:
@@ -464,7 +468,7 @@ def digest(docs: DataFrame, p: Pieces | None = None, most: int = DICTIONARY_WORD
             for t, x in zip(texts, encode(texts), strict=True):
                 n.append(len(x))
                 crc.append(zlib.crc32(x.astype("<i4").tobytes()))
-                back.append(text_of(shared.value, x.tolist()) == (t or "").replace(SPACE, " "))
+                back.append(bytes_of(shared.value, x.tolist()) == (t or "").replace(SPACE, " ").encode())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
