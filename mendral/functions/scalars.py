@@ -94,7 +94,7 @@ def signature(*parts: Column) -> Column:
 
 def listed(c: Column, separator: str = "|") -> Column:
     """Non-empty, trimmed parts of a separated string."""
-    return F.filter(F.transform(F.split(c, "[" + separator + "]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[" + separator + "]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 # fixed value: the published pattern of accession numbers

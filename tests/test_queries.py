@@ -2,11 +2,11 @@
 
 import pytest
 
-from mendral.plans import file_queries, more_queries, queries
+from mendral.plans import file_queries, more_queries, queries, source_queries
 from mendral.plans.adapters import Views
 from tests.oracle import assert_same, connection
 
-ALL = file_queries.QUERIES | more_queries.QUERIES
+ALL = file_queries.QUERIES | more_queries.QUERIES | source_queries.QUERIES
 
 
 @pytest.fixture(scope="module")
