@@ -4,8 +4,8 @@ A text is cut into words in which no piece of the model crosses a border: runs o
 spaces with the characters after them, and line breaks and other characters that
 no longer piece holds on their own. Words are encoded, not texts:
 
-1. All texts are counted into words. The most frequent ones (as many as
-   ``DICTIONARY_WORDS``, a bound on memory) make a dictionary.
+1. All texts are split at spaces and counted into words. The most frequent ones (as
+   many as ``DICTIONARY_WORDS``, a bound on memory) make a dictionary.
 2. Lattice: every word of it explodes into its substrings of bounded length, an
    equi-join with the piece table keeps those that are pieces, edges are grouped
    by word, and a Spark higher-order ``aggregate`` folds them. For unigram models
@@ -208,10 +208,15 @@ def encode_word(p: Pieces, word: str) -> list[int]:
 
 
 def words_of(docs: DataFrame, p: Pieces) -> DataFrame:
-    """(word, n): every word of every text, counted."""
-    text = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    found = F.explode(F.regexp_extract_all(text, F.lit(word_pattern(p)), F.lit(0))).alias("word")
-    return docs.where(F.length("text") > 0).select(found).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n): the words of every text, counted.
+
+    Texts are split at spaces and at characters that are words of their own; what
+    follows one of these counts as if a space were before it. Counts decide which
+    words the dictionary holds, never how a word is encoded.
+    """
+    spaced = F.translate("text", p.alone, " " * len(p.alone)) if p.alone else F.col("text")
+    found = docs.where(F.length("text") > 0).select(F.explode(F.split(spaced, " ")).alias("w")).where("w <> ''")
+    return found.groupBy("w").agg(F.count("*").alias("n")).select(F.concat(F.lit(SPACE), "w").alias("word"), "n")
 
 
 def lattice(words: DataFrame, p: Pieces) -> DataFrame:
