@@ -40,10 +40,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, materialize, small_batches, take_over
+from .common import discard, documents, materialize, small_batches, take_over, utf8
 
 #: Where the tokenizer files are; a parameter of the environment, never copied.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -401,28 +402,27 @@ def encoder(spark: SparkSession, p: Pieces, known: Dictionary):
     return encode
 
 
-def spelled(p: Pieces) -> list[bytes]:
+def spelled(p: Pieces) -> pa.Array:
     """The bytes of each piece; control pieces have none."""
     out = [b"" if i in p.special else x.encode("utf-8", "surrogatepass") for i, x in enumerate(p.pieces)]
     for b, i in enumerate(p.byte_ids):
         if i:
             out[i] = bytes([b])
-    return out
-
+    return pa.array(out, pa.large_binary())
 
-def bytes_of(table: list[bytes], ids: list[int]) -> bytes:
-    """The text of ids in UTF-8, by the bytes of each piece."""
-    raw = b"".join(map(table.__getitem__, ids)).replace(SPACE.encode(), b" ")
-    return raw[1:] if raw.startswith(b" ") else raw
 
-
-def text_of(table: list[bytes], ids: list[int]) -> str:
-    return bytes_of(table, ids).decode("utf-8", "replace")
+def decoded(table: pa.Array, ids: np.ndarray | pa.Array, lengths: np.ndarray) -> Iterator[bytes]:
+    """The texts in UTF-8 of lists of ids that stand one after the other, by the bytes of each piece."""
+    data, at = utf8(table.take(pa.array(ids, pa.int32())))
+    ends = at[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+    for a, z in zip(ends, ends[1:], strict=False):
+        raw = data[a:z].tobytes().replace(SPACE.encode(), b" ")
+        yield raw[1:] if raw.startswith(b" ") else raw
 
 
 def decode(p: Pieces, ids: list[int]) -> str:
     """The text of ids."""
-    return text_of(spelled(p), ids)
+    return next(decoded(spelled(p), ids, np.array([len(ids)]))).decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, p: Pieces | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -444,11 +444,16 @@ def encode_documents(docs: DataFrame, p: Pieces | None = None, most: int = DICTI
 
 def decode_documents(encoded: DataFrame, p: Pieces | None = None) -> DataFrame:
     """doc_id and text of rows (doc_id, ids)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(spelled(p or load()))
+    spark = encoded.sparkSession
+    small_batches(spark, 500)
+    shared = spark.sparkContext.broadcast(spelled(p or load()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([text_of(shared.value, x or []) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
+            ids = b.column("ids")
+            lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            texts = [x.decode("utf-8", "replace") for x in decoded(shared.value, ids.flatten(), lengths)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
 
@@ -463,13 +468,13 @@ def digest(docs: DataFrame, p: Pieces | None = None, most: int = DICTIONARY_WORD
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, crc, back = [], [], []
             texts = b.column("text").to_pylist()
-            for t, x in zip(texts, encode(texts), strict=True):
-                n.append(len(x))
-                crc.append(zlib.crc32(x.astype("<i4").tobytes()))
-                back.append(bytes_of(shared.value, x.tolist()) == (t or "").replace(SPACE, " ").encode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+            ids = list(encode(texts))
+            n = np.array([len(x) for x in ids], np.int64)
+            crc = [zlib.crc32(x.astype("<i4").tobytes()) for x in ids]
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            back = [x == (t or "").replace(SPACE, " ").encode() for x, t in zip(decoded(shared.value, flat, n), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(crc, pa.int64()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
