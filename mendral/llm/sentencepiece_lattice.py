@@ -359,10 +359,14 @@ class Table(dict):
         super().__init__()
         self.p, self.kind, self.find, self.old = p, code_of(p), known.finder(), {}
         self.pattern = re.compile(word_pattern(p))
+        self.alone = re.compile(f"[{p.alone}]" if p.alone else "(?!)")
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
+            inside = self.pattern.findall(word) if self.alone.search(word) else ()
+            if len(inside) > 1:
+                return b"".join(map(self.__getitem__, inside))
             ids = self.find(word)
         if ids is None:
             ids = array(self.kind, encode_word(self.p, word)).tobytes()
@@ -374,10 +378,16 @@ class Table(dict):
         return ids
 
     def words(self, text: str) -> Iterator[str]:
-        """The words of a text; those of a long one are not held all at once."""
-        if len(text) <= LONG_TEXT:
-            return iter(self.pattern.findall(text))
-        return (m.group() for m in self.pattern.finditer(text))
+        """The words of a text, or runs of words without a space; those of a long one are not held all at once."""
+        if len(text) > LONG_TEXT:
+            return (m.group() for m in self.pattern.finditer(prepare(text)))
+        if not text or text[0] == " " or "  " in text or SPACE in text:
+            return iter(self.pattern.findall(prepare(text)))
+        # all spaces are single ones before other characters: each begins a word
+        return iter((SPACE + text.replace(" ", " " + SPACE)).split(" "))
+
+    def ids(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.words(text or "")))
 
 
 def code_of(p: Pieces) -> str:
@@ -397,7 +407,7 @@ def encoder(spark: SparkSession, p: Pieces, known: Dictionary):
             tables[name] = Table(words, model)
         table = tables[name]
         for t in texts:
-            yield np.frombuffer(b"".join(map(table.__getitem__, table.words(prepare(t)))), table.kind)
+            yield np.frombuffer(table.ids(t), table.kind)
 
     return encode
 

@@ -1,13 +1,14 @@
 """Rows that share an id, names that clash, and references written out in plain Python."""
 
 import random
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from mendral.llm import common, exact_dedup, jaccard_join, language_id, mixing, quality, syncmers
+from mendral.llm import common, exact_dedup, jaccard_join, language_id, mixing, quality, sentencepiece_lattice, syncmers
 
 CLASHES = ["__keep", "__sha", "__gone", "__key", "__pass", "__plan", "keep_id", "keep_sha", "own_id", "own_sha", "link_key", "link_text", "linked_away", "mixing_key", "mixing_plan", "mixing_pass", "identified", "again", "low", "Key", "x", "component", "a.b", "d"]
 
@@ -218,3 +219,13 @@ def test_utf8_views_of_sliced_arrays():
     arr = pa.array(["aé", None, "", "漢字"]).slice(1)
     data, off = common.utf8(arr)
     assert [bytes(data[off[i] : off[i + 1]]).decode() for i in range(3)] == ["", "", "漢字"]
+
+
+def test_words_between_single_spaces_are_those_of_the_pattern():
+    p = sentencepiece_lattice.load()
+    table = sentencepiece_lattice.Table(sentencepiece_lattice.Dictionary.of([], []), p)
+    for text in ["", " ", "a", "a b", "a ", " a", "a  b", "a\nb c", "a \n b", "\n", "\t\ta\r\n", "a▁b", "x" * 100 + " y", "a b\n\nc d\n", "漢字 é"]:
+        words = table.pattern.findall(sentencepiece_lattice.prepare(text))
+        assert table.ids(text) == b"".join(array(table.kind, sentencepiece_lattice.encode_word(p, w)).tobytes() for w in words)
+        assert sentencepiece_lattice.decode(p, array(table.kind, table.ids(text)).tolist()) == text.replace("▁", " ")
+    assert table.ids(None) == b""
