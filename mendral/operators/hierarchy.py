@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendral.plans.storage import materialize, materialize_counted
+from mendral.plans.storage import materialize, materialize_counted, materialize_measured
 
-#: Dimension tables up to this many rows are sent to every executor.
-BROADCAST_ROWS = 1_000_000
+#: Dimension tables up to this many bytes are sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a check of the size; larger frames are joined by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` stored, with a broadcast hint if its rows hold at most ``most`` bytes; larger frames are joined by shuffle.
+
+    Storing measures it in the same run, so nothing upstream runs a second time.
+    """
+    stored, held = materialize_measured(df, "dimension")
+    return F.broadcast(stored) if held <= most else stored
 
 
 def closure(edges: DataFrame, reflexive: bool = True, most: int = 64) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 LOCAL_SCRATCH = "/tmp/checkpoints/mendral"
 
@@ -37,6 +38,25 @@ def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame,
     return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
 
 
+def width(schema: StructType) -> Column:
+    """About how many bytes a row holds in memory: eight a field, and what strings and nested values add."""
+    held = F.lit(16 + 8 * len(schema.fields)).cast("long")
+    for field in schema.fields:
+        c = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, StringType | BinaryType):
+            held = held + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, ArrayType | MapType | StructType):
+            held = held + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return held
+
+
+def materialize_measured(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
+    """The stored table and about the bytes its rows hold in memory, added up while it is written."""
+    path, seen = scratch_path(df.sparkSession, label), Observation()
+    df.observe(seen, F.coalesce(F.sum(width(df.schema)), F.lit(0)).alias("held")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["held"])
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
