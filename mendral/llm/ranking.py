@@ -39,3 +39,22 @@ def running_total(df: DataFrame, by: list[str], block: str, order: list[str | Co
     inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow) if ties else inside.rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(F.broadcast(before) if sums.count() <= BROADCAST_ROWS else before, [*by, block])
     return joined.withColumn(name, F.col("__before") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop("__before")
+
+
+def places(df: DataFrame, by: list[str], order: list[str | Column], name: str, total: str, label: str) -> DataFrame:
+    """``df`` stored, with the place (from 0) of each row in its group and the group's number of rows.
+
+    Rows are dealt once, in ranges of (by, order, a drawn number), so that neither a
+    group nor rows that tie gather in one task. A row's place is its distance from
+    the first row of its group in its range, and what earlier ranges hold of the group;
+    the table of ranges has a row for each task and group that meet. ``by`` is not null.
+    """
+    draw, at, block = "__draw", "__at", "__block"
+    dealt = df.withColumn(draw, F.rand(20240229)).repartitionByRange(*by, *order, draw).sortWithinPartitions(*by, *order, draw)
+    laid = materialize(dealt.drop(draw).withColumn(at, F.monotonically_increasing_id()), label)
+    with_block = laid.withColumn(block, F.shiftright(at, 33))
+    runs = materialize(with_block.groupBy(*by, block).agg(F.count("*").alias("__n"), F.min(at).alias("__first")), "runs")
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("__n").over(group.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select(*by, block, (before - F.col("__first")).alias("__shift"), F.sum("__n").over(group).alias(total))
+    return with_block.join(near(starts), [*by, block]).withColumn(name, F.col(at) + F.col("__shift")).drop(at, block, "__shift")

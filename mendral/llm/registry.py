@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, sentencepiece_lattice, sharding, syncmers
+from . import exact_dedup, jaccard_join, language_id, licenses, merkle, mixing, pii, quality, sentencepiece_lattice, sharding, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pii": pii.op9_pii,
     "op10_sharding": sharding.op10_sharding,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_pii": pii.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
