@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 
 def connection(sf_dir):
@@ -18,7 +19,7 @@ def connection(sf_dir):
 def canonical(df):
     df = df[sorted(df.columns)].copy()
     for c in df:
-        df[c] = [None if x is None or x != x else str(round(float(x), 6)) if isinstance(x, (float, np.floating, int, np.integer)) and not isinstance(x, (bool, np.bool_)) else str(x) for x in df[c].astype(object)]
+        df[c] = [None if x is None or x is pd.NA or x != x else str(round(float(x), 6)) if isinstance(x, (float, np.floating, int, np.integer)) and not isinstance(x, (bool, np.bool_)) else str(x) for x in df[c].astype(object)]
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
