@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Rows up to which a table of a few short columns is sent to every executor; beyond, it is shuffled.
 BROADCAST_ROWS = 300_000
@@ -50,8 +50,11 @@ def places(df: DataFrame, by: list[str], order: list[str | Column], name: str, t
     the table of ranges has a row for each task and group that meet. ``by`` is not null.
     """
     draw, at, block = "__draw", "__at", "__block"
-    dealt = df.withColumn(draw, F.rand(20240229)).repartitionByRange(*by, *order, draw).sortWithinPartitions(*by, *order, draw)
+    # stored first: the sample of the ranges would otherwise compute the rows a second time
+    drawn = materialize(df.withColumn(draw, F.rand(20240229)), f"{label}-drawn")
+    dealt = drawn.repartitionByRange(*by, *order, draw).sortWithinPartitions(*by, *order, draw)
     laid = materialize(dealt.drop(draw).withColumn(at, F.monotonically_increasing_id()), label)
+    discard(drawn)
     with_block = laid.withColumn(block, F.shiftright(at, 33))
     runs = materialize(with_block.groupBy(*by, block).agg(F.count("*").alias("__n"), F.min(at).alias("__first")), "runs")
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

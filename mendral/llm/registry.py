@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, licenses, merkle, mixing, pii, quality, sentencepiece_lattice, sharding, syncmers
+from . import exact_dedup, jaccard_join, language_id, licenses, merkle, mixing, pii, quality, resampling, sentencepiece_lattice, sharding, syncmers, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.op9_pii,
     "op10_sharding": sharding.op10_sharding,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_embedding_near_dedup": vector_dedup.op13_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_pii": pii.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_importance_resampling": resampling.ORACLE,
 }
