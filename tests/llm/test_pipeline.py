@@ -19,7 +19,7 @@ def test_stages(spark, sf, tmp_path):
     ids = lambda d: {r["doc_id"] for r in d.select("doc_id").collect()}
     first = exact_dedup.deduplicate(kept["language_id"]).where("kept")
     assert ids(first) == ids(kept["exact_dedup"])
-    assert ids(jaccard_join.jaccard_components(kept["exact_dedup"]).where("doc_id = component_id")) == ids(kept["jaccard_join"])
+    assert ids(jaccard_join.jaccard_components(kept["exact_dedup"], jaccard_join.NEAR_COPIES).where("doc_id = component_id")) == ids(kept["jaccard_join"])
     assert ids(kept["source_mixing"]) == ids(kept["jaccard_join"])
     p = sentencepiece_lattice.load()
     for r in kept["sentencepiece"].join(docs.select("doc_id", "text"), "doc_id").limit(50).collect():
