@@ -20,7 +20,7 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(stored) if held <= most else stored
 
 
-def closure(edges: DataFrame, reflexive: bool = True, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
     """(node, ancestor): the transitive closure of (child, parent), cycles allowed.
 
     Paths double in length each round, so the rounds are the logarithm of the
@@ -29,9 +29,7 @@ def closure(edges: DataFrame, reflexive: bool = True, most: int = 64) -> DataFra
     """
     e = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL").distinct()
     reach, n = materialize_counted(e, "closure")
-    for _ in range(most):
-        if not n:
-            break
+    while n:
         onward = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
         reach, now = materialize_counted(reach.unionByName(reach.join(onward, "ancestor").select("node", F.col("further").alias("ancestor"))).distinct(), "closure")
         if now == n:
@@ -60,21 +58,22 @@ def with_self(reach: DataFrame, nodes: DataFrame) -> DataFrame:
     return reach.unionByName(nodes.select(F.col(c).alias("node"), F.col(c).alias("ancestor"))).distinct()
 
 
-def closure_of(seed: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def closure_of(seed: DataFrame, edges: DataFrame) -> DataFrame:
     """All nodes that are reached from a seed set (one column), seeds included.
 
-    Walks from the seeds, a level a round, so that edges elsewhere cost nothing.
+    Walks from the seeds, a level a round, so that edges elsewhere cost nothing. Each
+    level is written once; rounds end with the first level that brings nothing new.
     """
     c = seed.columns[0]
     e = edges.select(F.col("child").alias("at"), F.col("parent").alias("to"))
-    seen = front = materialize(seed.select(F.col(c).alias("node")).where("node IS NOT NULL").distinct(), "reached")
-    for _ in range(most):
+    front, n = materialize_counted(seed.select(F.col(c).alias("node")).where("node IS NOT NULL").distinct(), "reached")
+    seen = front
+    while n:
         step = e.join(front, F.col("at") == F.col("node"), "left_semi").select(F.col("to").alias("node")).where("node IS NOT NULL").distinct()
-        front, n = materialize_counted(step.join(seen, "node", "left_anti"), "reached-front")
-        if not n:
-            return seen.select(F.col("node").alias(c))
-        seen = materialize(seen.unionByName(front), "reached")
-    raise RuntimeError(f"a path of more than {most} edges")
+        front, n = materialize_counted(step.join(seen, "node", "left_anti"), "reached")
+        if n:
+            seen = seen.unionByName(front)
+    return seen.select(F.col("node").alias(c))
 
 
 def disjoint_pairs(disjoint: DataFrame, reach: DataFrame) -> DataFrame:
@@ -92,18 +91,18 @@ def expand_unions(members: DataFrame) -> DataFrame:
     return reach.join(members.select(F.col("union").alias("member")).distinct(), "member", "left_anti").select("union", "member")
 
 
-def depth(edges: DataFrame, roots: list, most: int = 64) -> DataFrame:
-    """(node, depth): fewest edges to a root; nodes that reach none are absent."""
+def depth(edges: DataFrame, roots: list) -> DataFrame:
+    """(node, depth): fewest edges to a root; nodes that reach none are absent. As many rounds as levels, each written once."""
     spark: SparkSession = edges.sparkSession
     kind = edges.schema["child"].dataType.simpleString()
-    seen = materialize(spark.createDataFrame([(r,) for r in roots], "node string").select(F.col("node").cast(kind).alias("node"), F.lit(0).alias("depth")), "depth")
-    front = seen
-    for level in range(1, most):
+    front, n = materialize_counted(spark.createDataFrame([(r,) for r in roots], "node string").select(F.col("node").cast(kind).alias("node"), F.lit(0).alias("depth")).distinct(), "depth")
+    seen, level = front, 0
+    while n:
+        level += 1
         up = front.select(F.col("node").alias("parent"))
-        front, n = materialize_counted(edges.join(up, "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "depth-front")
-        if not n:
-            break
-        seen = materialize(seen.unionByName(front), "depth")
+        front, n = materialize_counted(edges.join(up, "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "depth")
+        if n:
+            seen = seen.unionByName(front)
     return seen
 
 

@@ -650,6 +650,35 @@ def taxon_inference(v):
     return s.groupBy("genome").agg(F.max("cost").alias("cost"))
 
 
+BAD_OF_LINE = """line AS (SELECT g.genome, l.ancestor AS taxon FROM genomes g JOIN taxon_closed l ON l.node = g.taxon),
+    bad AS (SELECT u.genome, u.term FROM u JOIN constraints k USING (term) WHERE (k.kind = 'only_in_taxon') = NOT EXISTS (SELECT 1 FROM line WHERE line.genome = u.genome AND line.taxon = k.taxon)
+      UNION SELECT b.genome, e.child FROM bad b JOIN edges e ON e.parent = b.term JOIN u ON u.genome = b.genome AND u.term = e.child)"""
+
+
+@query("z1_demoted_terms", f"WITH u AS ({UNIVERSE}), {BAD_OF_LINE} SELECT u.genome, u.term, u.c AS scaled, b.term IS NOT NULL AS demoted, (SELECT array_to_string(list_sort(list(taxon)), ' ') FROM line WHERE line.genome = u.genome) AS taxa FROM u LEFT JOIN bad b ON b.genome = u.genome AND b.term = u.term", "predictions", "edges", *DIMS)
+def demoted_terms(v):
+    costs = materialize(annotate.flip_costs(v.predictions, TAU).select("genome", "term", "scaled"))
+    s = repair_taxon.solve_taxa(costs, v.edges, v.constraints, v.taxon_edges, v.disjoint, genomes=v.genomes)
+    return s.join(costs, ["genome", "term"]).select("genome", "term", "scaled", "demoted", F.array_join("taxa", " ").alias("taxa"))
+
+
+# of the cheapest candidates the one with fewest taxa, then the least name
+@query(
+    "z2_inferred_taxa",
+    f"""WITH u AS ({UNIVERSE}), cand AS (SELECT node AS s, ancestor AS taxon FROM taxon_closed UNION ALL SELECT '', NULL), each_ AS (SELECT s, count(taxon) AS length FROM cand GROUP BY s),
+    bad AS (SELECT each_.s, u.genome, u.term FROM u JOIN constraints k USING (term) CROSS JOIN each_ WHERE (k.kind = 'only_in_taxon') = NOT EXISTS (SELECT 1 FROM cand WHERE cand.s = each_.s AND cand.taxon = k.taxon)
+      UNION SELECT b.s, b.genome, e.child FROM bad b JOIN edges e ON e.parent = b.term JOIN u ON u.genome = b.genome AND u.term = e.child),
+    cost AS (SELECT each_.s, each_.length, u.genome, coalesce(sum(u.c) FILTER (b.term IS NOT NULL), 0)::BIGINT AS cost, coalesce(string_agg(b.term, ' ' ORDER BY b.term), '') AS demoted FROM u CROSS JOIN each_ LEFT JOIN bad b ON b.s = each_.s AND b.genome = u.genome AND b.term = u.term GROUP BY 1, 2, 3),
+    best AS (SELECT *, row_number() OVER (PARTITION BY genome ORDER BY cost, length, s) AS r FROM cost)
+    SELECT genome, cost, demoted, coalesce((SELECT string_agg(taxon, ' ' ORDER BY taxon) FROM cand WHERE cand.s = best.s), '') AS taxa FROM best WHERE r = 1""",
+    "predictions", "edges", *DIMS,
+)
+def inferred_taxa(v):
+    s = repair_taxon.solve_taxa(annotate.flip_costs(v.predictions, TAU), v.edges, v.constraints, v.taxon_edges, v.disjoint)
+    gone = F.array_join(F.sort_array(F.collect_list(F.when(F.col("demoted"), F.col("term")))), " ").alias("demoted")
+    return s.groupBy("genome", "cost", F.array_join("taxa", " ").alias("taxa")).agg(gone)
+
+
 @query("z3_complex_repair")
 def complex_repair(v):
     return repair_complex.solve_complexes(v.complex_predictions, TAU, v.complex_edges, scaled_complexes(v), top_k=5)
@@ -658,6 +687,34 @@ def complex_repair(v):
 LONE = f"""l AS (SELECT genome, term AS complex FROM complex_predictions WHERE score > {TAU} AND term IN (SELECT term FROM complex_list) GROUP BY 1, 2 HAVING count(DISTINCT protein) = 1)"""
 
 
+# complexes that depend on no other one: of all flips the cheaper, going with what is below or joined by the protein that lacks least
+@query("z3_single_complexes", f"""WITH {LONE}, s AS (SELECT genome, l.complex, p.protein, p.score FROM complex_predictions p JOIN l USING (genome) WHERE p.term = l.complex), r AS (SELECT *, row_number() OVER (PARTITION BY genome, complex ORDER BY score DESC, protein) AS k FROM s),
+n AS (SELECT genome, complex, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) < 5), x AS (SELECT DISTINCT genome, protein FROM complex_predictions),
+f AS (SELECT n.genome, n.complex, x.protein, n.n + row_number() OVER (PARTITION BY n.genome, n.complex ORDER BY x.protein) AS k FROM n JOIN x USING (genome) LEFT JOIN s ON s.genome = n.genome AND s.complex = n.complex AND s.protein = x.protein WHERE s.protein IS NULL),
+part AS (SELECT genome, complex, protein FROM r WHERE k <= 5 UNION ALL SELECT genome, complex, protein FROM f WHERE k <= 5), h AS (SELECT genome, protein, term FROM complex_predictions WHERE score > {TAU}),
+m AS (SELECT part.*, h.term IS NOT NULL AS has FROM part LEFT JOIN h ON h.genome = part.genome AND h.protein = part.protein AND h.term = part.complex),
+o AS (SELECT genome, complex, protein, complex AS term FROM m UNION ALL SELECT m.genome, m.complex, m.protein, z.node FROM m JOIN complex_reach z ON z.ancestor = m.complex JOIN h ON h.genome = m.genome AND h.protein = m.protein AND h.term = z.node WHERE m.has
+  UNION ALL SELECT m.genome, m.complex, m.protein, z.ancestor FROM m JOIN complex_reach z ON z.node = m.complex WHERE NOT m.has AND NOT EXISTS (SELECT 1 FROM h WHERE h.genome = m.genome AND h.protein = m.protein AND h.term = z.ancestor)),
+coupled AS (SELECT a.genome, a.complex FROM o a JOIN o b ON b.genome = a.genome AND b.protein = a.protein AND b.term = a.term AND b.complex <> a.complex
+  UNION SELECT a.genome, unnest([a.complex, b.complex]) FROM o a JOIN complex_edges e ON e.child = a.term JOIN o b ON b.genome = a.genome AND b.protein = a.protein AND b.term = e.parent AND b.complex <> a.complex),
+w AS (SELECT o.*, h.term IS NOT NULL AS has, coalesce(abs(p.score - {TAU}), {TAU}) AS g FROM o LEFT JOIN complex_predictions p ON p.genome = o.genome AND p.protein = o.protein AND p.term = o.term LEFT JOIN h ON h.genome = o.genome AND h.protein = o.protein AND h.term = o.term WHERE NOT EXISTS (SELECT 1 FROM coupled c WHERE c.genome = o.genome AND c.complex = o.complex)),
+priced AS (SELECT *, CASE WHEN floor(round(g, 9) * 1000000) = 0 AND g > 0 THEN 1 ELSE floor(round(g, 9) * 1000000)::BIGINT END AS cost FROM w),
+up AS (SELECT genome, complex, protein, term AS at FROM priced WHERE term = complex UNION SELECT u.genome, u.complex, u.protein, e.parent FROM up u JOIN complex_edges e ON e.child = u.at JOIN priced q ON q.genome = u.genome AND q.complex = u.complex AND q.protein = u.protein AND q.term = e.parent),
+down AS (SELECT genome, complex, protein, term AS at FROM priced WHERE term = complex AND has UNION SELECT u.genome, u.complex, u.protein, e.child FROM down u JOIN complex_edges e ON e.parent = u.at JOIN priced q ON q.genome = u.genome AND q.complex = u.complex AND q.protein = u.protein AND q.term = e.child),
+lack AS (SELECT u.genome, u.complex, u.protein, sum(CASE WHEN q.has THEN 0 ELSE q.cost END) AS c FROM up u JOIN priced q ON q.genome = u.genome AND q.complex = u.complex AND q.protein = u.protein AND q.term = u.at GROUP BY 1, 2, 3),
+lose AS (SELECT u.genome, u.complex, u.protein, sum(CASE WHEN q.has THEN q.cost ELSE 0 END) AS c FROM down u JOIN priced q ON q.genome = u.genome AND q.complex = u.complex AND q.protein = u.protein AND q.term = u.at GROUP BY 1, 2, 3),
+joiner AS (SELECT k.genome, k.complex, k.protein, k.c, row_number() OVER (PARTITION BY k.genome, k.complex ORDER BY k.c, k.protein) AS r FROM lack k LEFT JOIN lose USING (genome, complex, protein) WHERE lose.protein IS NULL)
+SELECT d.genome, d.complex, d.protein AS lone, CASE WHEN j.c + k.c < d.c THEN j.protein ELSE '' END AS joined, least(d.c, coalesce(j.c + k.c, d.c))::BIGINT AS cost
+FROM lose d JOIN lack k USING (genome, complex, protein) LEFT JOIN joiner j ON j.genome = d.genome AND j.complex = d.complex AND j.r = 1""", "complex_predictions", "complex_list", "complex_reach", "complex_edges")
+def single_complexes(v):
+    pairs, rules, groups = repair_complex.tables(v.complex_predictions, TAU, v.complex_edges, scaled_complexes(v), 5)
+    groups = materialize(groups)
+    alone = groups.groupBy("component").agg(F.count("*").alias("n"), F.first("term").alias("complex")).where("n = 1").drop("n")
+    own = repair_complex.decide(pairs, rules, groups).join(alone, "component").where("term = complex")
+    lone, joined = F.max(F.when(F.col("annotated"), F.col("protein"))), F.max(F.when(F.col("present") & ~F.col("annotated"), F.col("protein")))
+    return own.groupBy("genome", "complex").agg(lone.alias("lone"), F.coalesce(joined, F.lit("")).alias("joined"), F.first("value").alias("cost"))
+
+
 # complexes with fewer scored proteins than 50 are filled up by name
 @query("z7_participants", f"""WITH {LONE}, s AS (SELECT genome, l.complex, p.protein, p.score FROM complex_predictions p JOIN l USING (genome) WHERE p.term = l.complex), r AS (SELECT *, row_number() OVER (PARTITION BY genome, complex ORDER BY score DESC, protein) AS k FROM s),
 n AS (SELECT genome, complex, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) < 50), x AS (SELECT DISTINCT genome, protein FROM complex_predictions),
