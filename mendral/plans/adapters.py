@@ -78,6 +78,13 @@ class Views:
         genome = F.concat(F.lit("g"), F.col("s_nationkey").cast("string"), F.lit("_"), F.expr("l_partkey div 20").cast("string"))
         return rows.select(genome.alias("genome"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("protein"), term_id(F.col("l_orderkey") % TERMS).alias("term")).distinct()
 
+    @cached_property
+    def small_predictions(self) -> DataFrame:
+        """Predictions by nation and twenty parts: many genomes of a few proteins each."""
+        rows = self.table("lineitem").join(self.table("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        genome = F.concat(F.lit("g"), F.col("s_nationkey").cast("string"), F.lit("_"), F.expr("l_partkey div 20").cast("string"))
+        return rows.groupBy(genome.alias("genome"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("protein"), term_id(F.col("l_orderkey") % TERMS).alias("term")).agg((F.max("l_quantity") / 50.0).alias("score"))
+
     @cached_property
     def terms(self) -> DataFrame:
         n = F.col("p_partkey")

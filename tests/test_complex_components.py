@@ -107,3 +107,29 @@ def test_components_of_numbers(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     touched = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {x: find(x) for x in touched}
+
+
+def test_full_model_equals_enumeration(spark):
+    """All terms and proteins of tiny genomes, complexes that become lonely by a repair included."""
+    rng = random.Random(11)
+    terms, edges = ["t0", "t1", "t2", "t3"], [("t1", "t0"), ("t2", "t1"), ("t3", "t1")]
+    rows = [(f"g{g}", p, t, rng.choice([0.1, 0.2, 0.4, 0.6, 0.7, 0.9])) for g in range(40) for p in ("p", "q", "r") for t in terms if rng.random() < 0.6]
+    f = spark.createDataFrame
+    solved = repair_complex.solve_full(f(rows, "genome string, protein string, term string, score double"), 0.5, f(edges, "child string, parent string"), f([("t1",), ("t2",), ("t3",)], "term string")).collect()
+    now = {(r.genome, r.protein, r.term): r.present for r in solved}
+    for g in {r[0] for r in rows}:
+        score = {(p, t): s for h, p, t, s in rows if h == g}
+        keys = [(p, t) for p in sorted({p for p, _ in score}) for t in terms]
+        has = {k: score.get(k, 0) > 0.5 for k in keys}
+        cost = {k: int(round(abs(score[k] - 0.5) if k in score else 0.5, 9) * 1_000_000) for k in keys}
+        rules = [((p, a), (p, b)) for p, t in keys for a, b in edges if a == t]
+        groups = [[(p, c) for p in {p for p, _ in keys}] for c in ("t1", "t2", "t3")]
+        v = {k: now.get((g, *k), has[k]) for k in keys}
+        assert not any(v[a] and not v[b] for a, b in rules) and not any(sum(v[x] for x in m) == 1 for m in groups)
+        assert sum(cost[k] for k in keys if v[k] != has[k]) == least(keys, has, cost, rules, groups)
+
+
+def test_full_model_without_violations(spark):
+    f = spark.createDataFrame
+    rows = f([("g", "p", "t", 0.9), ("g", "q", "t", 0.9)], "genome string, protein string, term string, score double")
+    assert repair_complex.solve_full(rows, 0.5, f([], "child string, parent string"), f([("t",)], "term string")).count() == 0
