@@ -6,13 +6,13 @@ sets, what is decided to be present and to be absent, and all else stays as it i
 Violated then are pairs without something above them, and groups with exactly one
 present member, which must go or be joined by another member.
 
-Every group on one member must pay for one of its options. The cost of a pair that
-several groups' options hold is shared out between these groups: in sweeps, each
-group takes what the others leave, and gives back what its cheapest option does not
-need. What a group's cheapest option costs in shares, added up over violated groups,
+Every violation must pay for one of its options. The cost of a pair that
+several violations' options hold is shared out between these: in sweeps, each
+takes what the others leave, and gives back what its cheapest option does not
+need. What the cheapest options cost in shares, added up over all violations,
 is a lower bound, and states are looked at in order of it. A state branches on the
-dearest pair that cheapest options of several groups share; where none is left, the
-groups don't depend on each other. The best complete assignment so far is kept, so that the
+dearest pair that cheapest options of several violations share; where none is left, these
+don't depend on each other. The best complete assignment so far is kept, so that the
 search may be ended at any time with a value and a bound.
 """
 
@@ -142,19 +142,21 @@ class Component:
                             worth[i] -= give
         return shares, users
 
-    def violated(self, yes: int, no: int) -> tuple[int | None, dict[int, list[tuple[int, int]]], dict[int, int]] | None:
-        """(pair without something above it, options of each violated group, its member); None if a group can't be mended."""
+    def violated(self, yes: int, no: int) -> tuple[dict[int, list[tuple[int, int]]], dict[int, int]] | None:
+        """(options, member) of each group on one member and (below zero) of each pair that lacks something above it; None if one can't be mended."""
         present = (self.has | yes) & ~no
-        torn = next((x for x in self.torn if present >> x & 1 and self.above[x] & ~present), None)
         open_, member = {}, {}
+        for x in self.torn:
+            if present >> x & 1 and self.above[x] & ~present:
+                out = [] if self.below[x] & yes else [(-1, self.below[x] & self.has & ~no)]
+                if not self.above[x] & no:
+                    out.append((x, self.above[x] & ~self.has & ~yes))
+                open_[-1 - x], member[-1 - x] = out, x
         for g in range(len(self.groups)):
             on = self.lone(g, present)
             if on is not None:
-                open_[g] = self.options(g, on, yes, no)
-                member[g] = on
-                if not open_[g]:
-                    return None
-        return torn, open_, member
+                open_[g], member[g] = self.options(g, on, yes, no), on
+        return (open_, member) if all(open_.values()) else None
 
     def dive(self, yes: int, no: int, spent: int) -> tuple[int, int, int] | None:
         """(cost, yes, no) of an assignment: the group that loses most by waiting takes its cheapest option, again and again."""
@@ -162,10 +164,8 @@ class Component:
             seen = self.violated(yes, no)
             if seen is None:
                 return None
-            torn, open_, member = seen
-            if torn is not None:
-                yes, no, add = self.step(yes, no, 0, self.below[torn])
-            elif open_:
+            open_, member = seen
+            if open_:
                 priced = {g: sorted((self.price(m), x) for x, m in o) for g, o in open_.items()}
                 g = max(priced, key=lambda g: (priced[g][1][0] - priced[g][0][0] if len(priced[g]) > 1 else math.inf, -g))
                 x, on = priced[g][0][1], member[g]
@@ -193,7 +193,7 @@ class Component:
             seen = self.violated(yes, no)
             if seen is None:
                 continue
-            torn, open_, member = seen
+            open_, member = seen
             looked += 1
             shares, users = self.share_out(open_, shares, FIRST_SWEEPS if not count else SWEEPS)
             worth = {g: min(sum(shares[g].get(x, 0.0) for x in self.of[m]) for _, m in o) for g, o in open_.items()}
@@ -206,9 +206,7 @@ class Component:
                 count += 1
                 heapq.heappush(heap, (low, -count, spent, yes, no, shares))
                 continue
-            if torn is not None:
-                children = [(0, self.below[torn]), (self.above[torn], 0)]
-            elif not open_:
+            if not open_:
                 best = min(best, (spent, yes, no))
                 continue
             else:

@@ -686,8 +686,8 @@ def complex_repair(v):
 
 @query("z4_full_model")
 def full_model(v):
-    """Every term and protein of many small genomes, whose annotations are not propagated."""
-    decided = repair_complex.solve_full(v.small_predictions, TAU, v.edges, complexes(v))
+    """Every term and protein of many small genomes."""
+    decided = repair_complex.solve_full(hierarchy.propagate_scores(v.small_predictions, closed(v)), TAU, v.edges, complexes(v))
     return decided.where("present <> annotated").select("genome", "protein", "term", "present", "scaled", "status")
 
 
