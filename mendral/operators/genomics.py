@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlaps(left: DataFrame, right: DataFrame, width: int, left_ends: tuple[str, str] = ("start", "end"), right_ends: tuple[str, str] = ("start", "end")) -> DataFrame:
-    """All pairs of closed intervals that overlap: right columns get the prefix ``r_``.
+def overlaps(left: DataFrame, right: DataFrame, width: int, left_ends: tuple[str, str] = ("start", "end"), right_ends: tuple[str, str] = ("start", "end"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of closed intervals (of equal ``keys``) that overlap: right columns get the prefix ``r_``.
 
     Intervals are dealt into bins of ``width``; pairs meet in their common bins and
     count in the first of these only, so no distinct is needed. ``width`` should be
@@ -22,7 +22,9 @@ def overlaps(left: DataFrame, right: DataFrame, width: int, left_ends: tuple[str
         return df.select("*", F.explode(F.sequence(F.floor(F.col(x) / width), F.floor(F.col(y) / width))).alias("bin"))
 
     r = bins(right, c, d).select(*[F.col(n).alias(f"r_{n}") for n in right.columns], "bin")
-    met = bins(left, a, b).join(r, "bin").where((F.col(a) <= F.col(f"r_{d}")) & (F.col(b) >= F.col(f"r_{c}")))
+    binned = bins(left, a, b)
+    same = [F.col(k) == F.col(f"r_{k}") for k in keys]
+    met = binned.join(r, [binned["bin"] == r["bin"], *same]).drop(r["bin"]).where((F.col(a) <= F.col(f"r_{d}")) & (F.col(b) >= F.col(f"r_{c}")))
     return met.where(F.col("bin") == F.floor(F.greatest(F.col(a), F.col(f"r_{c}")) / width)).drop("bin")
 
 
@@ -60,6 +62,20 @@ def contigs(genome_size: int, lengths: list[int], samples: int, seed: int) -> li
     return out
 
 
+def sampled_contigs(sizes: DataFrame, lengths: list[int], samples: int, seed: int) -> DataFrame:
+    """(genome, length, sample, start, end): random windows of each genome (genome, size), ends included.
+
+    Starts come from a hash of seed, genome, length and sample, so that any number of
+    genomes is sampled at once and a sample does not depend on the others. Lengths beyond
+    a genome are skipped; a genome of that length is taken whole.
+    """
+    rows = sizes.select("genome", "size", F.explode(F.array(*[F.lit(x).cast("long") for x in lengths])).alias("length")).where("length <= size")
+    rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "genome", F.col("length").cast("string"), F.col("sample").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    start = F.when(F.col("size") == F.col("length"), 1).otherwise(1 + h % F.greatest(F.lit(1), F.col("size") - F.col("length"))).cast("long")
+    return rows.select("genome", "length", "sample", start.alias("start")).withColumn("end", F.col("start") + F.col("length"))
+
+
 def deepest(candidates: DataFrame, reach: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, taxon, depth): the candidate taxon with most ancestors; unions don't count; ties go to the least name."""
     size = reach.groupBy(F.col("node").alias("taxon")).agg(F.count("*").alias("depth"))

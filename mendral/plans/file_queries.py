@@ -133,9 +133,9 @@ def report_json(v):
     return made.select("genome", F.get_json_object("value", "$.n").cast("long").alias("n"))
 
 
-@query("k15_resume", "SELECT genome, taxon FROM genomes WHERE genome NOT IN (SELECT genome FROM annotations WHERE protein < 'p2')", "genomes", "annotations")
+@query("k15_resume", "SELECT DISTINCT genome, protein FROM predictions EXCEPT SELECT genome, protein FROM annotations", "predictions", "annotations")
 def resume(v):
-    return scored.missing_only(v.genomes, v.annotations.where("protein < 'p2'"), ["genome"])
+    return scored.missing_only(v.predictions.select("genome", "protein").distinct(), v.annotations, ["genome", "protein"])
 
 
 @query("streaming_window_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", "genomes")

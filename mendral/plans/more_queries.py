@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from mendral.operators import annotate, coherence, genomics, hierarchy, metrics, repair_taxon, splits, transfer
+from mendral.operators import coherence, genomics, hierarchy, metrics, recovery, splits, transfer
 
 from .adapters import TAU
 from .queries import QUERIES, SUMMARY, _sweep, closed, ic_table, query, r6, taxon_closed
@@ -66,16 +66,37 @@ def evaluation(v):
     return metrics.evaluate(v.predictions, v.annotations, ic_table(v), ["genome"]).select("genome", r6("fmax"), "tmax", F.round("smin", 5).alias("smin"), r6("aupr"))
 
 
-@query("e12_taxon_recovery")
-def recovery(v):
-    """Terms of samples of each genome, taxa inferred from them, and whether they fit."""
-    parts = annotate.above(v.predictions, TAU).withColumn("sample", F.pmod(F.xxhash64("protein"), F.lit(4)).cast("string"))
-    sampled = parts.select(F.concat_ws("/", "genome", "sample").alias("genome"), "protein", "term", "score")
-    solved = repair_taxon.solve_taxa(annotate.flip_costs(sampled, TAU), v.edges, v.constraints, v.taxon_edges, v.disjoint)
-    taxa = solved.select(F.col("genome").alias("id"), F.explode("taxa").alias("taxon")).distinct()
-    best = genomics.deepest(taxa, taxon_closed(v), ["id"])
-    every = sampled.groupBy(F.col("genome").alias("id")).agg(F.count("*").alias("n_cds")).join(best, "id", "left").select("id", F.substring_index("id", "/", 1).alias("genome"), F.substring_index("id", "/", -1).alias("length"), "taxon", "n_cds")
-    return genomics.accuracy_by_length(genomics.recovery(every, v.genomes.select("genome", F.col("taxon").alias("truth")), taxon_closed(v)))
+#: Genes of the adapter: a protein's gene is 150 long, at a hundred times its number, and a genome ends with its last gene.
+GENES = "genes AS (SELECT DISTINCT genome, protein, substr(protein, 2)::BIGINT * 100 AS s, substr(protein, 2)::BIGINT * 100 + 150 AS e FROM predictions)"
+LENGTHS, SAMPLES = [1000, 5000, 20000], 4
+
+
+def genes(v):
+    at = F.substring("protein", 2, 20).cast("long") * 100
+    return v.predictions.select("genome", "protein").distinct().select("genome", "protein", at.alias("start"), (at + 150).alias("end"))
+
+
+CONTIGS = f"""{GENES}, sizes AS (SELECT genome, max(e) AS size FROM genes GROUP BY genome),
+contigs AS (SELECT *, s + length AS e, genome || '/' || length || '/' || sample AS id FROM (SELECT genome, length, sample, CASE WHEN size = length THEN 1 ELSE 1 + ('0x' || substr(md5('42:' || genome || ':' || length || ':' || sample), 1, 13))::BIGINT % (size - length) END AS s
+  FROM sizes, (VALUES (1000), (5000), (20000)) l(length), (SELECT unnest(range({SAMPLES})) AS sample) WHERE length <= size)),
+met AS (SELECT DISTINCT c.id, g.genome, g.protein FROM contigs c JOIN genes g ON g.genome = c.genome AND g.s <= c.e AND g.e >= c.s)"""
+
+
+@query(
+    "e12_taxon_recovery",
+    f"""WITH {CONTIGS}, u AS (SELECT id AS genome, term, greatest(1, floor(round(sum(score - {TAU}), 9) * 1000000)::BIGINT) AS c FROM met JOIN predictions p USING (genome, protein) WHERE score > {TAU} GROUP BY 1, 2),
+    cand AS (SELECT node AS s, ancestor AS taxon FROM taxon_closed UNION ALL SELECT '', NULL), each_ AS (SELECT s, count(taxon) AS length FROM cand GROUP BY s),
+    bad AS (SELECT each_.s, u.genome, u.term FROM u JOIN constraints k USING (term) CROSS JOIN each_ WHERE (k.kind = 'only_in_taxon') = NOT EXISTS (SELECT 1 FROM cand WHERE cand.s = each_.s AND cand.taxon = k.taxon)
+      UNION SELECT b.s, b.genome, e.child FROM bad b JOIN edges e ON e.parent = b.term JOIN u ON u.genome = b.genome AND u.term = e.child),
+    cost AS (SELECT each_.s, each_.length, u.genome, coalesce(sum(u.c) FILTER (b.term IS NOT NULL), 0) AS cost FROM u CROSS JOIN each_ LEFT JOIN bad b ON b.s = each_.s AND b.genome = u.genome AND b.term = u.term GROUP BY 1, 2, 3),
+    best AS (SELECT genome AS id, nullif(s, '') AS taxon FROM (SELECT *, row_number() OVER (PARTITION BY genome ORDER BY cost, length, s) AS r FROM cost) WHERE r = 1),
+    one AS (SELECT c.length, b.taxon, g.taxon AS truth, (SELECT count(*) FROM taxon_closed t WHERE t.node = g.taxon AND t.ancestor = b.taxon) AS over, (SELECT count(*) FROM met WHERE met.id = c.id) AS n FROM contigs c JOIN genomes g USING (genome) LEFT JOIN best b ON b.id = c.id)
+    SELECT length::BIGINT AS length, count(*) AS samples, round(count(taxon) / count(*), 6) AS valid, round(count(*) FILTER (taxon = truth) / nullif(count(taxon), 0), 6) AS matching, round(count(*) FILTER (taxon <> truth AND over > 0) / nullif(count(taxon), 0), 6) AS general, round(avg(n), 6) AS mean_cds FROM one GROUP BY length""",
+    "predictions", "edges", "taxon_closed", "constraints", "genomes",
+)
+def recovery_by_length(v):
+    rows = recovery.recover_taxa(v.predictions, TAU, genes(v), LENGTHS, SAMPLES, 42, v.edges, v.constraints, v.taxon_edges, v.disjoint, v.genomes.select("genome", F.col("taxon").alias("truth")), taxon_closed(v))
+    return genomics.accuracy_by_length(rows).select("length", "samples", r6("valid"), r6("matching"), r6("general"), r6("mean_cds"))
 
 
 @query("m1_label_network")
@@ -106,11 +127,13 @@ def threshold(v):
     return metrics.pooled_curve(s).agg(best.alias("b")).select((-F.col("b.m")).alias("t"), r6("b.f", "f"))
 
 
-@query("r1_sampled_contigs")
+@query("r1_sampled_contigs", f"WITH {CONTIGS} SELECT genome, length::BIGINT AS length, sample::INT AS sample, c.s AS start, count(m.protein) AS n FROM contigs c LEFT JOIN met m USING (id, genome) GROUP BY 1, 2, 3, 4", "predictions")
 def sampled(v):
-    rows = genomics.contigs(100_000, [1000, 5000, 200_000], 20, 42)
-    c = v.spark.createDataFrame(rows, "sample int, length int, start long, end long")
-    return genomics.overlaps(c, v.cds, 4000).groupBy("sample", "length").agg(F.count("*").alias("n"))
+    """Windows of every genome, whatever its length, and how many genes are on each."""
+    g = genes(v)
+    c = genomics.sampled_contigs(g.groupBy("genome").agg(F.max("end").alias("size")), LENGTHS, SAMPLES, 42)
+    n = genomics.overlaps(c, g, max(LENGTHS), keys=("genome",)).groupBy("genome", "length", "sample").agg(F.count("*").alias("n"))
+    return c.join(n, ["genome", "length", "sample"], "left").select("genome", "length", "sample", "start", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("w13_greedy_sample")

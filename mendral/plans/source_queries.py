@@ -120,12 +120,17 @@ def pathway_file(v):
     return tables.read_pathways(v.spark, in_order(v, line.unionByName(head), "pathways"), ec)
 
 
-@query("s37_corum_file", f"SELECT CASE p_partkey % 3 WHEN 0 THEN '9606' ELSE '9031' END AS taxon, {TID.format('p_partkey % 63')} AS term, 'P' || lpad(p_partkey::VARCHAR, 5, '0') AS subunits FROM part WHERE p_partkey % 3 <> 2 AND p_partkey < 100000", "genomes")
+# ten characters: A, digit, letter, three digits, letter, three digits
+ACCESSION = "'A' || substr(d, 1, 1) || chr((65 + p // 10000000 % 26)::INT) || substr(d, 2, 3) || chr((65 + p // 260000000 % 26)::INT) || substr(d, 5, 3)"
+
+
+@query("s37_corum_file", f"SELECT CASE p % 3 WHEN 0 THEN '9606' ELSE '9031' END AS taxon, {TID.format('p % 63')} AS term, {ACCESSION} AS subunits FROM (SELECT p_partkey AS p, lpad((p_partkey % 10000000)::VARCHAR, 7, '0') AS d FROM part) WHERE p % 3 <> 2", "genomes")
 def corum(v):
     kind = F.when(key() % 3 == 0, "Human").when(key() % 3 == 1, "Chicken").otherwise("Yeti")
-    accession = F.concat(F.lit("P"), F.lpad(key().cast("string"), 5, "0"))
-    # accession numbers have five digits
-    rows = v.table("part").where(key() < 100_000).select(kind.alias("Organism"), F.concat(accession, F.lit(";bad")).alias("subunits(UniProt IDs)"), term_id(key() % 63).alias("GO ID"))
+    d = F.lpad((key() % 10_000_000).cast("string"), 7, "0")
+    letter = lambda n: F.chr(65 + F.floor(key() / n) % 26)
+    accession = F.concat(F.lit("A"), F.substring(d, 1, 1), letter(10_000_000), F.substring(d, 2, 3), letter(260_000_000), F.substring(d, 5, 3))
+    rows = v.table("part").select(kind.alias("Organism"), F.concat(accession, F.lit(";bad")).alias("subunits(UniProt IDs)"), term_id(key() % 63).alias("GO ID"))
     return tables.read_corum(v.spark, as_csv(v, rows, "corum")).select("taxon", "term", F.array_join("subunits", ",").alias("subunits"))
 
 
