@@ -85,6 +85,15 @@ class Views:
         genome = F.concat(F.lit("g"), F.col("s_nationkey").cast("string"), F.lit("_"), F.expr("l_partkey div 20").cast("string"))
         return rows.groupBy(genome.alias("genome"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("protein"), term_id(F.col("l_orderkey") % TERMS).alias("term")).agg((F.max("l_quantity") / 50.0).alias("score"))
 
+    @cached_property
+    def sequences(self) -> DataFrame:
+        """A sequence for each part: four parts in a row begin alike and end differently."""
+        n = F.col("p_partkey")
+        text = lambda mark, x: F.md5(F.concat(F.lit(mark), x.cast("string")).cast("binary"))
+        family = F.expr("p_partkey div 4")
+        sequence = F.concat(text("f", family), text("g", family), F.substring(text("v", n), 1, 32).substr(F.lit(1), (n % 4 * 3).cast("int")))
+        return self.table("part").select(F.concat(F.lit("p"), n.cast("string")).alias("protein"), sequence.alias("sequence"))
+
     @cached_property
     def terms(self) -> DataFrame:
         n = F.col("p_partkey")
@@ -170,6 +179,7 @@ CTE = {
     "complex_reach": "SELECT child AS node, parent AS ancestor FROM complex_edges UNION SELECT complex_reach.node, complex_edges.parent FROM complex_reach JOIN complex_edges ON complex_reach.ancestor = complex_edges.child",
     "complex_list": "SELECT node AS term FROM (SELECT node FROM complex_reach WHERE ancestor = 'GO:0000005' UNION SELECT 'GO:0000005') WHERE node NOT IN (SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') FROM part WHERE p_partkey % 9 = 0 AND p_partkey < (SELECT m FROM complex_scale))",
     "small_genomes": "SELECT DISTINCT 'g' || s_nationkey || '_' || (l_partkey // 20) AS genome, 'p' || l_partkey AS protein, 'GO:' || lpad((l_orderkey % 63)::VARCHAR, 7, '0') AS term FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber % 3 = 0",
+    "sequences": "SELECT 'p' || p_partkey AS protein, md5('f' || p_partkey // 4) || md5('g' || p_partkey // 4) || substr(md5('v' || p_partkey), 1, (p_partkey % 4 * 3)::INT) AS sequence FROM part",
     "annotations": "SELECT DISTINCT 'g' || s_nationkey AS genome, 'p' || l_partkey AS protein, 'GO:' || lpad((l_orderkey % 63)::VARCHAR, 7, '0') AS term FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber % 3 = 0",
     "terms": "SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') AS id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'mf' WHEN 1 THEN 'bp' ELSE 'cc' END AS namespace, p_partkey % 20 = 19 AS is_obsolete FROM part WHERE p_partkey < 63",
     "go_edges": "SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') AS child, 'GO:' || lpad(((p_partkey - 1) // 2)::VARCHAR, 7, '0') AS parent, 'is_a' AS rel FROM part WHERE p_partkey BETWEEN 1 AND 62 UNION ALL SELECT 'GO:' || lpad(p_partkey::VARCHAR, 7, '0'), 'GO:' || lpad(((p_partkey - 1) // 3)::VARCHAR, 7, '0'), 'part_of' FROM part WHERE p_partkey BETWEEN 1 AND 62 AND p_partkey % 4 = 0",

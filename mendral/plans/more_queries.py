@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from mendral.operators import coherence, genomics, hierarchy, metrics, recovery, splits, transfer
+from mendral.operators import clusters, coherence, genomics, hierarchy, metrics, recovery, splits, transfer
 
 from .adapters import TAU
 from .queries import QUERIES, SUMMARY, _sweep, closed, ic_table, query, r6, taxon_closed
@@ -149,3 +149,19 @@ SELECT genome, count(*) AS required, count(*) FILTER (missing) AS missing FROM w
 def closed_process(v):
     a = hierarchy.propagate_annotations(v.small_genomes, closed(v))
     return coherence.process_coherence(a, v.has_part).where("required > 0").select("genome", "required", "missing")
+
+
+# links between all sequences that share a k-mer, by brute force, and what these reach
+@query("m8_sequence_clusters", """WITH m AS (SELECT protein, sequence, list_distinct(list_transform(range(1, greatest(2, length(sequence) - 3)), lambda i: substr(sequence, i, 5))) AS k FROM sequences), e AS (SELECT protein, unnest(k) AS kmer, len(k) AS n FROM m),
+meet AS (SELECT x.protein AS a, y.protein AS b, count(*) AS c, any_value(x.n) AS na, any_value(y.n) AS nb FROM e x JOIN e y ON x.kmer = y.kmer AND x.protein <> y.protein GROUP BY 1, 2), l AS (SELECT a, b FROM meet WHERE c >= 0.5 * (na + nb - c)),
+r AS (SELECT protein AS a, protein AS b FROM sequences UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+g AS (SELECT r.a AS member, first(r.b ORDER BY length(s.sequence) DESC, r.b) AS rep FROM r JOIN sequences s ON s.protein = r.b GROUP BY 1) SELECT rep, member FROM g""", "sequences")
+def sequence_clusters(v):
+    return clusters.sequence_clusters(v.sequences)
+
+
+@query("m8_cluster_split", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey % 4 DESC) AS r FROM part), c AS (SELECT first('p' || p_partkey ORDER BY r) AS rep, count(*) AS n FROM s GROUP BY p_partkey // 4),
+o AS (SELECT rep, n, coalesce(sum(n) OVER (ORDER BY n DESC, md5(rep || '42') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT rep, n, CASE WHEN before < 40 THEN 'valid' ELSE 'train' END AS part FROM o""", "sequences")
+def clusters_to_parts(v):
+    """Clusters found in the sequences, dealt to parts so that relatives stay together."""
+    return splits.cluster_split(clusters.sequence_clusters(v.sequences), 40)
