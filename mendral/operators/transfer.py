@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendral.plans.storage import materialize
+
 
 def best_hits(hits: DataFrame) -> DataFrame:
     """(query, subject, bitscore, evalue): the hit of greatest bitscore, then least e-value, of each pair."""
@@ -47,43 +50,94 @@ def fit_length(vector: str, n: int):
     return F.slice(F.concat(F.col(vector), F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)
 
 
-def nearest_by_cosine(queries: DataFrame, base: DataFrame, k: int, block: int = 4096) -> DataFrame:
+#: Angles this near to a bound are searched: what rounds to one cosine of nine places differs by less.
+SLACK = 1e-4
+FOUND = "query long, neighbour long, cosine double"
+
+
+def _units(pdf: pd.DataFrame) -> np.ndarray:
+    """Unit vectors; those of length 0 stay."""
+    x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centres.T, -1, 1))
+
+
+def nearest_by_cosine(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(query, neighbour, cosine, rank): the ``k`` nearest vectors, exact.
 
-    Queries go to the tasks in blocks of bounded size; each task scores its part of
-    the base against a block by one matrix product and keeps k per query; the parts
-    are merged by rank. ``queries`` and ``base`` are (id, vector).
+    As many vectors as the square root of the base, the least by a hash, are centres
+    (a bounded sample on the driver: 31,623 of a thousand million); a vector's cell is its nearest
+    centre. A query first searches the cells nearest to it until they hold k others. That
+    gives an upper bound of the angle to its k-th neighbour, and by the triangle
+    inequality only cells whose centre is nearer than the bound and the cell's radius
+    together can hold a nearer one: these are searched as well. Vectors of length 0 have
+    cosine 0 with all others, and a cell of their own that is always searched. ``queries`` and ``base``
+    are (id, vector); ties in nine places go to the lesser id.
     """
-    import math
-
-    n = queries.count()
-    out = None
-    ordered = queries.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / block)))))
-    for b in range(max(1, math.ceil(n / block))):
-        part = ordered.where(F.col("__b") == b).select("id", "vector").toPandas()  # one block
-        if part.empty:
-            continue
-        ids, q = part["id"].to_numpy(), np.stack(part["vector"].to_numpy()).astype(np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-
-        def score(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = q @ x.T
-                s[ids[:, None] == pdf["id"].to_numpy()[None, :]] = -2
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "neighbour": pdf["id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
-
-        found = base.select("id", "vector").mapInPandas(score, "query long, neighbour long, cosine double").where("cosine > -2")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query long, neighbour long, cosine double, rank int")
-    from pyspark.sql import Window
-
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "neighbour"))).where(F.col("rank") <= k)
+    n = base.count()
+    if not n:
+        return queries.sparkSession.createDataFrame([], FOUND + ", rank int")
+    sample = base.select("id", "vector").where(F.size("vector") > 0).orderBy(F.xxhash64("id"), "id").limit(math.isqrt(n - 1) + 1).toPandas()
+    centres = _units(sample)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = _units(pdf)
+                angle = _angles(x, centres)
+                cell = np.where(np.abs(x).sum(axis=1) > 0, angle.argmin(axis=1), -1)
+                yield pd.DataFrame({"id": pdf["id"], "u": list(x), "cell": cell, "far": angle.min(axis=1)})
+
+    dealt = materialize(base.select("id", "vector").mapInPandas(cells, "id long, u array<double>, cell long, far double"), "vector-cells")
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).toPandas()  # a row for each centre
+    count, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    own = sizes[sizes["cell"] >= 0]
+    count[own["cell"]], radius[own["cell"]] = own["n"], own["far"]
+    blank = bool((sizes["cell"] < 0).any())
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _units(pdf)
+            order = np.argsort(_angles(x, centres), axis=1, kind="stable")
+            before = np.cumsum(count[order], axis=1) - count[order]
+            at, rank = np.nonzero((before <= k) & (count[order] > 0))  # the query itself may be one of them
+            if len(at):
+                yield pd.DataFrame({"query": pdf["id"].to_numpy()[at], "q": [x[i] for i in at], "cell": order[at, rank]})
+            if blank:
+                yield pd.DataFrame({"query": pdf["id"], "q": list(x), "cell": -1})
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _units(pdf)
+            angle = _angles(x, centres)
+            order = np.argsort(angle, axis=1, kind="stable")
+            before = np.empty_like(order)
+            np.put_along_axis(before, order, np.cumsum(count[order], axis=1) - count[order], axis=1)
+            least = np.where(np.abs(x).sum(axis=1, keepdims=True) > 0, angle - radius, 0)
+            at, cell = np.nonzero((before > k) & (count > 0) & (least <= pdf["bound"].to_numpy()[:, None] + SLACK))
+            if len(at):
+                yield pd.DataFrame({"query": pdf["id"].to_numpy()[at], "q": [x[i] for i in at], "cell": cell})
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        cosine = F.aggregate(F.zip_with("q", "u", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+        return pairs.join(dealt.select("id", "u", "cell"), "cell").where(F.col("query") != F.col("id")).select("query", F.col("id").alias("neighbour"), cosine.alias("cosine"))
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "neighbour")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    searched = "query long, q array<double>, cell long"
+    near = materialize(best(compared(queries.select("id", "vector").mapInPandas(first, searched))), "nearest-cells")
+    bound = near.groupBy("query").agg(F.min("cosine").alias("c"), F.count("*").alias("n")).select(F.col("query").alias("id"), F.when(F.col("n") < k, math.pi).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "c")))).alias("bound"))
+    asked = queries.select("id", "vector").join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(math.pi)))
+    return best(near.drop("rank").unionByName(compared(asked.mapInPandas(rest, searched))))
 
 
 def zero_shot(x: DataFrame, go: np.ndarray, rel: np.ndarray, rad: np.ndarray, weight: np.ndarray, bias: np.ndarray, terms: list[str]) -> DataFrame:
