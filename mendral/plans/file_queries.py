@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendral.sources import ontology, records, scored, tables
+from mendral.sources import ontology, records, resume, scored, tables
 
 from .adapters import Views, term_id
 from .queries import QUERIES, hits, query, r6
@@ -134,10 +134,28 @@ def report_json(v):
 
 
 @query("k15_resume", "SELECT DISTINCT genome, protein FROM predictions EXCEPT SELECT genome, protein FROM annotations", "predictions", "annotations")
-def resume(v):
+def missing(v):
     return scored.missing_only(v.predictions.select("genome", "protein").distinct(), v.annotations, ["genome", "protein"])
 
 
+@query("k16_resumed_output", "SELECT genome, protein, term, round(score, 6) AS score, row_number() OVER (ORDER BY genome, protein, term) - 1 AS \"index\" FROM predictions", "predictions")
+def resumed_output(v):
+    """Output that a first run leaves after one batch, and a second one completes."""
+    rows = resume.indexed(v.predictions, ["genome", "protein", "term"])
+    path, n = scratch_path(v.spark, "slices"), rows.count()
+    size = n // 10 + 1
+    resume.write_slices(rows, path, size, batch=4, most=1)
+    resume.write_slices(rows, path, size, batch=8)
+    return resume.read_slices(v.spark, path, "genome string, protein string, term string, score double, index long").withColumn("score", F.round("score", 6))
+
+
+@query("p6_index_slice", "SELECT genome, protein, term FROM (SELECT *, row_number() OVER (ORDER BY genome, protein, term) - 1 AS i, count(*) OVER () AS n FROM predictions) WHERE i >= n // 3 AND i < n // 2", "predictions")
+def slice_of(v):
+    rows = resume.indexed(v.predictions, ["genome", "protein", "term"])
+    n = rows.count()
+    return resume.index_slice(rows, n // 3, n // 2).select("genome", "protein", "term")
+
+
 @query("streaming_window_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", "genomes")
 def window_counts(v):
     """The tumbling windows of the streaming extension, on the stored events."""
