@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hierarchy import small
+from .running import running_sums
 
 POINTS = 101
 
@@ -116,8 +117,7 @@ def term_auc(predictions: DataFrame, labels: DataFrame, keys: list[str]) -> Data
     pos = lab.groupBy(*keys, "term").agg(F.count("*").alias("n_pos"))
     scored = predictions.select(*entity, "term", F.col("score").cast("float").alias("score")).where("score > 0").join(proteins, entity, "left_semi").join(lab.withColumn("hit", F.lit(1)), [*entity, "term"], "left")
     ties = scored.groupBy(*keys, "term", "score").agg(F.count("*").alias("k"), F.count("hit").alias("h"))
-    w = Window.partitionBy(*keys, "term").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("before", F.coalesce(F.sum("k").over(w), F.lit(0)))
+    ranked = running_sums(ties, [*keys, "term"], [F.asc("score")], {"before": "k"})
     per = ranked.groupBy(*keys, "term").agg(F.sum("k").alias("scored"), F.sum("h").alias("hits"), F.sum(F.col("h") * (F.col("before") + (F.col("k") + 1) / 2)).alias("ranks"))
     joined = pos.join(per, [*keys, "term"], "left").join(total, keys) if keys else pos.join(per, ["term"], "left").join(F.broadcast(total), F.lit(True))
     absent = F.col("n") - F.coalesce("scored", F.lit(0))
@@ -155,18 +155,9 @@ def pooled_curve(scored: DataFrame) -> DataFrame:
 
 
 def _tie_groups(scored: DataFrame, rising: bool) -> DataFrame:
-    """Distinct scores with k rows and h hits, and what comes before each (bk, bh).
-
-    Totals run over a thousand ranges of scores first and then inside each range,
-    so no task holds all distinct scores.
-    """
-    ties = scored.groupBy("score").agg(F.count("*").alias("k"), F.sum("label").alias("h")).withColumn("range", F.floor(F.col("score") * 1000).cast("int"))
-    sums = ties.groupBy("range").agg(F.sum("k").alias("sk"), F.sum("h").alias("sh"))
-    order = (lambda c: F.asc(c)) if rising else (lambda c: F.desc(c))
-    over = Window.partitionBy(F.lit(0)).orderBy(order("range")).rowsBetween(Window.unboundedPreceding, -1)
-    start = sums.select("range", F.coalesce(F.sum("sk").over(over), F.lit(0)).alias("rk"), F.coalesce(F.sum("sh").over(over), F.lit(0)).alias("rh"))
-    inside = Window.partitionBy("range").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return ties.join(F.broadcast(start), "range").select("score", "k", "h", (F.col("rk") + F.coalesce(F.sum("k").over(inside), F.lit(0))).alias("bk"), (F.col("rh") + F.coalesce(F.sum("h").over(inside), F.lit(0))).alias("bh"))
+    """Distinct scores with k rows and h hits, and what comes before each (bk, bh)."""
+    ties = scored.groupBy("score").agg(F.count("*").alias("k"), F.sum("label").alias("h"))
+    return running_sums(ties, [], [F.asc("score") if rising else F.desc("score")], {"bk": "k", "bh": "h"})
 
 
 def pooled_auc(scored: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 RESAMPLES = 10_000
 
 
@@ -32,12 +34,11 @@ def deltas(pairs: DataFrame) -> DataFrame:
 def signed_ranks(pairs: DataFrame) -> DataFrame:
     """Per metric: n of non-zero differences, rank sums of either sign and the tie correction.
 
-    Equal differences are counted first, so the window runs over distinct ones.
+    Equal differences are counted first, and distinct ones are ranked in ranges.
     """
     d = pairs.select("metric", F.round(F.col("after") - F.col("before"), 12).alias("d")).where("d <> 0")
     ties = d.groupBy("metric", F.abs("d").alias("a")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
-    w = Window.partitionBy("metric").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    r = ties.withColumn("rank", F.coalesce(F.sum("k").over(w), F.lit(0)) + (F.col("k") + 1) / 2)
+    r = running_sums(ties, ["metric"], [F.asc("a")], {"before": "k"}).withColumn("rank", F.col("before") + (F.col("k") + 1) / 2)
     k = F.col("k").cast("double")
     return r.groupBy("metric").agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum(k * k * k - k).alias("ties"))
 
