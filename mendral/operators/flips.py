@@ -99,13 +99,25 @@ def flip_precision(changed: DataFrame, labels: DataFrame) -> DataFrame:
     return d.groupBy("term").agg(F.count_if(F.col("hit").isNull()).alias("fp_removed"), F.count("hit").alias("tp_lost")).withColumn("precision", F.try_divide(F.col("fp_removed"), F.col("fp_removed") + F.col("tp_lost")))
 
 
-def coverage(changed: DataFrame, index: DataFrame, examples: int = 25) -> DataFrame:
+def against_members(changed: DataFrame, index: DataFrame) -> DataFrame:
+    """(genome, protein, term, kind, covered, member): each change, and whether curated members of its term are known and hold its protein."""
+    c = changed.where("demoted OR promoted").join(small(index.select("genome", "term", "subunits")), ["genome", "term"], "left")
+    return c.select("genome", "protein", "term", F.when(F.col("promoted"), "promotion").otherwise("demotion").alias("kind"), F.col("subunits").isNotNull().alias("covered"), F.coalesce(F.array_contains("subunits", F.col("protein")), F.lit(False)).alias("member"))
+
+
+def coverage_examples(changed: DataFrame, index: DataFrame, most: int = 25) -> DataFrame:
+    """The first covered changes of each kind in order of genome, term and protein: a report, ``most`` of a kind."""
+    c = against_members(changed, index).where("covered").drop("covered")
+    first = lambda kind: c.where(F.col("kind") == kind).orderBy("genome", "term", "protein").limit(most)
+    return first("demotion").unionByName(first("promotion"))
+
+
+def coverage(changed: DataFrame, index: DataFrame) -> DataFrame:
     """Promotions and demotions against curated members (taxon of genome, term, subunits).
 
-    Shares are null when nothing is covered; examples are the first in order.
+    Shares are null when nothing is covered.
     """
-    c = changed.where("demoted OR promoted").join(small(index.select("genome", "term", "subunits")), ["genome", "term"], "left")
-    c = c.select("genome", "protein", "term", F.when(F.col("promoted"), "promotion").otherwise("demotion").alias("kind"), F.col("subunits").isNotNull().alias("covered"), F.coalesce(F.array_contains("subunits", F.col("protein")), F.lit(False)).alias("member"))
+    c = against_members(changed, index)
     good = F.when(F.col("kind") == "promotion", F.col("member")).otherwise(~F.col("member"))
     out = c.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("covered")).alias("covered"), F.count_if(F.col("covered") & good).alias("good"))
     pct = lambda a, b: F.round(F.try_divide(100.0 * F.col(a), F.col(b)), 2)

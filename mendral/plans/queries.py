@@ -572,6 +572,13 @@ def coverage(v):
     return c.withColumns({x: F.round(x, 2) for x in ("covered_pct", "good_pct")})
 
 
+@query("a37_coverage_examples", repaired_sql(f"""SELECT p.genome, p.protein, p.term, 'demotion' AS kind, list_contains(i.s, p.protein) AS member FROM predictions p LEFT JOIN post q USING (genome, protein, term) JOIN (SELECT genome, term, list(DISTINCT protein) AS s FROM annotations GROUP BY 1, 2) i ON i.genome = p.genome AND i.term = p.term
+WHERE p.score > {TAU} AND q.term IS NULL ORDER BY p.genome, p.term, p.protein LIMIT 25"""), "predictions", "annotations", *DIMS)
+def examples(v):
+    index = v.annotations.groupBy("genome", "term").agg(F.collect_set("protein").alias("subunits"))
+    return flips.coverage_examples(flips.changes(v.predictions, repaired(v), TAU), index)
+
+
 PAIRS = f"SELECT 'above' AS metric, genome, avg(score) AS before, avg(score) FILTER (score > 0.3) AS after FROM predictions GROUP BY genome UNION ALL SELECT 'count', genome, (count(*) % 97)::DOUBLE, (count(DISTINCT protein) % 97)::DOUBLE FROM predictions GROUP BY genome"
 
 

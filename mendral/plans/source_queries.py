@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from mendral.functions import scalars as fn
 from mendral.operators import flips
-from mendral.sources import ontology, records, scored, tables
+from mendral.sources import lookup, ontology, records, scored, tables, vectors
 
 from .adapters import TAU, Views, term_id
 from .file_queries import put
-from .queries import QUERIES, query
+from .queries import ANN, QUERIES, REASONS, SAT, query, satisfiable
 from .storage import scratch_path
 
 __all__ = ["QUERIES"]
@@ -290,3 +290,46 @@ def text_functions(v):
         place["start"].alias("low"), place["end"].alias("high"), place["complement"].alias("complement"), F.size(fn.listed(F.concat(s, F.lit("| b||")))).alias("n_listed"), fn.signature(F.lit("g"), s).alias("signature"),
         F.size(hot).alias("n_rows"), F.aggregate(F.flatten(hot), F.lit(0.0), lambda a, x: a + x).cast("int").alias("ones"),
     )
+
+
+@query("k9_satisfiability_table", REASONS + f" SELECT genome, genome NOT IN (SELECT genome FROM reasons) AS satisfiable FROM (SELECT DISTINCT genome FROM ({ANN}))", *SAT)
+def satisfiability_table(v):
+    """Whether each genome's annotations can hold together, written as a report and read again."""
+    path = scratch_path(v.spark, "satisfiability")
+    tables.write_table(satisfiable(v), path)
+    return v.spark.read.csv(path, sep="\t", header=True).select("genome", F.col("satisfiable").cast("boolean").alias("satisfiable"))
+
+
+@query("s34_vector_features", "SELECT 'p' || p.p_partkey AS protein, e.vec_id IS NULL AS missing, round(coalesce(list_sum(list_transform(e.embedding[1:40], lambda x: x::DOUBLE)), 0), 5) AS total, 70 AS size FROM part p LEFT JOIN embeddings e ON e.vec_id = p.p_partkey", "genomes")
+def vector_features(v):
+    """Vectors of proteins named by sequence headers, in seventy places, zeros for those without one."""
+    path = scratch_path(v.spark, "vectors")
+    name = F.concat(F.lit("sp|A|p"), F.col("vec_id").cast("string"), F.lit(" some words OS=x"))
+    v.table("embeddings").select(name.alias("protein"), F.slice("embedding", 1, 40).alias("vector")).write.parquet(path)
+    f = vectors.features(v.table("part").select(F.concat(F.lit("p"), key().cast("string")).alias("protein")), vectors.read_vectors(v.spark, path), 70)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return f.select("protein", "missing", F.round(total, 5).alias("total"), F.size("vector").alias("size"))
+
+
+@query("j16_multi_hot", "SELECT 'p' || p_partkey AS protein, array_to_string(list_transform(range(63), lambda i: CASE WHEN list_contains(a.t, 'GO:' || lpad(i::VARCHAR, 7, '0')) THEN 1 ELSE 0 END), '') AS labels FROM part LEFT JOIN (SELECT protein, list(DISTINCT term) AS t FROM annotations GROUP BY 1) a ON a.protein = 'p' || p_partkey", "annotations")
+def multi_hot(v):
+    proteins = v.table("part").select(F.concat(F.lit("p"), key().cast("string")).alias("protein"))
+    hot = vectors.multi_hot(proteins, v.annotations, [f"GO:{i:07d}" for i in range(63)])
+    return hot.select("protein", F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("labels"))
+
+
+@query("j19_matching_files", """WITH f AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'a/annots_taxon_' || s_suppkey || '.tsv' WHEN 1 THEN 'b/' || s_suppkey || '.goa' WHEN 2 THEN 'b/' || s_suppkey || '.tsv' ELSE 'a/other_' || s_suppkey || '.tsv' END AS file, s_suppkey AS k FROM supplier UNION ALL SELECT 'c/annots_' || s_suppkey || '.tsv', s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'a/annots_taxon_' || s_suppkey || '.tsv' WHEN s_suppkey % 3 = 0 THEN 'c/annots_' || s_suppkey || '.tsv' WHEN s_suppkey % 4 = 3 THEN NULL ELSE (SELECT min(file) FROM f WHERE k = s_suppkey) END AS file FROM supplier""", "genomes")
+def matching(v):
+    n = F.col("s_suppkey").cast("string")
+    at = lambda before, after: F.concat(F.lit(before), n, F.lit(after))
+    s, r = v.table("supplier"), F.col("s_suppkey") % 4
+    files = s.select(F.when(r == 0, at("a/annots_taxon_", ".tsv")).when(r == 1, at("b/", ".goa")).when(r == 2, at("b/", ".tsv")).otherwise(at("a/other_", ".tsv")).alias("file"))
+    return lookup.matching_files(s.select(n.alias("id")), files.unionByName(s.where("s_suppkey % 3 = 0").select(at("c/annots_", ".tsv").alias("file"))))
+
+
+@query("s4_first_match", "SELECT genome, protein, term, 'annotations' AS source FROM annotations UNION ALL SELECT genome, protein, term, 'predictions' FROM predictions p WHERE NOT EXISTS (SELECT 1 FROM annotations a WHERE a.genome = p.genome AND a.protein = p.protein)", "predictions", "annotations")
+def first_source(v):
+    """A protein's terms from its annotations, from predictions only where it has none."""
+    mark = lambda rows, name: rows.select("genome", "protein", "term", F.lit(name).alias("source"))
+    return lookup.first_match([mark(v.annotations, "annotations"), mark(v.predictions, "predictions")], ["genome", "protein"])
