@@ -178,7 +178,8 @@ class Component:
         add = self.price(more & ~yes & ~self.has) + self.price(less & ~no & self.has)
         return yes | more, no | less, add
 
-    def solve(self, seconds: float | None = None) -> Found:
+    def solve(self, seconds: float | None = None, states: int | None = None) -> Found:
+        """The cheapest assignment; the best so far, where a limit of time or of states (none by default) ends the search."""
         end = None if seconds is None else time.monotonic() + seconds
         best = (self.price(self.has), 0, (1 << self.n) - 1)  # without any pair nothing is violated
         heap: list[tuple] = [(0, 0, 0, 0, 0, {})]
@@ -188,7 +189,7 @@ class Component:
             bound = min(low, best[0])
             if low >= best[0]:
                 break
-            if end is not None and time.monotonic() > end:
+            if (end is not None and time.monotonic() > end) or (states is not None and looked >= states):
                 break
             seen = self.violated(yes, no)
             if seen is None:
