@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendral.plans.storage import materialize
+
 from .running import running_sums
 
 RESAMPLES = 10_000
@@ -68,17 +70,58 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     return signed_ranks(pairs).mapInPandas(test, "metric string, n long, w double, p double")
 
 
-def bootstrap_mean(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """Per metric: 95 % interval of the mean difference; differences are taken in order of genome."""
+#: Raw numbers of the generator, two draws each, that one row of the work list stands for.
+SEGMENT = 1 << 18
+
+
+def draws(seed: int, start: int, raw: int, n: int) -> np.ndarray:
+    """What ``default_rng(seed).integers(0, n, ...)`` makes of raw numbers ``start`` to ``start + raw``, for n from 2 to 2**32 - 1.
+
+    The generator jumps to ``start``. Each raw number is two of 32 bits, low one first; their
+    product with n has the draw in its upper half and is thrown away where its
+    lower half is under 2**32 modulo n, as numpy does.
+    """
+    bits = np.random.PCG64(seed).advance(start).random_raw(raw)
+    product = np.stack([bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32)], axis=1).ravel() * np.uint64(n)
+    return (product >> np.uint64(32))[(product & np.uint64(0xFFFFFFFF)) >= np.uint64(2**32 % n)].astype(np.int64)
+
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf.sort_values("genome")["after"] - pdf.sort_values("genome")["before"]).to_numpy()
-        rng = np.random.default_rng(seed)
-        # the same draws as all at once, a bounded number of them at a time
-        block = max(1, (1 << 20) // max(1, len(d)))
-        means = np.concatenate([d[rng.integers(0, len(d), (min(block, resamples - i), len(d)))].mean(axis=1) for i in range(0, resamples, block)])
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "low": [lo], "high": [hi]})
+def bootstrap_mean(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0, segment: int = SEGMENT) -> DataFrame:
+    """Per metric: 95 % interval of the mean difference; differences are taken in order of genome.
 
-    # a group is one value for each genome
-    return pairs.groupBy("metric").applyInPandas(draw, "metric string, low double, high double")
+    The draws are those of one numpy generator, made apart: segments of its raw
+    numbers are counted for the draws they give, so each knows the place of its first one, and
+    adds up its share of every resample it reaches. A segment holds the metric's differences, one
+    for each genome.
+    """
+    rows = pairs.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct("genome", (F.col("after") - F.col("before")).alias("d")))).alias("s"))
+    known = materialize(rows.select("metric", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["d"]).alias("d")), "differences")
+    many = known.where("n > 1")
+    need = F.lit(resamples) * F.col("n")
+
+    def count(batches):
+        for b in batches:
+            yield pd.DataFrame({"metric": b["metric"], "n": b["n"], "k": b["k"], "got": [len(draws(seed, k * segment, segment, n)) for k, n in zip(b["k"], b["n"], strict=True)]})
+
+    def add(batches):
+        for b in batches:
+            for metric, n, k, before, d in zip(b["metric"], b["n"], b["k"], b["before"], b["d"], strict=True):
+                v = np.asarray(d)[draws(seed, k * segment, segment, n)[: max(0, resamples * n - before)]]
+                first = before // n
+                sums = np.bincount((before + np.arange(len(v))) // n - first, weights=v)
+                yield pd.DataFrame({"metric": metric, "r": first + np.arange(len(sums)), "x": sums})
+
+    extra = 1
+    while True:  # hardly ever more than once: few draws are thrown away
+        last = F.ceil(need / (2 * segment)).cast("long") + extra
+        work = many.select("metric", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+        counted = materialize(work.repartition("metric", "k").mapInPandas(count, "metric string, n long, k long, got long"), "draws")
+        if not counted.groupBy("metric", "n").agg(F.sum("got").alias("got")).where(F.col("got") < need).limit(1).count():
+            break
+        extra *= 2
+    before = F.coalesce(F.sum("got").over(Window.partitionBy("metric").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each segment
+    placed = counted.select("metric", "n", "k", before.alias("before")).where(F.col("before") < need)
+    sums = placed.join(many.select("metric", "d"), "metric").repartition("metric", "k").mapInPandas(add, "metric string, r long, x double")
+    means = sums.groupBy("metric", "r").agg(F.sum("x").alias("x")).join(many.select("metric", "n"), "metric").select("metric", (F.col("x") / F.col("n")).alias("m"))
+    ends = means.groupBy("metric").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return ends.unionByName(known.where("n = 1").select("metric", F.col("d")[0].alias("low"), F.col("d")[0].alias("high")))
