@@ -156,7 +156,7 @@ def zero_shot(x: DataFrame, go: np.ndarray, rel: np.ndarray, rad: np.ndarray, we
 
 
 class MultiLabelNet:
-    """A residual perceptron on vectors with one sigmoid per term, trained by Adam on a bounded sample."""
+    """A residual perceptron on vectors with one sigmoid per term, trained by Adam: on arrays (``fit``), or on the rows of a table (``fit_rows``)."""
 
     def __init__(self, inputs: int, hidden: int, terms: list[str], seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -179,14 +179,7 @@ class MultiLabelNet:
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 a, b = x[order[i : i + batch]], y[order[i : i + batch]]
-                h, r, q = self.forward(a)
-                d = (q - b) / len(a)
-                g = {"W3": r.T @ d, "b3": d.sum(0)}
-                dr = d @ self.p["W3"].T
-                du = dr * ((r - h) > 0)
-                g |= {"W2": h.T @ du, "b2": du.sum(0)}
-                dh = (dr + du @ self.p["W2"].T) * (h > 0)
-                g |= {"W1": a.T @ dh, "b1": dh.sum(0)}
+                g = self.gradients(a, b, len(a))
                 t += 1
                 for k, v in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * v
@@ -194,6 +187,61 @@ class MultiLabelNet:
                     self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
+    def gradients(self, x: np.ndarray, y: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        """Derivatives of the cross entropy over these rows, divided by ``n``: what rows of one batch give adds up."""
+        h, r, q = self.forward(x)
+        d = (q - y) / n
+        g = {"W3": r.T @ d, "b3": d.sum(0)}
+        dr = d @ self.p["W3"].T
+        du = dr * ((r - h) > 0)
+        g |= {"W2": h.T @ du, "b2": du.sum(0)}
+        dh = (dr + du @ self.p["W2"].T) * (h > 0)
+        return g | {"W1": x.T @ dh, "b1": dh.sum(0)}
+
+    def fit_rows(self, rows: DataFrame, epochs: int = 10, rate: float = 3e-3, block: int = 4096) -> MultiLabelNet:
+        """Train on all (vector, positions) rows, a step of Adam for each pass over them.
+
+        ``positions`` are the places of a row's terms (``vectors.sparse_labels``); dense labels exist
+        for one Arrow batch at a time. Each task adds up the derivatives of its rows and gives
+        them in blocks, Spark adds up each block over tasks, and the driver gets as many
+        numbers as the network has. A lost task is a task computed again.
+        """
+        names = sorted(self.p)
+        stored = materialize(rows.select("vector", "positions"), "training-rows")
+        n = stored.count()
+        if not n:
+            return self
+        m, s = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}
+
+        def add(batches: Iterator[pd.DataFrame], net=self) -> Iterator[pd.DataFrame]:
+            total = None
+            for pdf in batches:
+                if len(pdf):
+                    y = np.zeros((len(pdf), len(net.terms)))
+                    for i, at in enumerate(pdf["positions"]):
+                        if at is not None:
+                            y[i, np.asarray(at, np.int64)] = 1
+                    g = net.gradients(np.stack(pdf["vector"].to_numpy()).astype(np.float64), y, n)
+                    flat = np.concatenate([g[k].ravel() for k in names])
+                    total = flat if total is None else total + flat
+            if total is not None:
+                for i in range(0, len(total), block):
+                    yield pd.DataFrame({"block": [i // block], "g": [total[i : i + block]]})
+
+        def summed(pdf: pd.DataFrame) -> pd.DataFrame:  # a row for each task
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]})
+
+        for t in range(1, epochs + 1):
+            parts = stored.mapInPandas(add, "block int, g array<double>").groupBy("block").applyInPandas(summed, "block int, g array<double>").toPandas()
+            flat, at = np.concatenate(list(parts.sort_values("block")["g"])), 0
+            for k in names:
+                v = flat[at : at + self.p[k].size].reshape(self.p[k].shape)
+                at += self.p[k].size
+                m[k] = 0.9 * m[k] + 0.1 * v
+                s[k] = 0.999 * s[k] + 0.001 * v * v
+                self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+        return self
+
     def predict(self, x: DataFrame) -> DataFrame:
         """(id, term, score) of rows (id, vector)."""
         net = self

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mendral.operators import clusters, coherence, genomics, hierarchy, metrics, recovery, splits, transfer
+from mendral.sources import vectors
 
 from .adapters import TAU
 from .queries import QUERIES, SUMMARY, _sweep, closed, ic_table, query, r6, taxon_closed
@@ -111,6 +112,19 @@ def network(v):
     return net.predict(e).groupBy("id").agg(F.max_by("term", "score").alias("term"), r6(F.max("score"), "score"))
 
 
+@query("m11_network_on_all_rows")
+def network_on_all(v):
+    """The same kind of network trained on every vector, derivatives summed over tasks."""
+    e = v.table("embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("term"))
+    terms = v.table("embeddings").where("label IS NOT NULL").groupBy(F.col("label").cast("string").alias("term")).agg(F.count("*").alias("n")).toPandas()  # a row for each label
+    names = sorted(terms["term"])
+    places = v.spark.createDataFrame([(t, i) for i, t in enumerate(names)], "term string, position int")
+    labels = vectors.sparse_labels(e.select(F.col("id").alias("protein"), "term"), places)
+    width = v.table("embeddings").agg(F.max(F.size("embedding")).alias("d")).first()["d"]
+    net = transfer.MultiLabelNet(width, 32, names).fit_rows(e.select("vector", F.col("id").alias("protein")).join(labels, "protein"), epochs=20, rate=2e-2)
+    return net.predict(e.select("id", "vector")).groupBy("id").agg(F.max_by("term", "score").alias("term"), r6(F.max("score"), "score"))
+
+
 @query("m3_zero_shot_scores")
 def zero_shot(v):
     e = v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
