@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from mendral.operators import clusters, coherence, genomics, hierarchy, metrics, recovery, splits, transfer
+from mendral.operators import clusters, coherence, genomics, hierarchy, metrics, recovery, report, splits, transfer
 from mendral.sources import vectors
 
-from .adapters import TAU
+from .adapters import TAU, term_id
 from .queries import QUERIES, SUMMARY, _sweep, closed, ic_table, query, r6, taxon_closed
 
 __all__ = ["QUERIES"]
@@ -179,3 +179,67 @@ o AS (SELECT rep, n, coalesce(sum(n) OVER (ORDER BY n DESC, md5(rep || '42') ROW
 def clusters_to_parts(v):
     """Clusters found in the sequences, dealt to parts so that relatives stay together."""
     return splits.cluster_split(clusters.sequence_clusters(v.sequences), 40)
+
+
+CATEGORY = "CASE WHEN id < 'GO:0000030' THEN 'Core' WHEN id < 'GO:0000045' THEN 'Cell' ELSE 'Energy' END"
+EC = "1.1.1."
+
+
+def report_rules(v):
+    """Dimensions of the reports: every fourth term has no enzyme number, categories follow the order of terms."""
+    essential = v.terms.select(F.col("id").alias("term"), F.expr(CATEGORY).alias("category"))
+    ec_map = v.table("part").where("p_partkey < 63 AND p_partkey % 4 <> 0").select(F.concat(F.lit(EC), (F.col("p_partkey") % 7).cast("string")).alias("ec"), term_id(F.col("p_partkey")).alias("term"))
+    isa = hierarchy.closure(v.go_edges.where("rel = 'is_a'").select("child", "parent"))
+    return report.Rules(v.terms, closed(v), isa, essential, v.has_part, v.pathway_combos, "GO:0000005", v.homodimers, v.constraints, v.disjoint, taxon_closed(v), ec_map)
+
+
+# each section from the annotations with ancestors (held: proteins of each term of a genome)
+REPORT_SQL = f"""WITH t AS (SELECT DISTINCT genome, term FROM small_genomes), g AS (SELECT DISTINCT genome FROM t), cl AS (SELECT DISTINCT a.genome, a.protein, coalesce(c.ancestor, a.term) AS term FROM small_genomes a LEFT JOIN closed c ON c.node = a.term),
+held AS (SELECT genome, term, count(*) AS n FROM cl GROUP BY 1, 2), ess AS (SELECT id AS term, {CATEGORY} AS category FROM terms), sizes AS (SELECT category, count(*) AS size FROM ess GROUP BY 1),
+foundc AS (SELECT g.genome, s.category, s.size, (SELECT count(*) FROM held h JOIN ess e USING (term) WHERE h.genome = g.genome AND e.category = s.category) AS found FROM g, sizes s),
+essential AS (SELECT genome, round(100.0 * sum(found) FILTER (category = 'Core') / any_value(size) FILTER (category = 'Core'), 6) AS essential_pct, string_agg(category || '=' || found || '/' || size, ';' ORDER BY category) AS categories FROM foundc GROUP BY 1),
+foundt AS (SELECT h.genome, string_agg(h.term, ',' ORDER BY h.term) AS found_terms FROM held h JOIN ess USING (term) GROUP BY 1),
+w AS (SELECT t.genome, t.term, h.part, x.term IS NULL AS lacks FROM t JOIN has_part h ON h.whole = t.term LEFT JOIN t x ON x.genome = t.genome AND x.term = h.part),
+wt AS (SELECT genome, term, count(*) AS n, count(*) FILTER (lacks) AS m, string_agg(part, '+' ORDER BY part) FILTER (lacks) AS parts FROM w GROUP BY 1, 2),
+process AS (SELECT genome, round(100 - 100.0 * sum(m) / sum(n), 6) AS process_pct, string_agg(term || ':' || parts, ';' ORDER BY term) AS missing_parts FROM wt GROUP BY 1),
+need AS (SELECT h.genome, c.pathway, c.term, c.combo, CASE WHEN x.term IS NULL THEN c.need END AS lack FROM held h JOIN pathway_combos c ON c.term = h.term LEFT JOIN held x ON x.genome = h.genome AND x.term = c.need),
+ecs AS (SELECT '{EC}' || (p_partkey % 7) AS ec, 'GO:' || lpad(p_partkey::VARCHAR, 7, '0') AS lack FROM part WHERE p_partkey < 63 AND p_partkey % 4 <> 0),
+combo AS (SELECT genome, pathway, term, combo, count(lack) = 0 AS whole, string_agg(DISTINCT ec, '+' ORDER BY ec) AS names FROM need LEFT JOIN ecs USING (lack) GROUP BY 1, 2, 3, 4),
+way AS (SELECT genome, pathway, term, bool_or(whole) AS complete, coalesce(string_agg(names, '|' ORDER BY names), '') AS missing FROM combo GROUP BY 1, 2, 3),
+path AS (SELECT genome, round(100.0 * count(*) FILTER (complete) / count(*), 6) AS pathway_pct, count(*) FILTER (complete) AS completed, count(*) AS annotated, string_agg(pathway || '/' || term || '/' || CASE WHEN complete THEN '' ELSE missing END, ';' ORDER BY pathway) AS details FROM way GROUP BY 1),
+ie AS (SELECT child, parent FROM go_edges WHERE rel = 'is_a'), ir AS (SELECT child AS node, parent AS ancestor FROM ie UNION SELECT ir.node, ie.parent FROM ir JOIN ie ON ir.ancestor = ie.child),
+below AS (SELECT 'GO:0000005' AS term UNION SELECT node FROM ir WHERE ancestor = 'GO:0000005'), ci AS (SELECT genome, protein, term FROM small_genomes UNION SELECT a.genome, a.protein, ir.ancestor FROM small_genomes a JOIN ir ON ir.node = a.term),
+cc AS (SELECT genome, term, count(*) > 1 OR term IN (SELECT term FROM homodimers) AS good FROM ci WHERE term IN (SELECT term FROM below) GROUP BY 1, 2),
+comp AS (SELECT genome, round(100.0 * count(*) FILTER (good) / count(*), 6) AS complex_pct, string_agg(term || '=' || CASE WHEN good THEN 'coherent' ELSE 'incoherent' END, ';' ORDER BY term) AS classes FROM cc GROUP BY 1),
+ic AS (SELECT genome, term, -log2(n / sum(n) OVER (PARTITION BY genome)) AS ic FROM held WHERE term IN (SELECT id FROM terms)), norm AS (SELECT genome, term, CASE WHEN max(ic) OVER (PARTITION BY genome) > 0 THEN ic / max(ic) OVER (PARTITION BY genome) ELSE 0 END AS v FROM ic),
+spec AS (SELECT a.* FROM small_genomes a WHERE NOT EXISTS (SELECT 1 FROM small_genomes b JOIN reach r ON r.node = b.term WHERE b.genome = a.genome AND b.protein = a.protein AND r.ancestor = a.term)),
+info AS (SELECT genome, round(avg(coalesce(v, 0)), 6) AS depth, round(sum(coalesce(v, 0)), 6) AS breadth, round(sum(coalesce(v, 0)) / count(DISTINCT protein), 6) AS per_protein FROM spec LEFT JOIN norm USING (genome, term) GROUP BY 1),
+rq AS (SELECT DISTINCT h.genome, c.kind, c.taxon FROM held h JOIN constraints c USING (term)), o AS (SELECT genome, taxon FROM rq WHERE kind = 'only_in_taxon'), nv AS (SELECT genome, taxon FROM rq WHERE kind = 'never_in_taxon'),
+dj AS (SELECT DISTINCT x.node AS a, y.node AS b FROM (SELECT a, b FROM disjoint UNION SELECT b, a FROM disjoint) d JOIN taxon_closed x ON x.ancestor = d.a JOIN taxon_closed y ON y.ancestor = d.b),
+bad AS (SELECT o.genome FROM o JOIN nv ON o.genome = nv.genome AND o.taxon = nv.taxon UNION SELECT x.genome FROM o x JOIN dj ON dj.a = x.taxon JOIN o y ON y.genome = x.genome AND y.taxon = dj.b UNION SELECT o.genome FROM o JOIN taxon_reach l ON l.node = o.taxon JOIN nv ON nv.genome = o.genome AND nv.taxon = l.ancestor)"""
+REPORT_TABLES = ("small_genomes", "closed", "terms", "has_part", "pathway_combos", "go_edges", "homodimers", "reach", "constraints", "disjoint", "taxon_closed")
+
+
+@query("e1_full_report", REPORT_SQL + """ SELECT g.genome, essential_pct, categories, coalesce(found_terms, '') AS found_terms, coalesce(process_pct, 0) AS process_pct, coalesce(missing_parts, '') AS missing_parts, coalesce(pathway_pct, 0) AS pathway_pct, coalesce(completed, 0) AS completed, coalesce(annotated, 0) AS annotated, coalesce(details, '') AS details,
+coalesce(complex_pct, 0) AS complex_pct, coalesce(classes, '') AS classes, depth, breadth, per_protein, g.genome NOT IN (SELECT genome FROM bad) AS satisfiable FROM g LEFT JOIN essential USING (genome) LEFT JOIN foundt USING (genome) LEFT JOIN process USING (genome) LEFT JOIN path USING (genome) LEFT JOIN comp USING (genome) LEFT JOIN info USING (genome)""", *REPORT_TABLES)
+def whole_report(v):
+    """Every section with what it names, as text."""
+    r = report.full_report(v.small_genomes, report_rules(v))
+    listed = lambda rows, f: F.array_join(F.transform(rows, f), ";")
+    return r.select(
+        "genome", r6("essential.percentage", "essential_pct"), listed("essential.categories", lambda c: F.concat(c["category"], F.lit("="), c["found"].cast("string"), F.lit("/"), c["size"].cast("string"))).alias("categories"),
+        F.array_join("essential.found_terms", ",").alias("found_terms"), r6("process.percentage", "process_pct"), listed("process.missing", lambda m: F.concat(m["annotated_term"], F.lit(":"), F.array_join(m["missing_parts"], "+"))).alias("missing_parts"),
+        r6("pathways.percentage", "pathway_pct"), "pathways.completed", "pathways.annotated",
+        listed("pathways.details", lambda d: F.concat_ws("/", d["pathway"], d["original_term"], F.array_join(F.transform(d["missing_components"], lambda c: F.array_join(c, "+")), "|"))).alias("details"),
+        r6("complexes.percentage", "complex_pct"), listed("complexes.classes", lambda c: F.concat(c["term"], F.lit("="), c["kind"])).alias("classes"),
+        r6("information.depth", "depth"), r6("information.breadth", "breadth"), r6("information.breadth_per_protein", "per_protein"), "satisfiable",
+    )
+
+
+@query("e1_report_of_functions", REPORT_SQL + " SELECT g.genome, coalesce(round(process_pct, 2), 0) AS process, coalesce(round(pathway_pct, 2), 0) AS pathways, coalesce(annotated - completed, 0) AS incomplete, false AS others FROM g LEFT JOIN process USING (genome) LEFT JOIN path USING (genome)", *REPORT_TABLES)
+def functions_report(v):
+    """The report on molecular functions as JSON: it has pathways, and neither essential terms nor complexes."""
+    lines = report.report_lines(report.full_report(v.small_genomes, report_rules(v), "mf"))
+    field = lambda p: F.get_json_object("value", "$." + p)
+    others = field("essential").isNotNull() | field("complexes").isNotNull()
+    return lines.select("genome", field("process.percentage").cast("double").alias("process"), field("pathways.percentage").cast("double").alias("pathways"), field("pathways.incomplete").cast("long").alias("incomplete"), others.alias("others"))
