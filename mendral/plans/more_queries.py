@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from mendral.operators import clusters, coherence, genomics, hierarchy, metrics, recovery, report, splits, transfer
+from mendral.operators import clusters, coherence, ensembles, genomics, hierarchy, metrics, recovery, report, splits, transfer
 from mendral.sources import vectors
 
 from .adapters import TAU, term_id
@@ -112,26 +112,51 @@ def network(v):
     return net.predict(e).groupBy("id").agg(F.max_by("term", "score").alias("term"), r6(F.max("score"), "score"))
 
 
-@query("m11_network_on_all_rows")
-def network_on_all(v):
-    """The same kind of network trained on every vector, derivatives summed over tasks."""
+def labelled(v):
+    """(vectors with their labels as places, names of labels, length of vectors)."""
     e = v.table("embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("term"))
     terms = v.table("embeddings").where("label IS NOT NULL").groupBy(F.col("label").cast("string").alias("term")).agg(F.count("*").alias("n")).toPandas()  # a row for each label
     names = sorted(terms["term"])
     places = v.spark.createDataFrame([(t, i) for i, t in enumerate(names)], "term string, position int")
     labels = vectors.sparse_labels(e.select(F.col("id").alias("protein"), "term"), places)
     width = v.table("embeddings").agg(F.max(F.size("embedding")).alias("d")).first()["d"]
-    net = transfer.MultiLabelNet(width, 32, names).fit_rows(e.select("vector", F.col("id").alias("protein")).join(labels, "protein"), epochs=20, rate=2e-2)
-    return net.predict(e.select("id", "vector")).groupBy("id").agg(F.max_by("term", "score").alias("term"), r6(F.max("score"), "score"))
+    return e.select("id", "vector", F.col("id").alias("protein")).join(labels, "protein"), names, width
+
+
+@query("m11_network_on_all_rows")
+def network_on_all(v):
+    """The same kind of network trained on every vector, derivatives summed over tasks."""
+    rows, names, width = labelled(v)
+    net = transfer.MultiLabelNet(width, 32, names).fit_rows(rows, epochs=20, rate=2e-2)
+    return net.predict(rows.select("id", "vector")).groupBy("id").agg(F.max_by("term", "score").alias("term"), r6(F.max("score"), "score"))
 
 
 @query("m3_zero_shot_scores")
 def zero_shot(v):
-    e = v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    rng = np.random.default_rng(0)
-    terms = [f"GO:{i:07d}" for i in range(5)]
-    d = len(e.first()["vector"])
-    return transfer.zero_shot(e, rng.normal(size=(5, 8)), rng.normal(size=8), rng.normal(size=5), rng.normal(size=(d, 8)) / d**0.5, np.zeros(8), terms)
+    """Scores of a network of balls that is trained on every vector."""
+    rows, names, width = labelled(v)
+    net = ensembles.BallNet(width, 32, names).fit_rows(rows, epochs=10, rate=2e-2)
+    return net.predict(rows.select("id", "vector")).select("id", "term", r6("score"))
+
+
+@query("m3_ball_distances")
+def ball_distances(v):
+    """How far every vector is outside the nearest ball, and which one that is."""
+    rows, names, width = labelled(v)
+    net = ensembles.BallNet(width, 32, names).fit_rows(rows, epochs=10, rate=2e-2)
+    near = F.min(F.struct("score", "term"))
+    return net.distances(rows.select("id", "vector")).groupBy("id").agg(near.alias("b")).select("id", "b.term", r6("b.score", "score"))
+
+
+@query("m2_ensemble_predictions")
+def ensemble(v):
+    """Two networks trained on every vector; their mean scores are handed up a hierarchy of labels (pairs, then all)."""
+    rows, names, width = labelled(v)
+    nets = [ensembles.BallNet(width, 32, names, seed=1).fit_rows(rows, epochs=6, rate=2e-2), transfer.MultiLabelNet(width, 32, names, seed=2).fit_rows(rows, epochs=6, rate=2e-2)]
+    label = v.table("embeddings").where("label IS NOT NULL").select("label").distinct()
+    group = F.concat(F.lit("group"), F.expr("label div 2").cast("string"))
+    edges = label.select(F.col("label").cast("string").alias("child"), group.alias("parent")).unionByName(label.select(group.alias("child"), F.lit("all").alias("parent")).distinct())
+    return ensembles.predict(nets, v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), hierarchy.closure(edges), floor=0.05).select("id", "term", r6("score"))
 
 
 @query("m10_threshold_selection", "WITH s AS (SELECT score, (a.term IS NOT NULL)::INT AS label FROM predictions p LEFT JOIN annotations a USING (genome, protein, term)), c AS (SELECT range::INT AS t, 2.0 * count(*) FILTER (label = 1 AND CAST(score AS FLOAT) >= CAST(range / 100.0 AS FLOAT)) / (count(*) FILTER (CAST(score AS FLOAT) >= CAST(range / 100.0 AS FLOAT)) + count(*) FILTER (label = 1)) AS f FROM s, range(101) GROUP BY 1) SELECT first(t ORDER BY round(f, 9) DESC, t) AS t, round(max(f), 6) AS f FROM c", "predictions", "annotations")
