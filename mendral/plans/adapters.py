@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 TERMS = 63
 #: Pairs of terms are sparse from here on: what complex queries use.
 TAU = 0.9
@@ -31,6 +33,12 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def keep(self, *names: str) -> Views:
+        """The same tables with those of ``names`` stored, for queries that read them in several runs."""
+        for name in names:
+            self.__dict__[name] = materialize(getattr(self, name), name)
+        return self
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

@@ -162,3 +162,33 @@ def window_counts(v):
     from mendral.streaming.incremental import windowed_events
 
     return windowed_events(v.table("events")).withColumn("total", F.round("total", 4))
+
+
+def two_batches(v: Views, rows: DataFrame) -> list[str]:
+    """Paths of two outputs that share no protein."""
+    odd = F.xxhash64("protein") % 2 != 0
+    paths = []
+    for part in (rows.where(odd), rows.where(~odd)):
+        paths.append(scratch_path(v.spark, "batch"))
+        scored.write_scored(part, paths[-1])
+    return paths
+
+
+@query("o4_united_batches", "SELECT genome || ':' || protein AS protein, count(*) AS n, round(sum(score), 4) AS total FROM predictions GROUP BY 1", "predictions")
+def united_batches(v):
+    rows = v.predictions.select(F.concat_ws(":", "genome", "protein").alias("protein"), "term", "score")
+    return scored.read_scored(v.spark, two_batches(v, rows)).groupBy("protein").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query("s6_repaired_files", "SELECT genome || ':' || protein AS protein, term, round(score - 0.5, 6) AS score FROM predictions WHERE score > 0.5", "predictions")
+def repaired_files(v):
+    """Scores that a repair has set to 0 or below are written and not read back."""
+    rows = v.predictions.select(F.concat_ws(":", "genome", "protein").alias("protein"), "term", (F.col("score") - 0.5).alias("score"))
+    path = put(v, rows.groupBy("protein").agg(F.array_join(F.collect_list(F.format_string("%s|%.6f", "term", "score")), "\t").alias("t")).select(F.concat_ws("\t", "protein", "t").alias("value")), "repaired")
+    return scored.repaired(scored.read_scored(v.spark, path)).select("protein", "term", r6("score"))
+
+
+@query("s7_scores_as_text", "SELECT genome || ':' || protein AS protein, term, printf('%.3f', score) AS score FROM predictions", "predictions")
+def scores_as_text(v):
+    line = v.predictions.select(F.concat_ws(":", "genome", "protein").alias("protein"), F.format_string("%s|%.3f", "term", "score").alias("t")).groupBy("protein").agg(F.array_join(F.collect_list("t"), "\t").alias("t"))
+    return scored.read_scored(v.spark, put(v, line.select(F.concat_ws("\t", "protein", "t").alias("value")), "text"), as_text=True).select("protein", "term", "score")

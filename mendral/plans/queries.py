@@ -74,6 +74,7 @@ DIMS = ("taxon_closed", "constraints", "genomes")
     "predictions", *DIMS,
 )
 def naive_flip_rate(v: Views) -> DataFrame:
+    v = v.keep("predictions")
     bad = consistency.naive_flips(v.predictions, TAU, v.constraints, v.genomes, taxon_closed(v))
     flagged = annotate.above(v.predictions, TAU).join(hierarchy.small(bad.withColumn("bad", F.lit(1))), ["genome", "term"], "left")
     return flagged.groupBy("genome").agg(F.count("*").alias("above"), F.count("bad").alias("demoted")).withColumn("pct", r6(100.0 * F.col("demoted") / F.col("above"), "pct"))
@@ -357,24 +358,28 @@ a AS (SELECT g, sum((r - pr_) * (p + pp) / 2) AS aupr FROM (SELECT g, r, p, lag(
 
 @query("a13_threshold_curve", _sweep("genome") + " SELECT g AS genome, t, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f, round(wf, 6) AS wf, abs(round(ru, 5)) AS ru, round(mi, 5) AS mi, tp, fp FROM f", "predictions", "annotations")
 def curve(v):
+    v = v.keep("annotations")
     c = metrics.threshold_curve(v.predictions, v.annotations, ic_table(v), ["genome"])
     return c.select("genome", "t", r6("precision"), r6("recall"), r6("f"), r6("wf"), F.abs(F.round("ru", 5)).alias("ru"), F.round("mi", 5).alias("mi"), "tp", "fp")
 
 
 @query("a14_fmax_smin_aupr", _sweep("genome") + SUMMARY + " SELECT g AS genome, round(fmax, 6) AS fmax, tmax, round(smin, 5) AS smin, round(wfmax, 6) AS wfmax, round(aupr, 6) AS aupr FROM b JOIN a USING (g)", "predictions", "annotations")
 def fmax(v):
+    v = v.keep("annotations")
     c = metrics.threshold_curve(v.predictions, v.annotations, ic_table(v), ["genome"])
     return metrics.summary(c, ["genome"]).select("genome", r6("fmax"), "tmax", F.round("smin", 5).alias("smin"), r6("wfmax"), r6("aupr"))
 
 
 @query("a22_macro_average", _sweep("genome") + SUMMARY + " SELECT round(avg(fmax), 6) AS fmax, round(avg(smin), 5) AS smin, round(avg(aupr), 6) AS aupr, count(*) AS n FROM b JOIN a USING (g)", "predictions", "annotations")
 def macro(v):
+    v = v.keep("annotations")
     s = metrics.summary(metrics.threshold_curve(v.predictions, v.annotations, ic_table(v), ["genome"]), ["genome"])
     return s.agg(r6(F.avg("fmax"), "fmax"), F.round(F.avg("smin"), 5).alias("smin"), r6(F.avg("aupr"), "aupr"), F.count("*").alias("n"))
 
 
 @query("a23_micro_average", _sweep("'all'") + SUMMARY + " SELECT round(fmax, 6) AS fmax, tmax, round(smin, 5) AS smin, round(aupr, 6) AS aupr FROM b JOIN a USING (g)", "predictions", "annotations")
 def micro(v):
+    v = v.keep("annotations")
     # pooled proteins keep their genome in the id
     pool = lambda df: df.withColumn("protein", F.concat_ws(":", "genome", "protein")).drop("genome").withColumn("pool", F.lit("all"))
     c = metrics.threshold_curve(pool(v.predictions), pool(v.annotations), ic_table(v), ["pool"])
@@ -532,6 +537,7 @@ def repaired(v: Views) -> DataFrame:
 
 @query("a26_flip_rate", repaired_sql(f"SELECT p.genome, count(*) AS above, count(*) FILTER (q.term IS NULL) AS demoted, round(100.0 * count(*) FILTER (q.term IS NULL) / count(*), 6) AS pct FROM (SELECT * FROM predictions WHERE score > {TAU}) p LEFT JOIN (SELECT * FROM post WHERE score > {TAU}) q USING (genome, protein, term) GROUP BY p.genome"), "predictions", *DIMS)
 def flip_rate(v):
+    v = v.keep("predictions")
     return flips.flip_rate(v.predictions, repaired(v), TAU).withColumn("pct", r6("pct"))
 
 
@@ -550,6 +556,7 @@ def soft(v):
 
 @query("a30_flip_statistics", repaired_sql(f"""SELECT term, count(*) AS demotions, round(sum(abs(score - {TAU})), 5) AS demotion_cost, count(DISTINCT genome || ':' || protein) AS proteins FROM (SELECT p.* FROM predictions p LEFT JOIN post q USING (genome, protein, term) WHERE p.score > {TAU} AND q.term IS NULL) GROUP BY term"""), "predictions", *DIMS)
 def flip_statistics(v):
+    v = v.keep("predictions")
     return flips.term_changes(v.predictions, repaired(v), TAU).select("term", "demotions", F.round("demotion_cost", 5).alias("demotion_cost"), "proteins")
 
 
@@ -561,6 +568,7 @@ def bins(v):
 
 @query("a32_flip_precision", repaired_sql(f"SELECT p.term, count(*) FILTER (a.term IS NULL) AS fp_removed, count(a.term) AS tp_lost, round(count(*) FILTER (a.term IS NULL) / count(*), 6) AS precision FROM predictions p LEFT JOIN post q USING (genome, protein, term) LEFT JOIN annotations a ON a.genome = p.genome AND a.protein = p.protein AND a.term = p.term WHERE p.score > {TAU} AND q.term IS NULL GROUP BY p.term"), "predictions", "annotations", *DIMS)
 def flip_precision(v):
+    v = v.keep("predictions")
     return flips.flip_precision(flips.changes(v.predictions, repaired(v), TAU), v.annotations).withColumn("precision", r6("precision"))
 
 
@@ -857,3 +865,17 @@ SELECT query, neighbour, round(c, 6) AS cosine, r::INT AS rank FROM (SELECT *, r
 def neighbours(v):
     e = v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return transfer.nearest_by_cosine(e.where("id % 20 = 0"), e, 5).withColumn("cosine", r6("cosine"))
+
+
+# every pair of a complex swaps sides, and a protein without any prediction gets all complexes
+@query("p8_complex_projection", f"""WITH d AS (SELECT genome, protein, term, score <= {TAU} AS present FROM predictions WHERE term IN (SELECT term FROM complexes) UNION ALL SELECT genome, 'p0', term, true FROM genomes, complexes),
+u AS (SELECT DISTINCT genome, term FROM predictions WHERE score > {TAU}), j AS (SELECT genome, protein, term, coalesce(score, 0) AS s, present FROM predictions FULL JOIN d USING (genome, protein, term)),
+f AS (SELECT j.genome, protein, term, CASE WHEN present IS NULL THEN s WHEN present THEN greatest(s, {TAU} + 0.001) ELSE least(s, {TAU}) END AS score FROM j JOIN u USING (genome, term))
+SELECT genome, protein, term, round(score, 6) AS score FROM f WHERE score > 0""", "predictions", "complexes", "genomes")
+def complex_projection(v):
+    v = v.keep("predictions")
+    terms = hierarchy.small(complexes(v))
+    swapped = v.predictions.join(terms, "term", "left_semi").select("genome", "protein", "term", (F.col("score") <= TAU).alias("present"))
+    seen = annotate.above(v.predictions, TAU).join(terms, "term", "left_semi").select("genome", "term").distinct()
+    every = seen.select("genome", F.lit("p0").alias("protein"), "term", F.lit(True).alias("present"))
+    return annotate.apply_complex_repair(v.predictions, swapped.unionByName(every), TAU).select("genome", "protein", "term", r6("score"))
