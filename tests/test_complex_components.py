@@ -133,3 +133,19 @@ def test_full_model_without_violations(spark):
     f = spark.createDataFrame
     rows = f([("g", "p", "t", 0.9), ("g", "q", "t", 0.9)], "genome string, protein string, term string, score double")
     assert repair_complex.solve_full(rows, 0.5, f([], "child string, parent string"), f([("t",)], "term string")).count() == 0
+
+
+def test_counts_equal_the_listed_pairs(spark):
+    """What is counted within proteins against the pairs and links listed, on a hierarchy with a cycle and several ways up."""
+    rng = random.Random(11)
+    terms = [f"t{i:02d}" for i in range(14)]
+    edges = [(t, terms[rng.randrange(i)]) for i, t in enumerate(terms) if i for _ in range(2)] + [("t03", "t09"), ("t09", "t03")]
+    have = [(f"g{g}", f"p{p}", t) for g in range(4) for p in range(9) for t in [*terms, "unknown"] if rng.random() < 0.3]
+    part = [(f"g{g}", t, f"p{p}") for g in range(4) for p in range(11) for t in terms[1::2] if rng.random() < 0.25]
+    f = spark.createDataFrame
+    links, held, asked = f(edges, "child string, parent string").distinct(), f(have, "genome string, protein string, term string"), f(part, "genome string, complex string, protein string").distinct()
+    pairs = {(r.genome, r.protein, r.term) for r in repair_complex.sparse_pairs(held.selectExpr("*", "1.0D AS score"), 0.5, links, asked).collect()}
+    inside = [g for g, p, t in pairs for a, b in set(edges) if a == t and (g, p, b) in pairs]
+    want = {g: (sum(x[0] == g for x in pairs), inside.count(g)) for g in {x[0] for x in pairs}}
+    got = repair_complex.count_listed(held, asked, links, f([(t,) for t in terms], "term string"))
+    assert {r.genome: (r.pairs, r.links) for r in got.collect()} == want
