@@ -149,3 +149,15 @@ def test_counts_equal_the_listed_pairs(spark):
     want = {g: (sum(x[0] == g for x in pairs), inside.count(g)) for g in {x[0] for x in pairs}}
     got = repair_complex.count_listed(held, asked, links, f([(t,) for t in terms], "term string"))
     assert {r.genome: (r.pairs, r.links) for r in got.collect()} == want
+
+
+def test_pairs_of_all_proteins_equal_the_joined_ones(spark, monkeypatch):
+    monkeypatch.setattr(repair_complex, "BLOCK", 2)
+    rng = random.Random(12)
+    terms = [f"t{i:02d}" for i in range(14)]
+    edges = spark.createDataFrame([(t, terms[rng.randrange(i)]) for i, t in enumerate(terms) if i for _ in range(2)], "child string, parent string").distinct()
+    rows = [(f"g{g}", f"p{p}", t, rng.random()) for g in range(4) for p in range(6) for t in [*terms, "unknown"] if rng.random() < 0.5]
+    scored, complexes = spark.createDataFrame(rows, "genome string, protein string, term string, score double"), spark.createDataFrame([(t,) for t in terms[2::2]], "term string")
+    want = repair_complex.sparse_pairs(scored, 0.7, edges, repair_complex.participants(scored, 0.7, complexes)).collect()
+    got = repair_complex.pairs_of_all_proteins(scored, 0.7, edges, complexes).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 50
