@@ -38,17 +38,20 @@ def read_scored(spark: SparkSession, path: str | list[str], malformed: str = "ra
     if malformed not in POLICIES:
         raise ValueError(f"malformed must be one of {POLICIES}")
     rows = _tokens(lines(spark, path), comments)
-    rows = rows.select("file", "protein", F.posexplode_outer("tokens").alias("i", "token")) if keep_empty else rows.select("file", "protein", F.posexplode("tokens").alias("i", "token"))
-    pair = F.split("token", r"\|")
-    number = F.expr("try_cast(get(split(token, '[|]'), 1) AS DOUBLE)")
-    good = (F.size(pair) == 2) & number.isNotNull()
+    part = lambda token, i: F.get(F.split(token, r"\|"), F.lit(i))
+    good = lambda token: (F.size(F.split(token, r"\|")) == 2) & part(token, 1).try_cast("double").isNotNull()
     if malformed == "raise":
-        checked = F.when(F.col("token").isNull() | good, F.get(pair, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("malformed token: "), "token")).cast("string"))
+        checked = F.transform("tokens", lambda t: F.when(good(t), t).otherwise(F.raise_error(F.concat(F.lit("malformed token: "), t)).cast("string")))
     else:
-        rows, checked = rows.where(F.col("token").isNull() | good), F.get(pair, F.lit(0))
-    value = F.get(pair, F.lit(1)) if as_text else number
-    out = rows.select("file", "protein", "i", checked.alias("term"), value.alias("score"))
-    out = out.groupBy("file", "protein", "term").agg(F.max_by("score", "i").alias("score"))
+        rows, checked = rows.where((F.size("tokens") == 0) | F.exists("tokens", good)), F.filter("tokens", good)
+    # tokens of a term stand together, the last one first: each line folds on its own, without a shuffle of tokens
+    sorted_ = F.array_sort(F.transform(checked, lambda t, i: F.struct(part(t, 0).alias("term"), (-i).alias("i"), part(t, 1).alias("score"))))
+    rows = rows.select("file", "protein", sorted_.alias("tokens"))
+    first = F.filter("tokens", lambda t, i: (i == 0) | (t["term"] != F.get("tokens", i - 1)["term"]))
+    rows = rows.select("file", "protein", first.alias("tokens"))
+    exploded = rows.select("file", "protein", (F.explode_outer if keep_empty else F.explode)("tokens").alias("t"))
+    value = F.col("t.score")
+    out = exploded.select("file", "protein", F.col("t.term").alias("term"), (value if as_text else value.cast("double")).alias("score"))
     return out.select("file", file_field(F.col("file"), "taxon").alias("genome"), file_field(F.col("file"), "fold").alias("fold"), "protein", "term", "score")
 
 

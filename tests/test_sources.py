@@ -145,3 +145,13 @@ def test_gaf_catalogues_and_reports(spark, tmp_path):
     assert rows(ontology.read_definitions(spark, write(tmp_path, "defs", "GO_1: GO_2 and GO_3\n"))) == [("GO:1", ["GO:2", "GO:3"])]
     t = tables.read_test_proteins(spark, write(tmp_path, "t.tsv", "protein_id\ttaxon_id\nP1\t9\nP2\tNA\n"))
     assert rows(t) == [("P1", "9")]
+
+
+def test_tokens_fold_within_their_line(spark, tmp_path):
+    """The last token of a term counts, and no token is shuffled: one exchange, that of lines."""
+    p = tmp_path / "fold.tsv"
+    p.write_text("a\tX|0.1\tY|0.5\tX|0.3\tX|0.2\nb\tbad\nc\na\tZ|1\tX|0.7\tX|0.4\n")
+    got = scored.read_scored(spark, str(p), malformed="skip", keep_empty=True)
+    assert sorted(map(tuple, got.select("protein", "term", "score").collect()), key=str) == [("a", "X", 0.4), ("a", "Z", 1.0), ("c", None, None)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan
