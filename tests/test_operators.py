@@ -113,3 +113,20 @@ def test_ranking_tables_are_written(spark, tmp_path):
     for name, t in made.items():
         write_table(t, str(tmp_path / name))
     assert spark.read.csv(str(tmp_path / "all"), sep="\t", header=True).count() == 2
+
+
+def test_groups_of_a_task_do_not_grow_with_the_table(spark, sf, monkeypatch):
+    from mendral.operators import hierarchy
+    from mendral.plans import adapters
+
+    monkeypatch.setattr(adapters, "TASK_ROWS", 500)
+    v = adapters.Views(spark, sf)
+    tasks = v.table("lineitem").count() // 500 + 1
+    rows = v.predictions.select("term", "genome", "protein", "score")
+    assert rows.rdd.getNumPartitions() == tasks > 8
+    closed = hierarchy.closure(v.edges, reflexive=False)
+    up = hierarchy.propagate_scores(rows, closed)
+    assert up.rdd.getNumPartitions() == tasks
+    assert up._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    lone = spark.createDataFrame([("g", "p", "alone", 0.5)], "genome string, protein string, term string, score double")
+    assert [tuple(r) for r in hierarchy.propagate_scores(lone, closed).collect()] == [("g", "p", "alone", 0.5)]
