@@ -33,3 +33,17 @@ def test_neighbours_equal_brute_force(spark, kind):
 def test_fewer_vectors_than_asked(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<float>")
     assert sorted((r["query"], r["neighbour"]) for r in transfer.nearest_by_cosine(rows, rows, 5).collect()) == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("part", [7, 50])
+def test_bins_and_blocks_equal_brute_force(spark, monkeypatch, part):
+    """Cells that share a bin, cells of several bins, copies with tied cosines, queries in blocks."""
+    for name, value in (("PART", part), ("BLOCK", 9), ("CHUNK", 4)):
+        monkeypatch.setattr(transfer, name, value)
+    x = np.random.default_rng(5).standard_normal((90, 4))
+    x = np.concatenate([x, np.repeat(x[:1], 40, axis=0), np.zeros((9, 4)), x[10:20]])
+    base = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    f = lambda rows: spark.createDataFrame(rows, "id long, vector array<float>")
+    queries = base[::3]
+    got = sorted((r["query"], r["neighbour"], r["rank"], round(r["cosine"], 6) + 0.0) for r in transfer.nearest_by_cosine(f(queries), f(base), 6).collect())
+    assert got == brute(queries, base, 6)
