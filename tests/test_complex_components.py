@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
@@ -161,3 +162,34 @@ def test_pairs_of_all_proteins_equal_the_joined_ones(spark, monkeypatch):
     want = repair_complex.sparse_pairs(scored, 0.7, edges, repair_complex.participants(scored, 0.7, complexes)).collect()
     got = repair_complex.pairs_of_all_proteins(scored, 0.7, edges, complexes).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 50
+
+
+def test_search_holds_no_set_as_long_as_its_component():
+    # 2000 candidates of two complexes, each with ten pairs of its own above it; one candidate is cheap for both
+    has, cost, rules, groups = [], [], [], [[], []]
+    for p in range(2000):
+        first = len(has)
+        has += [p < 2] + [False] * 10
+        cost += [50, *[900] * 10] if p != 7 else [1, *[2] * 10]
+        rules += [(first + i, first + i + 1) for i in range(10)]
+        groups[p % 2].append(first)
+        if p == 7:
+            groups[0].append(first)
+    has[1:11] = has[12:22] = [True] * 10
+    tracemalloc.start()
+    found = Component(has, cost, rules, groups).solve()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found.value, found.bound, found.status) == (21, 21, "OPTIMAL")
+    assert [i for i, p in enumerate(found.present) if p and not has[i]] == list(range(77, 88))
+    assert peak < 30 << 20  # sets of as many bits as there are pairs took 60 MB and more
+
+
+def test_search_without_kept_shares_is_still_exact(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(5):
+        parts = coupled(rng, 6, 5, 900_000)
+        whole = Component(*parts).solve()
+        with monkeypatch.context() as m:
+            m.setattr("mendral.operators.pair_search.KEPT", 0)
+            assert Component(*parts).solve().value == whole.value
