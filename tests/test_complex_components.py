@@ -193,3 +193,24 @@ def test_search_without_kept_shares_is_still_exact(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr("mendral.operators.pair_search.KEPT", 0)
             assert Component(*parts).solve().value == whole.value
+
+
+def test_full_model_solves_again_only_what_is_violated(spark, monkeypatch):
+    # g1: X lacks D; D is promoted, and is a complex on one protein then; g2: D goes at once
+    rows = [("g1", "q", "X", 1.0), ("g1", "q", "D", 0.88), ("g1", "r", "Y", 1.0), ("g2", "q", "D", 0.92), ("g2", "r", "Y", 1.0)]
+    p = spark.createDataFrame(rows, "genome string, protein string, term string, score double")
+    edges = spark.createDataFrame([("X", "D")], "child string, parent string")
+    complexes = spark.createDataFrame([("D",)], "term string")
+    seen, tables = [], repair_complex.tables
+    monkeypatch.setattr(repair_complex, "tables", lambda rows, *a: (seen.append({r[0] for r in a[2].select("genome").union(a[3].select("genome")).collect()}), tables(rows, *a))[1])
+    out = repair_complex.solve_full(p, 0.9, edges, complexes).where("present <> annotated")
+    assert sorted((r.genome, r.protein, r.term, r.present) for r in out.collect()) == [("g1", "q", "X", False), ("g2", "q", "D", False)]
+    assert seen == [{"g1", "g2"}, {"g1"}]
+
+
+def test_pairs_of_complexes_keep_the_columns_of_their_candidates(spark):
+    p = spark.createDataFrame([("g", "p", "C", 1.0), ("g", "p", "A", 1.0)], "genome string, protein string, term string, score double")
+    part = spark.createDataFrame([("g", "C", "p", 7), ("g", "C", "q", 7)], "genome string, complex string, protein string, hub long")
+    edges = spark.createDataFrame([("A", "C"), ("C", "R")], "child string, parent string")
+    out = repair_complex.pairs_of_complexes(p, 0.9, edges, part)
+    assert sorted(tuple(r) for r in out.select("protein", "term", "hub").collect()) == [("p", "A", 7), ("p", "C", 7), ("q", "C", 7), ("q", "R", 7)]
