@@ -7,9 +7,13 @@ running sum over the 101 thresholds of a group gives every point of its curve.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendral.plans.storage import materialize
+
 from .hierarchy import small
 from .running import running_sums
 
@@ -26,30 +30,37 @@ def bucket(score: Column) -> Column:
     return F.when((near < POINTS - 1) & reached(near + 1), near + 1).when(reached(near), near).otherwise(F.greatest(F.lit(0), near - 1))
 
 
-def threshold_curve(predictions: DataFrame, labels: DataFrame, ic: DataFrame, keys: list[str]) -> DataFrame:
+#: Facts that are counted in one task.
+TASK_ROWS = 100_000
+
+
+def threshold_curve(predictions: DataFrame, labels: DataFrame, ic: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """One row per group and threshold t / 100, t in 0..100.
 
     Every labelled protein counts: recall averages over all of them, precision over
     those with a prediction at the threshold. ``ic`` has (term, ic, norm_ic) and
-    also names the terms that are all predicted at threshold 0.
+    also names the terms that are all predicted at threshold 0. Facts are dealt once, a
+    protein's together, in as many tasks as ``rows`` (about how many there are; None: counted) ask for.
     """
     entity = [*keys, "protein"]
-    lab = labels.select(*entity, "term").distinct()
     info = small(ic.select("term", "ic", "norm_ic"))
     all_terms = ic.agg(F.count("*").alias("n"), F.sum("ic").alias("i"), F.sum("norm_ic").alias("w")).first()
-    own = lab.join(info, "term", "left").groupBy(*entity).agg(F.count("*").alias("nl"), F.sum(F.coalesce("ic", F.lit(0.0))).alias("il"), F.sum(F.coalesce("norm_ic", F.lit(0.0))).alias("wl"))
-    rows = (
-        predictions.select(*entity, "term", "score")
-        .join(lab.withColumn("hit", F.lit(1)), [*entity, "term"], "left")
-        .join(info, "term", "left")
-        .withColumn("b", bucket(F.col("score")))
-        .withColumn("h", F.coalesce("hit", F.lit(0)))
-    )
+    scored = predictions.select(*entity, "term", "score", F.lit(False).alias("label"))
+    facts = scored.unionByName(labels.select(*entity, "term", F.lit(None).cast("double").alias("score"), F.lit(True).alias("label")))
+    tasks = (facts.count() if rows is None else rows) // TASK_ROWS + 1
+    same = Window.partitionBy(*entity, "term")
+    first = F.row_number().over(same.orderBy(F.desc("label")))
+    dealt = facts.repartition(max(tasks, predictions.sparkSession.sparkContext.defaultParallelism), *entity)
+    # labels come first: a row after them is a label that is repeated, or a prediction that hits; a protein's labels have b = -1
+    met = dealt.select("*", (F.max("label").over(same) & F.col("term").isNotNull()).cast("int").alias("h"), first.alias("k")).where("NOT label OR k = 1").join(info, "term", "left").withColumn("b", F.when(F.col("label"), -1).otherwise(bucket(F.col("score"))))
     i, w = F.coalesce("ic", F.lit(0.0)), F.coalesce("norm_ic", F.lit(0.0))
-    steps = rows.where("b > 0").groupBy(*entity, "b").agg(F.count("*").alias("n"), F.sum("h").alias("tp"), F.sum(w * F.col("h")).alias("wtp"), F.sum(w).alias("wn"), F.sum(i * F.col("h")).alias("itp"), F.sum(i).alias("inn"))
+    steps = met.where("b <> 0").groupBy(*entity, "b").agg(F.count("*").alias("n"), F.sum("h").alias("tp"), F.sum(w * F.col("h")).alias("wtp"), F.sum(w).alias("wn"), F.sum(i * F.col("h")).alias("itp"), F.sum(i).alias("inn"))
     down = Window.partitionBy(*entity).orderBy(F.desc("b"))
     upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = steps.select(*entity, "b", F.coalesce(F.lead("b").over(down), F.lit(0)).alias("low"), *[F.sum(c).over(upto).alias(c) for c in ("n", "tp", "wtp", "wn", "itp", "inn")]).join(own, entity)
+    every = Window.partitionBy(*entity)
+    own = {name: F.max(F.when(F.col("b") < 0, F.col(c))).over(every).alias(name) for name, c in (("nl", "n"), ("il", "inn"), ("wl", "wn"))}
+    sums = [F.when(F.col("b") > 0, F.sum(c).over(upto)).alias(c) for c in ("n", "tp", "wtp", "wn", "itp", "inn")]
+    state = steps.select(*entity, "b", F.greatest(F.coalesce(F.lead("b").over(down), F.lit(0)), F.lit(0)).alias("low"), *sums, *own.values()).where("nl IS NOT NULL").where((F.col("b") < 0) | reduce(Column.__and__, [F.col(c).isNotNull() for c in entity]))
     value = {
         "p": F.col("tp") / F.col("n"),
         "r": F.col("tp") / F.col("nl"),
@@ -61,13 +72,20 @@ def threshold_curve(predictions: DataFrame, labels: DataFrame, ic: DataFrame, ke
         "tp": F.col("tp").cast("double"),
         "fp": (F.col("n") - F.col("tp")).cast("double"),
     }
-    events = state.select(*keys, F.explode(F.array(F.struct(F.col("b").alias("t"), F.lit(1.0).alias("sign")), F.struct(F.col("low").alias("t"), F.lit(-1.0).alias("sign")))).alias("e"), *[v.alias(f"v_{k}") for k, v in value.items()])
-    summed = events.where("e.t > 0").groupBy(*keys, F.col("e.t").alias("t")).agg(*[F.sum(F.col("e.sign") * F.col(f"v_{k}")).alias(k) for k in value])
     n_all, w_all = float(all_terms["n"] or 0), float(all_terms["w"] or 0.0)
-    totals = own.groupBy(*keys).agg(
-        F.count("*").alias("proteins"), F.sum("nl").alias("sum_nl"), F.sum("il").alias("sum_il"),
-        F.avg(F.col("nl") / n_all).alias("p0"), F.avg(F.when(F.lit(w_all) > 0, F.col("wl") / w_all).otherwise(0.0)).alias("wp0"), F.avg(F.when(F.col("wl") > 0, 1.0).otherwise(0.0)).alias("wr0"),
+    # what begins at b ends below the next lower step; rows of a protein's labels stay at t = -1, once
+    at_b, at_low = F.struct(F.col("b").alias("t"), F.lit(1.0).alias("sign")), F.struct(F.col("low").alias("t"), F.lit(-1.0).alias("sign"))
+    events = state.select(*keys, "nl", "il", "wl", F.explode(F.when(F.col("b") > 0, F.array(at_b, at_low)).otherwise(F.array(at_b))).alias("e"), *[v.alias(f"v_{k}") for k, v in value.items()])
+    summed = materialize(
+        events.where("e.t <> 0").groupBy(*keys, F.col("e.t").alias("t")).agg(
+            *[F.sum(F.col("e.sign") * F.col(f"v_{k}")).alias(k) for k in value],
+            F.count("*").alias("proteins"), F.sum("nl").alias("sum_nl"), F.sum("il").alias("sum_il"),
+            F.avg(F.col("nl") / n_all).alias("p0"), F.avg(F.when(F.lit(w_all) > 0, F.col("wl") / w_all).otherwise(0.0)).alias("wp0"), F.avg(F.when(F.col("wl") > 0, 1.0).otherwise(0.0)).alias("wr0"),
+        ),
+        "curve-events",
     )
+    totals = summed.where("t = -1").select(*keys, "proteins", "sum_nl", "sum_il", "p0", "wp0", "wr0")
+    summed = summed.where("t > 0").select(*keys, "t", *value)
     grid = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))).alias("t"))
     above = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow) if keys else Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = grid.join(summed, [*keys, "t"], "left").select(*keys, "t", "proteins", "sum_nl", "sum_il", "p0", "wp0", "wr0", *[F.round(F.sum(F.coalesce(k, F.lit(0.0))).over(above), 9).alias(k) for k in value])
