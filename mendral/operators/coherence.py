@@ -12,15 +12,25 @@ def genome_terms(annotations: DataFrame) -> DataFrame:
     return annotations.select("genome", "term").distinct()
 
 
+def met_items(present: DataFrame, items: DataFrame, ask: str, meet: str) -> DataFrame:
+    """(genome, columns of ``items``, asked, met): has a genome the term ``ask`` of an item, and the term ``meet``?
+
+    Terms (genome, term; repeats do not count) are folded by the items they belong to; a genome with
+    terms of no item keeps a row that is not asked. Rows that come dealt by genome are not moved.
+    """
+    names, rows = items.columns, items.distinct()
+    sides = rows.select(F.col(ask).alias("__at"), F.lit(True).alias("__asks"), *names).unionByName(rows.where(F.col(meet).isNotNull()).select(F.col(meet).alias("__at"), F.lit(False).alias("__asks"), *names))
+    met = present.select("genome", F.col("term").alias("__has")).join(small(sides), F.col("__has") == F.col("__at"), "left").groupBy("genome", *names).agg(F.bool_or("__asks").alias("asked"), F.bool_or(~F.col("__asks")).alias("met"))
+    return met.select("genome", *names, F.coalesce("asked", F.lit(False)).alias("asked"), (F.coalesce("met", F.lit(False)) & F.col("genome").isNotNull()).alias("met"))
+
+
 def process_coherence(annotations: DataFrame, has_part: DataFrame) -> DataFrame:
     """(genome, required, missing, pct, missing_parts): parts that present wholes lack; pct is 0 without any."""
-    terms = genome_terms(annotations)
-    wanted = terms.join(small(has_part.select(F.col("whole").alias("term"), "part").distinct()), "term").select("genome", F.col("term").alias("whole"), "part")
-    have = terms.select("genome", F.col("term").alias("part"), F.lit(True).alias("__have"))
-    per = wanted.join(have, ["genome", "part"], "left").groupBy("genome").agg(F.count("*").alias("required"), F.count_if(F.col("__have").isNull()).alias("missing"), F.array_sort(F.collect_set(F.when(F.col("__have").isNull(), F.col("part")))).alias("missing_parts"))
-    every = terms.select("genome").distinct().join(per, "genome", "left")
-    n, m = F.coalesce("required", F.lit(0)), F.coalesce("missing", F.lit(0))
-    return every.select("genome", n.alias("required"), m.alias("missing"), F.when(n > 0, 100 - 100 * m / n).otherwise(0.0).alias("pct"), F.coalesce("missing_parts", F.array().cast("array<string>")).alias("missing_parts"))
+    items = met_items(annotations, has_part.select("whole", "part"), "whole", "part")
+    lacks = F.col("asked") & ~F.col("met")
+    n, m = F.col("required"), F.col("missing")
+    per = items.groupBy("genome").agg(F.count_if("asked").alias("required"), F.count_if(lacks).alias("missing"), F.array_sort(F.collect_set(F.when(lacks, F.col("part")))).alias("missing_parts"))
+    return per.select("genome", n, m, F.when(n > 0, 100 - 100 * m / n).otherwise(0.0).alias("pct"), "missing_parts")
 
 
 def pathway_completeness(annotations: DataFrame, combos: DataFrame) -> DataFrame:
@@ -29,10 +39,8 @@ def pathway_completeness(annotations: DataFrame, combos: DataFrame) -> DataFrame
     ``combos`` has (pathway, term, combo, need): complete is any combo with all its
     needs present, or no combo at all (need null).
     """
-    terms = genome_terms(annotations)
-    own = terms.join(small(combos), "term").select("genome", "pathway", "combo", "need")
-    have = terms.select("genome", F.col("term").alias("need"), F.lit(True).alias("__have"))
-    per = own.join(have, ["genome", "need"], "left").groupBy("genome", "pathway", "combo").agg(F.bool_and(F.col("need").isNull() | F.col("__have").isNotNull()).alias("all"))
+    items = met_items(annotations, combos.select("pathway", "term", "combo", "need"), "term", "need").where("asked")
+    per = items.groupBy("genome", "pathway", "combo").agg(F.bool_and(F.col("need").isNull() | F.col("met")).alias("all"))
     return per.groupBy("genome", "pathway").agg(F.bool_or("all").alias("complete"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .annotate import above, demote
+from .coherence import met_items
 from .hierarchy import closure, disjoint_pairs, small
 
 
@@ -71,9 +72,29 @@ def satisfiability(annotations: DataFrame, constraints: DataFrame, disjoint: Dat
     return both.unionByName(apart).unionByName(below).unionByName(neg)
 
 
+def conflicts(constraints: DataFrame, disjoint: DataFrame, reach: DataFrame) -> DataFrame:
+    """(a, b): pairs of constraints (kind, taxon) that no genome can meet both; the checks of ``satisfiability`` on taxa alone."""
+    taxa = constraints.select("kind", "taxon").where("taxon IS NOT NULL").distinct()
+    only, never = (taxa.where(F.col("kind") == kind).select(F.col("taxon").alias(c)) for kind, c in (("only_in_taxon", "a"), ("never_in_taxon", "b")))
+    negs = disjoint.select("a", "b").union(disjoint.select(F.col("b"), F.col("a"))).where(F.col("b").endswith("_neg")).select("a", F.regexp_replace("b", "_neg$", "").alias("b"))
+    strict = reach.where("node <> ancestor").select(F.col("node").alias("a"), F.col("ancestor").alias("b"))
+    same = only.select("a", F.col("a").alias("b"))
+    excluded = same.unionByName(strict).unionByName(negs).join(only, "a", "left_semi").join(never, "b", "left_semi")
+    apart = disjoint_pairs(disjoint, reach).join(only, "a", "left_semi").join(only.select(F.col("a").alias("b")), "b", "left_semi")
+    pair = lambda rows, kind: rows.select(F.struct(F.lit("only_in_taxon").alias("kind"), F.col("a").alias("taxon")).alias("a"), F.struct(F.lit(kind).alias("kind"), F.col("b").alias("taxon")).alias("b"))
+    return pair(excluded, "never_in_taxon").unionByName(pair(apart, "only_in_taxon")).distinct()
+
+
+def unsatisfiable(annotations: DataFrame, constraints: DataFrame, disjoint: DataFrame, reach: DataFrame) -> DataFrame:
+    """(genome) whose annotations can't hold together. Rows that come dealt by genome are not moved."""
+    listed = constraints.select("term", F.struct("kind", "taxon").alias("constraint")).distinct()
+    required = annotations.select("genome", "term").join(small(listed), "term").select("genome", F.col("constraint").alias("term")).distinct()
+    return met_items(required, conflicts(constraints, disjoint, reach), "a", "b").where("asked AND met").select("genome").distinct()
+
+
 def satisfiable(annotations: DataFrame, constraints: DataFrame, disjoint: DataFrame, reach: DataFrame) -> DataFrame:
     """(genome, satisfiable) for every genome with annotations."""
-    bad = satisfiability(annotations, constraints, disjoint, reach).select("genome").distinct().withColumn("__bad", F.lit(True))
+    bad = unsatisfiable(annotations, constraints, disjoint, reach).withColumn("__bad", F.lit(True))
     return annotations.select("genome").distinct().join(bad, "genome", "left").select("genome", F.col("__bad").isNull().alias("satisfiable"))
 
 

@@ -1,10 +1,11 @@
 """The full report of genomes on a fixture that is worked out by hand."""
 
+import dataclasses
 import json
 
 import pytest
 
-from mendral.operators import hierarchy, report
+from mendral.operators import coherence, hierarchy, report
 
 EDGES = [("c1", "complex", "is_a"), ("c2", "complex", "is_a"), ("c3", "c1", "part_of"), ("f1", "f0", "is_a"), ("p1", "p0", "is_a")]
 
@@ -85,3 +86,27 @@ def test_lines(spark):
     lines = {r["genome"]: json.loads(r["value"]) for r in report.report_lines(report.full_report(rows, rules(spark), "bp")).collect()}
     assert lines["g"]["essential"]["percentage"] == 66.67
     assert "complexes" not in lines["g"]
+
+
+def test_a_genome_whose_terms_are_one_cycle_keeps_its_row(spark):
+    edges = spark.createDataFrame([("x", "y"), ("y", "x")], "child string, parent string")
+    cyclic = dataclasses.replace(rules(spark), reach=hierarchy.closure(edges))
+    rows = spark.createDataFrame([("c", "a", "x"), ("c", "a", "y")], "genome string, protein string, term string")
+    assert [r["information"]["depth"] for r in report.full_report(rows, cyclic, "mf").collect()] == [0.0]
+
+
+def test_facts_dealt_by_genome_are_moved_no_more(spark, monkeypatch):
+    plans, store = [], report.materialize_counted
+    monkeypatch.setattr(report, "materialize_counted", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), store(df, *a))[1])
+    rows = spark.createDataFrame(ROWS, "genome string, protein string, term string").repartition(3, "genome")
+    out = report.full_report(rows, rules(spark))
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plans[0]
+    assert {r["genome"] for r in out.collect()} == {"g", "h", "e"}
+    plan = coherence.process_coherence(rows, rules(spark).has_part)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_processes_of_rows_without_a_genome_lack_their_parts(spark):
+    rows = spark.createDataFrame([(None, "a", "p1"), (None, "a", "f1"), ("g", "a", "p1"), ("g", "b", "f1"), ("h", "b", "f1")], "genome string, protein string, term string")
+    got = coherence.process_coherence(rows, rules(spark).has_part)
+    assert sorted(((r["genome"], r["required"], r["missing"], r["missing_parts"]) for r in got.collect()), key=str) == [("g", 2, 1, ["p0"]), ("h", 0, 0, []), (None, 2, 2, ["f1", "p0"])]
