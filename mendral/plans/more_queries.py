@@ -186,7 +186,7 @@ def greedy(v):
 @query("a5_closed_process_coherence", """WITH t AS (SELECT DISTINCT a.genome, coalesce(c.ancestor, a.term) AS term FROM small_genomes a LEFT JOIN closed c ON c.node = a.term), w AS (SELECT t.genome, h.part, x.term IS NULL AS missing FROM t JOIN has_part h ON h.whole = t.term LEFT JOIN t x ON x.genome = t.genome AND x.term = h.part)
 SELECT genome, count(*) AS required, count(*) FILTER (missing) AS missing FROM w GROUP BY genome""", "small_genomes", "closed", "has_part")
 def closed_process(v):
-    a = hierarchy.propagate_annotations(v.small_genomes, closed(v))
+    a = hierarchy.propagate_annotations(v.small_genomes.select("genome", "term").distinct(), closed(v))
     return coherence.process_coherence(a, v.has_part).where("required > 0").select("genome", "required", "missing")
 
 

@@ -6,6 +6,8 @@ import json
 import pytest
 
 from mendral.operators import coherence, hierarchy, report
+from mendral.plans import more_queries
+from mendral.plans.adapters import Views
 
 EDGES = [("c1", "complex", "is_a"), ("c2", "complex", "is_a"), ("c3", "c1", "part_of"), ("f1", "f0", "is_a"), ("p1", "p0", "is_a")]
 
@@ -110,3 +112,8 @@ def test_processes_of_rows_without_a_genome_lack_their_parts(spark):
     rows = spark.createDataFrame([(None, "a", "p1"), (None, "a", "f1"), ("g", "a", "p1"), ("g", "b", "f1"), ("h", "b", "f1")], "genome string, protein string, term string")
     got = coherence.process_coherence(rows, rules(spark).has_part)
     assert sorted(((r["genome"], r["required"], r["missing"], r["missing_parts"]) for r in got.collect()), key=str) == [("g", 2, 1, ["p0"]), ("h", 0, 0, []), (None, 2, 2, ["f1", "p0"])]
+
+
+def test_closed_processes_move_their_facts_once(spark, sf):
+    plan = more_queries.closed_process(Views(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
