@@ -49,3 +49,22 @@ def test_a_dense_group_is_compared_with_its_least_set_only(spark):
 
 def test_no_sequences(spark):
     assert clusters.sequence_clusters(spark.createDataFrame([], "protein string, sequence string")).count() == 0
+
+
+def test_chance_meetings_are_told_apart_by_bitmaps(spark):
+    rng, letters = random.Random(7), "ACDEFGHIKLMNPQRSTVWY"
+    base = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(30)]
+    rows = [(f"p{i}", s) for i, s in enumerate(base)] + [(f"q{i}", s[:52] + "CCCCCCCC") for i, s in enumerate(base)]
+    sets = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(rows)], "n long, sequence string")
+    members = sets.selectExpr("1L AS key", "n", "n % 2 = 0 AS rest")
+    as_set = lambda s: clusters.kmers(s, 5)
+    got = {tuple(r) for r in clusters.within_buckets(members, sets, 0.5, 3, "sequence", as_set).collect()}
+    of = [{s[i : i + 5] for i in range(56)} for _, s in rows]
+    linked = {(i, j) for j in range(60) for i in range(j) if (i % 2 == 0 or j % 2 == 0) and len(of[i] & of[j]) >= 0.5 * len(of[i] | of[j])}
+    assert len(linked) == 15 and linked <= got and len(got) < 2 * len(linked)
+
+
+def test_equal_sets_of_different_sequences_are_one_cluster(spark):
+    rows = [("a", "AAAAA"), ("b", "AAAAAAA"), ("c", "ACACACAC"), ("d", "ACACACACACAC"), ("e", "AAAAA")]
+    got = clusters.sequence_clusters(spark.createDataFrame(rows, "protein string, sequence string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
