@@ -112,3 +112,15 @@ def test_the_cheapest_partner_may_have_a_low_score(spark):
     v.keep = lambda *names: v
     changed = queries.complex_repair(v).where("present <> annotated").collect()
     assert [(r.protein, r.term, r.present, r.value, r.status) for r in changed] == [("q", c, True, 100_000, "OPTIMAL")]
+
+
+def test_pairs_of_all_proteins_are_listed_in_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    seen, store = [], repair_complex.materialize
+    monkeypatch.setattr(repair_complex, "TASK_PAIRS", 10)
+    monkeypatch.setattr(repair_complex, "materialize", lambda df, label="table": (label == "proteins" and seen.append(df.rdd.getNumPartitions()), store(df, label))[1])
+    rows = [("g", f"p{i:02d}", "R", 1.0) for i in range(40)] + [("g", "p00", "A", 1.0), ("g", "p01", "B", 1.0)]
+    f = spark.createDataFrame
+    scored, edges, complexes = f(rows, "genome string, protein string, term string, score double"), f([("A", "R"), ("B", "R")], "child string, parent string"), f([("A",), ("B",)], "term string")
+    got = repair_complex.pairs_of_all_proteins(scored, 0.5, edges, complexes).collect()
+    assert sorted((r.protein, r.term) for r in got) == [(f"p{i:02d}", t) for i in range(40) for t in "AB"]
+    assert seen == [13]  # 40 proteins, 3 usual terms
