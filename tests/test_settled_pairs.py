@@ -124,3 +124,43 @@ def test_pairs_of_all_proteins_are_listed_in_as_many_tasks_as_they_ask_for(spark
     got = repair_complex.pairs_of_all_proteins(scored, 0.5, edges, complexes).collect()
     assert sorted((r.protein, r.term) for r in got) == [(f"p{i:02d}", t) for i in range(40) for t in "AB"]
     assert seen == [13]  # 40 proteins, 3 usual terms
+
+
+def test_closed_forms_of_many_components_at_once():
+    """A complex on one protein, its other members and chains above and below, against a search; ties go down, then to the first member."""
+    rng = random.Random(9)
+    term, has, cost, member, a, b, want, kinds = [], [], [], [], [], [], [], 0
+    for _ in range(300):
+        first, up, down, others = len(term), rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 4)
+        # members of the complex, then what is above each (the lone one has it), then what the lone one has below
+        rows = [(0, m == 0, rng.randint(1, 4), True) for m in range(others + 1)]
+        rules = []
+        for m in range(others + 1):
+            last = m
+            for k in range(up):
+                if m and rng.random() < 0.3:  # a member may have it
+                    continue
+                rows.append((1 + k, m == 0, rng.randint(1, 3), False))
+                rules.append((last, len(rows) - 1))
+                last = len(rows) - 1
+        for k in range(down):
+            rows.append((9 + k, True, rng.randint(1, 4), False))
+            rules.append((len(rows) - 1, len(rows) - 2 if k else 0))
+        groups = [list(range(others + 1))]
+        want.append(Component([r[1] for r in rows], [r[2] for r in rows], rules, groups).solve().value)
+        names = {t: kinds + i for i, t in enumerate(sorted({r[0] for r in rows}))}
+        kinds += len(names)
+        for t, h, c, m in rows:
+            term.append(names[t]), has.append(h), cost.append(c), member.append(m)
+        a += [first + x for x, _ in rules]
+        b += [first + y for _, y in rules]
+    term, has, cost, member, a, b = np.array(term), np.array(has), np.array(cost), np.array(member), np.array(a), np.array(b)
+    found = repair_complex.closed_form(term, has, cost, member, a, b)
+    assert int(cost[found.present != has].sum()) == sum(want)
+    v = found.present
+    on = np.bincount(term[member], v[member], kinds)
+    assert not (on == 1).any() and not (v[a] & ~v[b]).any()
+    # a tie: to go costs 3, as does either partner; then both partners cost 2
+    for high, joined in ((3, []), (2, [1])):
+        tie = repair_complex.closed_form(np.zeros(3, int), np.array([True, False, False]), np.array([3, high, high]), np.array([True] * 3), np.empty(0, int), np.empty(0, int))
+        assert list(np.flatnonzero(tie.present)) == ([0, *joined] if joined else [])
